@@ -98,19 +98,19 @@ def annotation_flags(sheets: Sheets, flags: DataFrame) -> DataFrame:
 
 
 def sheet_facts(
-    sheets: Sheets, flagged: DataFrame, facts: DataFrame, summary: DataFrame, n_near: DataFrame
+    sheets: Sheets, flagged: DataFrame, sparse: DataFrame, summary: DataFrame, n_near: DataFrame
 ) -> DataFrame:
     """Everything the indicators need, one row per sheet."""
-    gaps = st.gap_summary(facts)
-    orphans = st.orphan_rows(sheets, gaps).groupBy("sheet_id").agg(F.count("*").alias("n_orphans"))
+    gaps = st.gap_summary(sparse, summary)
+    orphans = st.orphan_rows(sparse, gaps).groupBy("sheet_id").agg(F.count("*").alias("n_orphans"))
     dist = pf.row_distribution(sheets, summary)
     out = (
-        summary.drop("high", "medium", "low")
+        summary.drop("high", "medium", "low", "first_data", "last_data")
         .join(dist, "sheet_id")
         .join(column_rollup(flagged), "sheet_id")
         .join(gaps.select("sheet_id", "post_gap", "has_multiple_tables"), "sheet_id", "left")
         .join(orphans, "sheet_id", "left")
-        .join(st.multi_layer_headers(sheets), "sheet_id", "left")
+        .join(st.multi_layer_headers(sparse), "sheet_id", "left")
         .join(pf.header_quality(sheets.headers), "sheet_id", "left")
         .join(n_near, "sheet_id", "left")
         .na.fill(0, ["n_orphans", "n_near"])

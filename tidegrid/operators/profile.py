@@ -82,7 +82,9 @@ def value_counts(sheets: Sheets) -> DataFrame:
     keyed = sheets.cells().select(
         "sheet_id", "row_idx", "col_idx",
         F.when(is_long, F.sha2(raw, 256)).otherwise(raw).alias("value"),
-        F.when(is_long, fact_mask(raw)).alias("long_mask"),
+        # A one-element transform: evaluated for long values only and kept out
+        # of the generated code of the scan.
+        F.when(is_long, F.get(F.transform(F.array(raw), fact_mask), F.lit(0))).alias("long_mask"),
         F.when(is_long, F.length(raw)).alias("long_chars"),
     )
     counted = keyed.groupBy("sheet_id", "col_idx", "value", "long_mask", "long_chars").agg(
@@ -221,11 +223,13 @@ def row_summary(facts: DataFrame) -> DataFrame:
     fill = F.col("n_filled") / F.col("n_cols")
     key = F.when(~blank, F.col("row_key"))
     groups = facts.groupBy("sheet_id", key.alias("row_key"), "n_cols", "n_filled").agg(
-        F.count("*").alias("n")
+        F.count("*").alias("n"), F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi")
     )
     n = F.col("n")
     return groups.groupBy("sheet_id").agg(
         F.max("n_cols").alias("n_cols"),
+        F.min(F.when(~blank, F.col("lo"))).alias("first_data"),
+        F.max(F.when(~blank, F.col("hi"))).alias("last_data"),
         F.sum("n").alias("n_rows"),
         F.sum(F.when(fill >= 0.8, n).otherwise(0)).alias("high"),
         F.sum(F.when((fill >= 0.5) & (fill < 0.8), n).otherwise(0)).alias("medium"),

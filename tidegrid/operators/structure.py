@@ -13,6 +13,14 @@ from tidegrid.sheet import Sheets
 HEADER_SCAN_ROWS = 5
 
 
+def sparse_rows(sheets: Sheets) -> DataFrame:
+    """The rows structure checks look at: at most two filled cells, or near the top."""
+    filled = fx.count_true([~fx.is_empty(c) for c in sheets.cell_columns])
+    return sheets.rows.withColumn("n_filled", filled).filter(
+        (F.col("n_filled") <= 2) | (F.col("row_idx") < HEADER_SCAN_ROWS)
+    )
+
+
 def filled_counts(sheets: Sheets) -> DataFrame:
     filled = fx.count_true([~fx.is_empty(c) for c in sheets.cell_columns])
     return sheets.rows.select("sheet_id", "row_idx", filled.alias("n_filled"))
@@ -54,14 +62,17 @@ def gap_edges(facts: DataFrame) -> DataFrame:
     )
 
 
-def gap_summary(facts: DataFrame) -> DataFrame:
-    """sheet_id, n_rows, first_data, last_data, post_gap, has_multiple_tables."""
-    edges = gap_edges(facts)
-    per_sheet = edges.groupBy("sheet_id").agg(
+def gap_summary(facts: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """sheet_id, n_rows, first_data, last_data, post_gap, has_multiple_tables.
+
+    ``facts`` needs the blank rows only when ``bounds`` is given.
+    """
+    per_sheet = gap_edges(facts).groupBy("sheet_id").agg(
         F.max(F.when(F.col("is_start"), F.col("row_idx"))).alias("last_start"),
         F.min(F.when(F.col("is_end"), F.col("row_idx"))).alias("first_end"),
     )
-    joined = data_bounds(facts).join(per_sheet, "sheet_id", "left")
+    bounds = data_bounds(facts) if bounds is None else bounds
+    joined = bounds.join(per_sheet, "sheet_id", "left")
     post = F.col("first_end") + 1
     return joined.select(
         "sheet_id", "n_rows", "first_data", "last_data",
@@ -126,11 +137,11 @@ def is_header_like(cells: list[Column]) -> Column:
     )
 
 
-def multi_layer_headers(sheets: Sheets) -> DataFrame:
+def multi_layer_headers(rows: DataFrame) -> DataFrame:
     """sheet_id, has_multi_header: more than one header-like row among the first five."""
-    top = sheets.rows.filter(F.col("row_idx") < HEADER_SCAN_ROWS)
-    return top.groupBy("sheet_id").agg(
-        (F.count_if(is_header_like(sheets.cell_columns)) > 1).alias("has_multi_header")
+    cells = [F.col(c) for c in rows.columns if c.startswith("c")]
+    return rows.filter(F.col("row_idx") < HEADER_SCAN_ROWS).groupBy("sheet_id").agg(
+        (F.count_if(is_header_like(cells)) > 1).alias("has_multi_header")
     )
 
 
@@ -138,14 +149,14 @@ def has_number(cells: list[Column]) -> Column:
     return fx.any_of([~fx.is_empty(c) & fx.is_num(c) for c in cells])
 
 
-def orphan_rows(sheets: Sheets, gaps: DataFrame) -> DataFrame:
+def orphan_rows(sparse: DataFrame, gaps: DataFrame) -> DataFrame:
     """Rows after the first gap holding at most two values, one of them numeric."""
-    filled = fx.count_true([~fx.is_empty(c) for c in sheets.cell_columns])
     after = gaps.filter(F.col("post_gap").isNotNull()).select("sheet_id", "post_gap")
-    sparse = sheets.rows.withColumn("n_filled", filled).filter(F.col("n_filled").between(1, 2))
+    cells = [F.col(c) for c in sparse.columns if c.startswith("c")]
     return (
-        sparse.join(after, "sheet_id")
-        .filter((F.col("row_idx") >= F.col("post_gap")) & has_number(sheets.cell_columns))
+        sparse.filter(F.col("n_filled").between(1, 2))
+        .join(after, "sheet_id")
+        .filter((F.col("row_idx") >= F.col("post_gap")) & has_number(cells))
         .drop("post_gap")
     )
 

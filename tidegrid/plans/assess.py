@@ -11,6 +11,7 @@ from tidegrid import lexicon as lx
 from tidegrid.operators import duplicates as du
 from tidegrid.operators import indicators as ind
 from tidegrid.operators import profile as pf
+from tidegrid.operators import structure as st
 from tidegrid.session import materialize
 from tidegrid.sheet import Sheets
 
@@ -22,6 +23,7 @@ class Assessment:
     values    distinct values with counts (the only table that grows with the data)
     columns   flagged column profile
     near      near-duplicate pairs
+    sparse    blank, nearly blank and top rows
     scores    one row per sheet with indicators, total and status
     """
 
@@ -29,6 +31,7 @@ class Assessment:
     values: DataFrame
     columns: DataFrame
     near: DataFrame
+    sparse: DataFrame
     scores: DataFrame
 
     def result(self) -> DataFrame:
@@ -57,11 +60,13 @@ def assess(
 ) -> Assessment:
     """Score every sheet in one job."""
     values = materialize(pf.value_counts(sheets))
-    facts = pf.row_facts(sheets)
-    summary = materialize(pf.row_summary(facts))
+    summary = materialize(pf.row_summary(pf.row_facts(sheets)))
+    sparse = materialize(st.sparse_rows(sheets))
     columns = materialize(pf.column_flags(pf.column_profile(sheets, values, summary)))
     chosen = du.near_values(sheets, values, du.near_candidates(columns))
     near = materialize(du.near_pairs(chosen))
-    sheet = ind.sheet_facts(sheets, columns, facts, summary, du.near_pair_counts(near))
-    scores = materialize(ind.scored(ind.indicators(sheet, with_issues), weights, mode))
-    return Assessment(sheets, values, columns, near, scores)
+    sheet = materialize(
+        ind.sheet_facts(sheets, columns, sparse, summary, du.near_pair_counts(near))
+    )
+    scores = ind.scored(ind.indicators(sheet, with_issues), weights, mode)
+    return Assessment(sheets, values, columns, near, sparse, scores)
