@@ -19,6 +19,7 @@ from tidegrid.operators.positions import first_rows
 from tidegrid.session import materialize
 from tidegrid.sheet import Sheets
 
+MAX_LISTED_ROWS = 1000
 COLUMNS = [
     "sheet_id", "pos", "title", "severity", "affected_rows", "unit", "description",
     "indicator", "examples",
@@ -405,15 +406,16 @@ def orphan_totals(t: IssueTables) -> DataFrame | None:
         ex.shown_cells(cells, display), filled, F.lit("孤立合計列"),
     )
     listed = orphans.select("sheet_id", "row_idx", number.alias("number"), built.alias("example"))
-    # The sentence names every row, so its text grows with the number of orphan rows.
-    numbers = listed.groupBy("sheet_id").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list("number")).alias("numbers")
-    )
-    df = numbers.join(_collect(listed.drop("number"), ["row_idx"], ex.MAX_EXAMPLES), "sheet_id")
+    # The sentence names the first rows; st.orphan_rows has all of them as a table.
+    first = first_rows(listed, ["sheet_id"], ["row_idx"], MAX_LISTED_ROWS)
+    totals = listed.groupBy("sheet_id").agg(F.count("*").alias("n"))
+    numbers = first.groupBy("sheet_id").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
+    rest = F.when(F.col("n") > MAX_LISTED_ROWS, F.format_string("⋯等 %d", "n")).otherwise("")
+    df = totals.join(numbers, "sheet_id").withColumn("rest", rest).join(_collect(listed.drop("number"), ["row_idx"], ex.MAX_EXAMPLES), "sheet_id")
     return _issue(
         df, 7, "表格結構問題", "Medium", F.col("n"), "處",
         F.format_string("偵測到孤立合計列：第 %s 列（位於資料區塊後方的獨立數值列）",
-                        F.array_join(F.col("numbers").cast("array<string>"), "、")),
+                        F.concat(F.array_join(F.col("numbers").cast("array<string>"), "、"), "rest")),
         "table_structure", F.col("examples"),
     )
 
