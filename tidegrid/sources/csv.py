@@ -75,6 +75,21 @@ def read_csv_sheet(
     return Sheets(rows, headers, width)
 
 
+def read_csv_parts(spark: SparkSession, path: str, sheet_id: str) -> Sheets:
+    """Read back what ``write_refined_csv`` wrote: part files in order, each with a header."""
+    options = dict(multiLine=True, quote='"', escape='"', emptyValue="", nullValue="\0")
+    # Column names come from the first record of the first part only.
+    head = spark.read.csv(path, header=False, **options).limit(1).first()
+    names = [h or "" for h in head]
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    rows = number_rows(spark.read.schema(schema).csv(path, header=True, enforceSchema=True, **options))
+    headers = spark.createDataFrame(
+        [(sheet_id, i, n) for i, n in enumerate(names)], "sheet_id string, col_idx int, name string"
+    )
+    cells = [F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") for i in range(len(names))]
+    return Sheets(rows.select(F.lit(sheet_id).alias("sheet_id"), "row_idx", *cells), headers, len(names))
+
+
 @dataclass(frozen=True)
 class UploadLimits:
     max_bytes: int = MAX_FILE_BYTES
