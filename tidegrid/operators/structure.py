@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidegrid import lexicon as lx
 from tidegrid.functions import cells as fx
-from tidegrid.operators.positions import next_position
+from tidegrid.operators.positions import next_position, prefix_sum
+from tidegrid.session import materialize
 from tidegrid.sheet import Sheets
 
 HEADER_SCAN_ROWS = 5
@@ -88,9 +89,8 @@ def data_blocks(facts: DataFrame) -> DataFrame:
 
     ``block_idx`` counts from 0 in row order.
     """
-    edges = gap_edges(facts)
-    bounds = data_bounds(facts).filter(F.col("first_data").isNotNull())
-    keep = ["sheet_id", "row_idx", "starts"]
+    edges = materialize(gap_edges(facts))
+    bounds = materialize(data_bounds(facts).filter(F.col("first_data").isNotNull()))
     after_gap = edges.filter("is_end").join(bounds, "sheet_id").filter(
         (F.col("row_idx") + 1 <= F.col("last_data")) & (F.col("row_idx") >= F.col("first_data"))
     )
@@ -101,13 +101,10 @@ def data_blocks(facts: DataFrame) -> DataFrame:
         bounds.select("sheet_id", F.col("first_data").alias("row_idx"), F.lit(1).alias("starts"))
         .union(after_gap.select("sheet_id", F.col("row_idx") + 1, F.lit(1)))
         .union(before_gap.select("sheet_id", "row_idx", F.lit(0)))
-        .select(*keep)
     )
-    from tidegrid.operators.positions import prefix_sum
-
+    followed = materialize(next_position(materialize(turns), "row_idx", "turn"))
     blocks = (
-        prefix_sum(next_position(turns, "row_idx", "turn"), "starts", "row_idx", "ordinal")
-        .filter(F.col("starts") == 1)
+        prefix_sum(followed.filter("starts = 1"), "starts", "row_idx", "ordinal")
         .join(bounds.select("sheet_id", "n_rows"), "sheet_id")
         .select(
             "sheet_id",
@@ -117,6 +114,7 @@ def data_blocks(facts: DataFrame) -> DataFrame:
         )
         .withColumn("size", F.col("end_row") - F.col("start_row"))
     )
+    blocks = materialize(blocks)
     main = blocks.groupBy("sheet_id").agg(
         F.max_by("start_row", F.struct(F.col("size"), -F.col("start_row"))).alias("main_start"),
         F.count("*").alias("n_blocks"),

@@ -78,7 +78,7 @@ def lockout_checks(
     each is also copied into the following slice, so a user holding most rows
     is spread over many tasks.
     """
-    micros = F.unix_micros("attempted_at")
+    micros = F.unix_micros(F.col("attempted_at").cast("timestamp"))
     span = minutes * 60 * 1_000_000
     slice_no = F.floor(micros / span)
     copies = attempts.withColumns({"__us": micros, "__own": slice_no}).withColumn(

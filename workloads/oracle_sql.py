@@ -222,9 +222,10 @@ isl AS (SELECT sheet_id, row_idx, row_idx - row_number() OVER (PARTITION BY shee
   FROM fill WHERE n_filled = 0),
 gaps AS (SELECT sheet_id, min(row_idx) AS gap_start, max(row_idx) AS gap_end FROM isl
   GROUP BY sheet_id, grp HAVING count(*) >= 2),
-gapsum AS (SELECT b.*, CASE WHEN min(gap_end) + 1 <= last_data THEN min(gap_end) + 1 END AS post_gap,
-  coalesce(max(gap_start) > first_data, false) AS has_multiple_tables
-  FROM bounds b LEFT JOIN gaps g USING (sheet_id) GROUP BY ALL)"""
+edges AS (SELECT sheet_id, min(gap_end) AS first_end, max(gap_start) AS last_start FROM gaps GROUP BY 1),
+gapsum AS (SELECT b.*, CASE WHEN first_end + 1 <= last_data THEN first_end + 1 END AS post_gap,
+  coalesce(last_start > first_data, false) AS has_multiple_tables
+  FROM bounds b LEFT JOIN edges e USING (sheet_id))"""
 
 
 def near_cte() -> str:

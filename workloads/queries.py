@@ -776,18 +776,22 @@ def fingerprint(spark, d):
 
 # Usage --------------------------------------------------------------------
 
+def wall_clock(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("timestamp_ntz"))
+
+
 @register(
     "SELECT user_id, date_trunc('week', ts + INTERVAL 8 HOUR) - INTERVAL 8 HOUR AS period_start, count(*) AS used FROM events GROUP BY 1, 2"
 )
 def usage_weekly(spark, d):
-    return us.usage_by_period(load(spark, d, "events"), "user_id", "ts", "weekly")
+    return wall_clock(us.usage_by_period(load(spark, d, "events"), "user_id", "ts", "weekly"), "period_start")
 
 
 @register(
     "SELECT user_id, date_trunc('day', ts + INTERVAL 8 HOUR) - INTERVAL 8 HOUR AS period_start, count(*) AS used FROM events GROUP BY 1, 2"
 )
 def usage_daily(spark, d):
-    return us.usage_by_period(load(spark, d, "events"), "user_id", "ts", "daily")
+    return wall_clock(us.usage_by_period(load(spark, d, "events"), "user_id", "ts", "daily"), "period_start")
 
 
 NOW = "2024-01-20 05:00:00"
@@ -807,7 +811,7 @@ def quota_status(spark, d):
         F.max("ts").alias("last_reset")
     )
     made = e.filter(F.col("event_type") == "purchase").select("user_id", F.col("ts").alias("created_at"))
-    return us.quota_status(users, made, now, 3, "weekly")
+    return wall_clock(us.quota_status(users, made, now, 3, "weekly"), "next_reset")
 
 
 def attempts(spark, d) -> DataFrame:
