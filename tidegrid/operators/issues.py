@@ -45,13 +45,12 @@ def _issue(
 
 
 def _collect(df: DataFrame, order: list[str], limit: int, name: str = "examples") -> DataFrame:
-    """Example rows to one ordered array per sheet, at most ``limit`` entries."""
-    ranked = first_rows(df, ["sheet_id"], order, limit)
-    return ranked.groupBy("sheet_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "example"))), lambda x: x["example"]
-        ).alias(name)
-    )
+    """Example rows to one ordered array per sheet, at most ``limit`` entries.
+
+    ``df`` holds rows already cut to the first few per sheet and kind.
+    """
+    ordered = F.slice(F.array_sort(F.collect_list(F.struct(*order, "example"))), 1, limit)
+    return df.groupBy("sheet_id").agg(F.transform(ordered, lambda x: x["example"]).alias(name))
 
 
 class IssueTables:
@@ -72,19 +71,26 @@ class IssueTables:
         self.problems = materialize(ex.problem_columns(self.columns, low, self.company))
         self.positions = ex.used_positions(self.problems)
         self.scores = materialize(scores.join(self.layout.drop("n_cols"), "sheet_id").join(self.problems, "sheet_id"))
-        has_subtotal = not self.scores.filter("has_subtotal").isEmpty()
+        self.any = self.scores.agg(*[
+            F.coalesce(F.max(F.expr(cond)), F.lit(False)).alias(name)
+            for name, cond in {
+                "subtotal": "has_subtotal", "mixed": "format_consistency < 80",
+                "duplicates": "duplicate_similar < 80", "tables": "has_multiple_tables",
+                "orphans": "n_orphans > 0",
+            }.items()
+        ]).first()
         rows = self.sheets.rows.join(self.layout.select("sheet_id", "n_cols"), "sheet_id").join(
             self.problems, "sheet_id"
         )
         flags = ex.flagged_arrays(self.sheets, self.positions)
         text = F.lit(False)
-        if not self.scores.filter("format_consistency < 80").isEmpty():
+        if self.any.mixed:
             text = fx.any_of([
                 ~fx.is_empty(c) & (fx.format_type(c) == "TEXT") for c in self.sheets.cell_columns
             ])
         self.affected = materialize(ex.affected_rows(rows, flags, text))
         self.rows = materialize(
-            ex.example_rows(self.sheets, rows, flags, self.positions, has_subtotal)
+            ex.example_rows(self.sheets, rows, flags, self.positions, self.any.subtotal)
         )
 
     def shown(self, kind: str, problem: Column, limit: int, label: Column | None = None) -> DataFrame:
@@ -211,9 +217,9 @@ def format_consistency(t: IssueTables) -> DataFrame:
 
 
 def duplicate_similar(t: IssueTables) -> DataFrame | None:
-    low = t.scores.filter("duplicate_similar < 80")
-    if low.isEmpty():
+    if not t.any.duplicates:
         return None
+    low = t.scores.filter("duplicate_similar < 80")
     sheets = t.sheets.with_rows(
         t.sheets.rows.join(low.select("sheet_id"), "sheet_id", "left_semi")
     )
@@ -249,8 +255,6 @@ def name_variants(t: IssueTables) -> DataFrame | None:
         return None
     named = materialize(en.spellings(t.sheets, company))
     groups = materialize(en.variant_groups(named))
-    if groups.isEmpty():
-        return None
     totals = groups.groupBy("sheet_id").agg(
         F.count("*").alias("n_groups"), F.sum(F.col("total_rows") - F.col("canonical_count")).alias("n")
     )
@@ -284,7 +288,11 @@ def _merged_examples(t: IssueTables) -> DataFrame | None:
     wide = t.sheets.merged.filter(c("end_col") > c("start_col")).join(t.layout, "sheet_id").select(
         "sheet_id", (c("start_row") - c("header_row_index") - 2).cast("long").alias("row_idx"),
         (c("start_col") - 1).alias("lo"), (c("end_col") - 1).alias("hi"),
-    )
+    ).join(t.scores.select("sheet_id", "n_rows"), "sheet_id")
+    inside_data = (c("row_idx") >= 0) & (c("row_idx") < c("n_rows"))
+    wide = first_rows(
+        wide.filter(inside_data), ["sheet_id"], ["row_idx", "lo"], ex.MAX_EXAMPLES
+    ).drop("rank", "n_rows")
     rows = t.rows_at(wide).withColumn("display", ex.first_columns(c("n_cols")))
     inside = F.filter("display", lambda i: (i >= c("lo")) & (i <= c("hi")))
     span = F.size(inside)
@@ -315,15 +323,19 @@ def _leading_examples(t: IssueTables) -> DataFrame | None:
 
 
 def _multi_table_examples(t: IssueTables) -> DataFrame | None:
-    split = t.scores.filter("has_multiple_tables").select("sheet_id")
-    if split.isEmpty():
+    if not t.any.tables:
         return None
-    sheets = t.sheets.with_rows(t.sheets.rows.join(split, "sheet_id", "left_semi"))
-    facts = st.filled_counts(sheets)
-    blocks = materialize(st.data_blocks(facts).filter("n_blocks > 1 AND block_idx < 2"))
-    in_block = facts.filter("n_filled > 0").join(
-        blocks.select("sheet_id", "block_idx", "start_row", "end_row"), "sheet_id"
-    ).filter((F.col("row_idx") >= F.col("start_row")) & (F.col("row_idx") < F.col("end_row")))
+    split = t.scores.filter("has_multiple_tables")
+    blocks = materialize(
+        st.data_blocks(t.a.sparse, split).filter("n_blocks > 1 AND block_idx < 2")
+    )
+    # Inside a block at most every other row is blank, so the first six
+    # positions hold the first three data rows.
+    near_start = blocks.withColumn("row_idx", F.explode(F.sequence(
+        F.col("start_row"), F.least(F.col("end_row"), F.col("start_row") + 6) - 1
+    ))).select("sheet_id", "block_idx", "row_idx")
+    blank = t.a.sparse.filter("n_filled = 0").select("sheet_id", "row_idx")
+    in_block = near_start.join(blank, ["sheet_id", "row_idx"], "left_anti")
     data = first_rows(in_block, ["sheet_id", "block_idx"], ["row_idx"], 3).select(
         "sheet_id", "row_idx", F.lit(True).alias("is_data")
     )
@@ -392,7 +404,7 @@ def table_structure(t: IssueTables) -> DataFrame:
 
 
 def orphan_totals(t: IssueTables) -> DataFrame | None:
-    if t.scores.filter("n_orphans > 0").isEmpty():
+    if not t.any.orphans:
         return None
     orphans = st.orphan_rows(
         t.a.sparse, t.scores.select("sheet_id", "post_gap")
@@ -411,7 +423,12 @@ def orphan_totals(t: IssueTables) -> DataFrame | None:
     totals = listed.groupBy("sheet_id").agg(F.count("*").alias("n"))
     numbers = first.groupBy("sheet_id").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
     rest = F.when(F.col("n") > MAX_LISTED_ROWS, F.format_string("⋯等 %d", "n")).otherwise("")
-    df = totals.join(numbers, "sheet_id").withColumn("rest", rest).join(_collect(listed.drop("number"), ["row_idx"], ex.MAX_EXAMPLES), "sheet_id")
+    top = first_rows(listed, ["sheet_id"], ["row_idx"], ex.MAX_EXAMPLES).select(
+        "sheet_id", "row_idx", "example"
+    )
+    df = totals.join(numbers, "sheet_id").withColumn("rest", rest).join(
+        _collect(top, ["row_idx"], ex.MAX_EXAMPLES), "sheet_id"
+    )
     return _issue(
         df, 7, "表格結構問題", "Medium", F.col("n"), "處",
         F.format_string("偵測到孤立合計列：第 %s 列（位於資料區塊後方的獨立數值列）",
@@ -610,8 +627,8 @@ def detect_issues(assessment, merge: bool = True) -> DataFrame:
     """All issues of all sheets in display order; ``pos`` counts from 1 per sheet."""
     tables = IssueTables(assessment)
     found = [d(tables) for d in DETECTORS]
-    parts = [materialize(f.select(*COLUMNS)) for f in found if f is not None]
-    issues = reduce(DataFrame.unionByName, parts)
+    # One union, so the small jobs of the detectors run side by side.
+    issues = materialize(reduce(DataFrame.unionByName, [f.select(*COLUMNS) for f in found if f is not None]))
     if merge:
         issues = merge_by_title(issues)
     order = W.partitionBy("sheet_id").orderBy("pos")

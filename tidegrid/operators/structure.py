@@ -84,13 +84,17 @@ def gap_summary(facts: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     )
 
 
-def data_blocks(facts: DataFrame) -> DataFrame:
+def data_blocks(facts: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Blocks between gaps: sheet_id, start_row, end_row (exclusive), size, is_main, block_idx.
 
-    ``block_idx`` counts from 0 in row order.
+    ``block_idx`` counts from 0 in row order. ``facts`` needs the blank rows
+    only when ``bounds`` is given.
     """
     edges = materialize(gap_edges(facts))
-    bounds = materialize(data_bounds(facts).filter(F.col("first_data").isNotNull()))
+    bounds = materialize(data_bounds(facts)) if bounds is None else bounds
+    bounds = bounds.filter(F.col("first_data").isNotNull()).select(
+        "sheet_id", "n_rows", "first_data", "last_data"
+    )
     after_gap = edges.filter("is_end").join(bounds, "sheet_id").filter(
         (F.col("row_idx") + 1 <= F.col("last_data")) & (F.col("row_idx") >= F.col("first_data"))
     )
@@ -102,7 +106,7 @@ def data_blocks(facts: DataFrame) -> DataFrame:
         .union(after_gap.select("sheet_id", F.col("row_idx") + 1, F.lit(1)))
         .union(before_gap.select("sheet_id", "row_idx", F.lit(0)))
     )
-    followed = materialize(next_position(materialize(turns), "row_idx", "turn"))
+    followed = next_position(turns, "row_idx", "turn")
     blocks = (
         prefix_sum(followed.filter("starts = 1"), "starts", "row_idx", "ordinal")
         .join(bounds.select("sheet_id", "n_rows"), "sheet_id")
