@@ -28,7 +28,7 @@ from tidegrid.sheet import Sheets, union_sheets
 from tidegrid.sources import csv as csvio
 from tidegrid.sources import grid as gr
 from workloads import oracle_sql as o
-from workloads.dirty import SHEETS, dirty_sheet, load
+from workloads.dirty import SHEETS, dirty_sheet, ingested, load
 
 REGISTRY: dict[str, tuple] = {}
 ALL = tuple(SHEETS)
@@ -963,8 +963,11 @@ SELECT 'cust-' || CAST(ck AS STRING), rn + CASE WHEN ck % 3 <> 0 THEN 1 ELSE 0 E
 
 def customer_grid(spark, d):
     """One small grid per customer: title row, header row, orders; every third has no title."""
-    load(spark, d, "orders").createOrReplaceTempView("tidegrid_grid_orders")
-    grid = materialize(spark.sql(GRID_SQL.replace("FROM orders", "FROM tidegrid_grid_orders")))
+    def derive() -> DataFrame:
+        load(spark, d, "orders").createOrReplaceTempView("tidegrid_grid_orders")
+        return spark.sql(GRID_SQL.replace("FROM orders", "FROM tidegrid_grid_orders"))
+
+    grid = ingested(spark, d, "customer_grid", derive)
     titled = grid.filter(F.col("c0").startswith("Orders of ")).select("sheet_id")
     one = [F.lit(1).alias(c) for c in ("start_row", "end_row", "start_col")]
     merged = titled.select("sheet_id", *one, F.lit(4).alias("end_col"))
