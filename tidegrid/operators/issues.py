@@ -92,6 +92,8 @@ class IssueTables:
         self.rows = materialize(
             ex.example_rows(self.sheets, rows, flags, self.positions, self.any.subtotal)
         )
+        self.wanted: list[DataFrame] = []
+        self.variants: DataFrame | None = None
 
     def shown(self, kind: str, problem: Column, limit: int, label: Column | None = None) -> DataFrame:
         """Examples of one kind with display columns chosen around ``problem``."""
@@ -123,16 +125,37 @@ class IssueTables:
             self.scores_layout(), "sheet_id"
         )
 
-    def built_rows(self, wanted: DataFrame, display: Column, flagged: Column | None,
-                   label: Column | None = None) -> DataFrame:
-        rows = self.rows_at(wanted).withColumn("display", display)
-        marks = F.array().cast("array<int>") if flagged is None else ex.positions_in(F.col("display"), flagged)
+    def want(self, rows: DataFrame, kind: str, order: list, display: Column, flagged: Column,
+             label: str = "") -> None:
+        """Ask for example rows by position; all requests share one pass over the sheet."""
+        first, second = [F.col(x) if isinstance(x, str) else x for x in order]
+        self.wanted.append(rows.join(self.scores_layout(), "sheet_id").select(
+            "sheet_id", "row_idx", F.lit(kind).alias("kind"), first.cast("long").alias("ord1"),
+            second.cast("long").alias("ord2"), display.alias("display"),
+            flagged.cast("array<int>").alias("flagged"), F.lit(label).alias("label"),
+        ))
+
+    def fetch(self) -> None:
+        if not self.wanted:
+            self.fetched = None
+            return
+        wanted = materialize(reduce(DataFrame.unionByName, self.wanted))
+        cells = self.sheets.rows.select(
+            "sheet_id", "row_idx", F.array(*self.sheets.cell_columns).alias("cells")
+        )
+        rows = wanted.join(cells, ["sheet_id", "row_idx"]).join(self.layout, "sheet_id")
         built = ex.example(
             F.transform("display", lambda i: F.get("names", i)),
             F.col("row_idx") + F.col("header_row_index") + 2,
-            ex.shown_cells(F.col("cells"), F.col("display")), marks, label,
+            ex.shown_cells(F.col("cells"), F.col("display")),
+            ex.positions_in(F.col("display"), F.col("flagged")), F.col("label"),
+        )
+        self.fetched = materialize(rows.select("sheet_id", "kind", "ord1", "ord2", built.alias("example")))
+
+    def examples_of(self, kind: str, limit: int, name: str = "examples") -> DataFrame:
+        return _collect(
+            self.fetched.filter(F.col("kind") == kind).drop("kind"), ["ord1", "ord2"], limit, name
         )
-        return rows.select("*", built.alias("example"))
 
 
 def _names_where(columns: DataFrame, cond: Column, extra: list[Column] = ()) -> DataFrame:
@@ -216,28 +239,29 @@ def format_consistency(t: IssueTables) -> DataFrame:
     )
 
 
-def duplicate_similar(t: IssueTables) -> DataFrame | None:
+def duplicate_rows(t: IssueTables) -> None:
     if not t.any.duplicates:
-        return None
-    low = t.scores.filter("duplicate_similar < 80")
-    sheets = t.sheets.with_rows(
-        t.sheets.rows.join(low.select("sheet_id"), "sheet_id", "left_semi")
-    )
+        return
+    low = t.scores.filter("duplicate_similar < 80").select("sheet_id")
+    sheets = t.sheets.with_rows(t.sheets.rows.join(low, "sheet_id", "left_semi"))
     exact = du.exact_duplicate_examples(sheets, pf.row_facts(sheets), ex.MAX_EXAMPLES)
-    all_cols = ex.first_columns(F.col("n_cols"))
-    exact_rows = t.built_rows(exact, all_cols, all_cols)
-    exact_list = _collect(exact_rows.select("sheet_id", "pos", "example"), ["pos"], ex.MAX_EXAMPLES)
+    every = ex.first_columns(F.col("n_cols"))
+    t.want(exact, "exact", ["pos", "row_idx"], every, every)
     pairs = first_rows(t.a.near, ["sheet_id"], ["col_idx", "rank1", "rank2"], ex.MAX_EXAMPLES)
-    sides = pairs.select("sheet_id", "col_idx", "rank", F.posexplode(F.array("row1", "row2")).alias(
-        "side", "row_idx"))
-    near_rows = t.built_rows(
-        sides, ex.display_columns(F.array("col_idx"), F.col("context_col")), F.array("col_idx")
+    sides = pairs.select(
+        "sheet_id", "col_idx", F.col("rank").alias("nth"),
+        F.posexplode(F.array("row1", "row2")).alias("side", "row_idx"),
     )
-    near_list = _collect(
-        near_rows.select("sheet_id", "rank", "side", "example").withColumnRenamed("rank", "nth"),
-        ["nth", "side"], ex.MAX_EXAMPLES, "near_examples",
+    one = F.array("col_idx")
+    t.want(sides, "near", ["nth", "side"], ex.display_columns(one, F.col("context_col")), one)
+
+
+def duplicate_similar(t: IssueTables) -> DataFrame | None:
+    if not t.any.duplicates:
+        return None
+    df = t.scores.join(t.examples_of("exact", ex.MAX_EXAMPLES), "sheet_id", "left").join(
+        t.examples_of("near", ex.MAX_EXAMPLES, "near_examples"), "sheet_id", "left"
     )
-    df = t.scores.join(exact_list, "sheet_id", "left").join(near_list, "sheet_id", "left")
     kept = (F.col("duplicate_similar") * F.col("n_rows") / 100).cast("long")
     n = F.greatest(F.lit(0), F.least(F.col("n_rows"), F.col("n_rows") - kept))
     shown = F.coalesce("examples", "near_examples")
@@ -249,32 +273,35 @@ def duplicate_similar(t: IssueTables) -> DataFrame | None:
     )
 
 
-def name_variants(t: IssueTables) -> DataFrame | None:
+def variant_rows(t: IssueTables) -> None:
     company = materialize(t.company)
     if company.isEmpty():
-        return None
+        return
     named = materialize(en.spellings(t.sheets, company))
     groups = materialize(en.variant_groups(named))
-    totals = groups.groupBy("sheet_id").agg(
+    t.variants = groups.groupBy("sheet_id").agg(
         F.count("*").alias("n_groups"), F.sum(F.col("total_rows") - F.col("canonical_count")).alias("n")
     )
     # Three groups of two rows fill the examples.
-    top = materialize(first_rows(groups, ["sheet_id"], ["first_row"], 3).select(
+    top = first_rows(groups, ["sheet_id"], ["first_row"], 3).select(
         "sheet_id", "col_idx", "key", F.col("rank").alias("grp")
-    ))
-    spelled = named.join(top, ["sheet_id", "col_idx", "key"]).select(
-        "sheet_id", "col_idx", "spelling", "grp"
     )
+    spelled = materialize(named.join(materialize(top), ["sheet_id", "col_idx", "key"]).select(
+        "sheet_id", "col_idx", "spelling", "grp"
+    ))
     spelling = F.replace(fx.trim_ws(F.col("raw")), F.lit("\n"), F.lit(" "))
     cells = t.sheets.cells_of(company).withColumn("spelling", spelling)
     rows = first_rows(
         cells.join(spelled, ["sheet_id", "col_idx", "spelling"]), ["sheet_id", "grp"], ["row_idx"], 2
     ).select("sheet_id", "col_idx", "grp", "row_idx")
-    built = t.built_rows(
-        rows, ex.display_columns(F.array("col_idx"), F.col("context_col")), F.array("col_idx")
-    )
-    listed = _collect(built.select("sheet_id", "grp", "row_idx", "example"), ["grp", "row_idx"], ex.MAX_EXAMPLES)
-    df = totals.filter("n > 0").join(listed, "sheet_id", "left")
+    one = F.array("col_idx")
+    t.want(rows, "variants", ["grp", "row_idx"], ex.display_columns(one, F.col("context_col")), one)
+
+
+def name_variants(t: IssueTables) -> DataFrame | None:
+    if t.variants is None:
+        return None
+    df = t.variants.filter("n > 0").join(t.examples_of("variants", ex.MAX_EXAMPLES), "sheet_id", "left")
     return _issue(
         df, 5, "客戶名稱不一致", "Medium", F.col("n"), "列",
         F.format_string("偵測到 %d 組客戶名稱有多種寫法，建議統一", "n_groups"), "name_variants", F.col("examples"),
@@ -322,9 +349,10 @@ def _leading_examples(t: IssueTables) -> DataFrame | None:
     return _collect(rows.select("sheet_id", "row_no", built.alias("example")), ["row_no"], ex.MAX_EXAMPLES)
 
 
-def _multi_table_examples(t: IssueTables) -> DataFrame | None:
+def block_rows(t: IssueTables) -> None:
+    """The first three rows of the first two blocks and one row of the gap between."""
     if not t.any.tables:
-        return None
+        return
     split = t.scores.filter("has_multiple_tables")
     blocks = materialize(
         st.data_blocks(t.a.sparse, split).filter("n_blocks > 1 AND block_idx < 2")
@@ -342,18 +370,12 @@ def _multi_table_examples(t: IssueTables) -> DataFrame | None:
     gap = blocks.filter("block_idx = 0").select(
         "sheet_id", F.col("end_row").alias("row_idx"), F.lit(False).alias("is_data")
     )
-    rows = t.rows_at(data.unionByName(gap)).withColumn(
-        "display", ex.display_columns(F.col("filled"), F.col("context_col"))
-    )
-    built = ex.example(
-        F.transform("display", lambda i: F.get("names", i)),
-        F.col("row_idx") + F.col("header_row_index") + 2,
-        ex.shown_cells(F.col("cells"), F.col("display")),
-        F.when(F.col("is_data"), F.sequence(F.lit(0), F.size("display") - 1)),
-        F.lit(lx.STRUCTURE_LABELS["multi_table"]),
+    display = ex.display_columns(F.col("filled"), F.col("context_col"))
+    t.want(
+        data.unionByName(gap), "blocks", ["row_idx", F.lit(0)], display,
+        F.when(F.col("is_data"), display).otherwise(F.array()),
+        lx.STRUCTURE_LABELS["multi_table"],
     )
-    return _collect(rows.select("sheet_id", "row_idx", built.alias("example")), ["row_idx"],
-                    ex.MAX_STRUCTURE_EXAMPLES)
 
 
 def table_structure(t: IssueTables) -> DataFrame:
@@ -374,7 +396,7 @@ def table_structure(t: IssueTables) -> DataFrame:
         "merged": _merged_examples(t),
         "multi_header": _leading_examples(t),
         "subtotal": _collect(subtotal, ["row_idx"], ex.MAX_EXAMPLES),
-        "multi_table": _multi_table_examples(t),
+        "multi_table": t.examples_of("blocks", ex.MAX_STRUCTURE_EXAMPLES) if t.any.tables else None,
         "newlines": t.shown(
             "newline", F.col("newline"), ex.MAX_EXAMPLES, F.lit(lx.STRUCTURE_LABELS["newlines"])
         ),
@@ -532,22 +554,26 @@ def inline_remarks(t: IssueTables) -> DataFrame:
     )
 
 
-def strikethrough(t: IssueTables) -> DataFrame | None:
+def strike_rows(t: IssueTables) -> None:
     if t.sheets.strikes is None:
-        return None
+        return
     struck = t.sheets.strikes
-    cols = struck.groupBy("sheet_id").agg(
-        F.count("*").alias("n_cells"), F.count_distinct("row_idx").alias("n_rows"),
-        F.collect_set("col_idx").alias("strike_cols"),
-    )
-    per_row = struck.groupBy("sheet_id", "row_idx").agg(F.collect_set("col_idx").alias("flagged"))
+    cols = struck.groupBy("sheet_id").agg(F.collect_set("col_idx").alias("strike_cols"))
+    per_row = struck.groupBy("sheet_id", "row_idx").agg(F.collect_set("col_idx").alias("struck"))
     top = first_rows(per_row, ["sheet_id"], ["row_idx"], ex.MAX_EXAMPLES).drop("rank")
-    built = t.built_rows(
-        top.join(cols.select("sheet_id", "strike_cols"), "sheet_id"),
-        ex.display_columns(F.col("strike_cols"), F.col("context_col")), F.col("flagged"),
+    t.want(
+        top.join(cols, "sheet_id"), "strikes", ["row_idx", F.lit(0)],
+        ex.display_columns(F.col("strike_cols"), F.col("context_col")), F.col("struck"),
+    )
+
+
+def strikethrough(t: IssueTables) -> DataFrame | None:
+    if t.sheets.strikes is None:
+        return None
+    totals = t.sheets.strikes.groupBy("sheet_id").agg(
+        F.count("*").alias("n_cells"), F.count_distinct("row_idx").alias("n_rows")
     )
-    df = cols.join(_collect(built.select("sheet_id", "row_idx", "example"), ["row_idx"], ex.MAX_EXAMPLES),
-                   "sheet_id", "left")
+    df = totals.join(t.examples_of("strikes", ex.MAX_EXAMPLES), "sheet_id", "left")
     return _issue(
         df, 12, "儲存格含刪除線格式", "Medium", F.col("n_rows"), "列受影響",
         F.format_string("有 %d 個儲存格使用刪除線標記，可能為待刪除但未移除的資料，建議確認是否應刪除或保留", "n_cells"),
@@ -626,6 +652,9 @@ def translate(issues: DataFrame) -> DataFrame:
 def detect_issues(assessment, merge: bool = True) -> DataFrame:
     """All issues of all sheets in display order; ``pos`` counts from 1 per sheet."""
     tables = IssueTables(assessment)
+    for rows in (duplicate_rows, variant_rows, block_rows, strike_rows):
+        rows(tables)
+    tables.fetch()
     found = [d(tables) for d in DETECTORS]
     # One union, so the small jobs of the detectors run side by side.
     issues = materialize(reduce(DataFrame.unionByName, [f.select(*COLUMNS) for f in found if f is not None]))

@@ -55,7 +55,8 @@ def clean(
         nonlocal sheets
         sheets, log = step(sheets, *args)
         sheets = replace(sheets, rows=materialize(sheets.rows))
-        logs.append(materialize(log.withColumn("seq", F.lit(len(logs)))))
+        # Logs stay lazy: they read the written rows of the step before.
+        logs.append(log.withColumn("seq", F.lit(len(logs))))
 
     for _ in range(rules.count(BLOCK_RULE)):
         apply(cl.multi_table_keep, keep_block)
