@@ -149,3 +149,15 @@ def test_fingerprint_ignores_partitioning(make_sheet):
     two = fp.dataset_fingerprint(fp.row_digests(s.with_rows(s.rows.repartition(7))))
     assert one.first().fingerprint == two.first().fingerprint
     assert fp.verify(one, two).first().is_valid
+
+
+def test_row_numbers_follow_file_order(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    spark.range(0, 1000, 1, 7).select(F.col("id"), F.col("id").cast("string").alias("t")).write.parquet(folder)
+    numbered = po.number_parquet_rows(spark.read.parquet(folder))
+    assert [r.id for r in numbered.orderBy("row_idx").collect()] == list(range(1000))
+    assert numbered.agg(F.min("row_idx"), F.max("row_idx"), F.count_distinct("row_idx")).first()[0:3] == (0, 999, 1000)
+    lines = str(tmp_path / "csv")
+    spark.range(0, 500, 1, 5).write.csv(lines)
+    text = po.number_rows(spark.read.schema("id long").csv(lines))
+    assert [(r.row_idx, r.id) for r in text.orderBy("row_idx").collect()] == [(i, i) for i in range(500)]

@@ -10,30 +10,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidegrid.session import materialize
+
 BUCKET_ROWS = 65_536
 
 
-def number_rows(scan: DataFrame) -> DataFrame:
-    """Dense ``row_idx`` in file order for a fresh file scan.
+def _rows_before(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Prefix sums over one row per file or file split, written so joins can broadcast them."""
+    before = W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    return materialize(
+        sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    )
+
 
-    Rows of one file split are contiguous and ordered, so a row's position is
-    its offset in the split plus the rows of the splits before it. The prefix
-    sums run over one row per file split.
+def number_parquet_rows(scan: DataFrame) -> DataFrame:
+    """Dense ``row_idx`` in file order for a fresh Parquet scan.
+
+    The reader knows each row's position in its file, so only the rows of the
+    files before it are added.
     """
     tagged = scan.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    )
+    offsets = _rows_before(tagged.groupBy("__file").agg(F.count("*").alias("__n")), ["__file"])
+    return tagged.join(offsets, "__file").select(
+        *scan.columns, (F.col("__offset") + F.col("__row")).alias("row_idx")
+    )
+
+
+def number_rows(scan: DataFrame) -> DataFrame:
+    """Dense ``row_idx`` in file order for any fresh file scan.
+
+    Rows of one file split are contiguous and ordered: a row's position is its
+    offset in the split plus the rows of the splits before it. The tagged scan
+    is written first, because a second scan may be split differently.
+    """
+    tagged = materialize(scan.select(
         "*",
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__id"),
-    )
+    ))
     splits = tagged.groupBy("__file", "__start").agg(
         F.count("*").alias("__n"), F.min("__id").alias("__first")
     )
-    before = W.orderBy("__file", "__start").rowsBetween(W.unboundedPreceding, -1)
-    offsets = splits.select(
-        "__file", "__start", "__first",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
-    )
+    offsets = _rows_before(splits, ["__file", "__start"])
     return tagged.join(offsets, ["__file", "__start"]).select(
         *scan.columns, (F.col("__offset") + F.col("__id") - F.col("__first")).alias("row_idx")
     )

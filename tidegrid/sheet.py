@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,10 +117,15 @@ def sheets_from_table(
 
 
 def header_table(spark, names: dict[str, list[str]]) -> DataFrame:
-    return spark.createDataFrame(
-        [(s, i, n) for s, hs in names.items() for i, n in enumerate(hs)],
-        "sheet_id string, col_idx int, name string",
-    )
+    """Header rows as a local relation, so the planner knows they are small."""
+    entries = [(s, i, n) for s, hs in names.items() for i, n in enumerate(hs)]
+    sheet_ids, positions, texts = zip(*entries) if entries else ((), (), ())
+    table = pa.table({
+        "sheet_id": pa.array(sheet_ids, pa.string()),
+        "col_idx": pa.array(positions, pa.int32()),
+        "name": pa.array(texts, pa.string()),
+    })
+    return spark.createDataFrame(table)
 
 
 def union_sheets(parts: list[Sheets]) -> Sheets:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.operators.positions import number_rows
-from tidegrid.sheet import Sheets
+from tidegrid.sheet import Sheets, header_table
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_ROWS = 100_000
@@ -65,9 +65,7 @@ def read_csv_sheet(
     names = [(head[c] or "") if head else "" for c in cells]
     if names:
         names[0] = names[0].removeprefix(BOM)
-    headers = spark.createDataFrame(
-        [(sheet_id, i, n) for i, n in enumerate(names)], "sheet_id string, col_idx int, name string"
-    )
+    headers = header_table(spark, {sheet_id: names})
     rows = records.filter("row_idx > 0").select(
         F.lit(sheet_id).alias("sheet_id"), (F.col("row_idx") - 1).alias("row_idx"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in cells],
@@ -83,9 +81,7 @@ def read_csv_parts(spark: SparkSession, path: str, sheet_id: str) -> Sheets:
     names = [h or "" for h in head]
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     rows = number_rows(spark.read.schema(schema).csv(path, header=True, enforceSchema=True, **options))
-    headers = spark.createDataFrame(
-        [(sheet_id, i, n) for i, n in enumerate(names)], "sheet_id string, col_idx int, name string"
-    )
+    headers = header_table(spark, {sheet_id: names})
     cells = [F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") for i in range(len(names))]
     return Sheets(rows.select(F.lit(sheet_id).alias("sheet_id"), "row_idx", *cells), headers, len(names))
 

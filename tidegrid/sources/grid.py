@@ -88,7 +88,7 @@ def fill_merged(grid: DataFrame, merged: DataFrame) -> DataFrame:
     ranges = by_row.groupBy("sheet_id", "row_no").agg(
         F.array_sort(F.collect_list(F.struct("range_no", "start_col", "end_col", "value"))).alias("__ranges")
     )
-    rows = grid.join(ranges, ["sheet_id", "row_no"], "left")
+    rows = grid.join(materialize(ranges), ["sheet_id", "row_no"], "left")
 
     def filled(i: int, name: str) -> Column:
         covering = F.filter("__ranges", lambda r: (r["start_col"] <= i + 1) & (r["end_col"] >= i + 1))
@@ -104,7 +104,7 @@ def trim_trailing(rows: DataFrame) -> DataFrame:
     cells = [F.col(c) for c in rows.columns if c.startswith("c")]
     filled = reduce(lambda a, b: a | b, [~fx.is_empty(c) for c in cells])
     last = rows.groupBy("sheet_id").agg(F.max(F.when(filled, F.col("row_idx"))).alias("__last"))
-    return rows.join(last, "sheet_id").filter(F.col("row_idx") <= F.col("__last")).drop("__last")
+    return rows.join(materialize(last), "sheet_id").filter(F.col("row_idx") <= F.col("__last")).drop("__last")
 
 
 def visible_columns(grid: DataFrame, hidden: DataFrame | None) -> DataFrame:

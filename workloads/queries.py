@@ -105,10 +105,10 @@ LINEITEM_COLUMNS = [
 
 
 def lineitem_sheet(spark, d) -> Sheets:
-    from tidegrid.operators.positions import number_rows
+    from tidegrid.operators.positions import number_parquet_rows
     from tidegrid.sheet import sheets_from_table
 
-    numbered = number_rows(load(spark, d, "lineitem").select(*LINEITEM_COLUMNS))
+    numbered = number_parquet_rows(load(spark, d, "lineitem").select(*LINEITEM_COLUMNS))
     return sheets_from_table(numbered, "lineitem", LINEITEM_COLUMNS, "row_idx")
 
 
