@@ -100,6 +100,11 @@ def value_counts(sheets: Sheets) -> DataFrame:
     )
 
 
+def first_seen_values(values: DataFrame) -> DataFrame:
+    """Distinct values with their first row; order by ``first_row`` for first-seen order."""
+    return values.select("sheet_id", "col_idx", "value", "is_long", "n", "first_row")
+
+
 def row_counts(sheets: Sheets) -> DataFrame:
     return sheets.rows.groupBy("sheet_id").agg(F.count("*").alias("n_rows"))
 

@@ -103,7 +103,7 @@ def is_blocked(attempts: DataFrame, now: Column, max_failures: int = LOCKOUT_FAI
 
 
 def page_bounds(page: int, size: int) -> tuple[int, int]:
-    """(offset, limit) with the reference defaults for values out of range."""
+    """(offset, limit); values out of range fall back to the first page and 20 rows."""
     page = page if page >= 1 else 1
     size = size if 1 <= size <= MAX_PAGE_SIZE else DEFAULT_PAGE_SIZE
     return (page - 1) * size, size
