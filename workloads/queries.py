@@ -330,11 +330,8 @@ def clean_dedup(spark, d):
 
 
 @register(
-    "SELECT (row_number() OVER (ORDER BY doc_id) - 1) AS row_idx, text AS c0 FROM documents "
-    "QUALIFY doc_id = min(doc_id) OVER (PARTITION BY text)".replace(
-        "SELECT (row_number() OVER (ORDER BY doc_id) - 1) AS row_idx, text AS c0 FROM documents QUALIFY",
-        "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, text AS c0 FROM (SELECT * FROM documents QUALIFY",
-    ) + ")"
+    "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, text AS c0 FROM (SELECT * FROM documents "
+    "QUALIFY doc_id = min(doc_id) OVER (PARTITION BY text))"
 )
 def dedup_documents(spark, d):
     from tidegrid.sheet import sheets_from_table
@@ -823,8 +820,7 @@ def attempts(spark, d) -> DataFrame:
 @register(
     "SELECT event_id, user_id, ts AS attempted_at, event_type <> 'error' AS success, "
     "count(*) FILTER (WHERE event_type = 'error') OVER w AS failures, count(*) FILTER (WHERE event_type = 'error') OVER w >= 5 AS blocked FROM events "
-    "WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10079 MINUTE + INTERVAL 59 SECOND PRECEDING AND CURRENT ROW)".replace(
-        "INTERVAL 10079 MINUTE + INTERVAL 59 SECOND", "INTERVAL 10080 MINUTE")
+    "WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 10080 MINUTE PRECEDING AND CURRENT ROW)"
 )
 def lockout_checks(spark, d):
     return us.lockout_checks(attempts(spark, d), minutes=10080)
