@@ -45,7 +45,7 @@ def fold_runs(batches):
     """Fold equal neighbours of a sorted stream; the last row of a group is the one to keep."""
     held = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.table({n: batch.column(n) for n in batch.schema.names})  # all fields nullable
         if held is not None:
             table = pa.concat_tables([held, table])
         if not table.num_rows:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
 from tidegrid.llm import chat_format as chat
+from tidegrid.llm.bit_planes import read_documents, write_ids
+from tidegrid.llm.bpe import encode_digests
 from tidegrid.llm.common import materialize
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.line_dedup import line_dedup
 from tidegrid.llm.quality import held_out, score_quality, train
 from tidegrid.llm.sql import SQL
+from tidegrid.llm.token_counts import TokenRollup, count_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +35,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(stored)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select(
@@ -52,7 +60,37 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provisional load, revised by exact counts; then the documents without tokens are deleted."""
+    version = F.lit("byte_bpe_50k").alias("tokenizer_version")
+    counted = materialize(count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    guess = F.ceil(F.col("n_bytes") / 4).cast("long")
+    none = F.lit(None).cast("long")
+
+    def changes(op, new, old):
+        return counted.select("doc_id", "source", "lang", version, F.lit(op).alias("op"),
+                              new.alias("n_tokens"), old.alias("old_n_tokens"))
+
+    rollup = TokenRollup(spark)
+    load = changes("insert", guess, none)
+    rollup.commit("load", load)
+    rollup.commit("load", load)  # a replay changes nothing
+    rollup.commit("exact", changes("revise", F.col("n_tokens"), guess))
+    rollup.commit("empty", changes("delete", F.col("n_tokens"), none).filter("n_tokens = 0"))
+    return rollup.totals()
+
+
+END_ID = 1
+
+
+def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return read_documents(spark, files)
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_chat_format, op3_exact_dedup, op5_line_dedup, op6_quality)
+    f.__name__: f for f in (
+        op1_chat_format, op2_bpe, op3_exact_dedup, op5_line_dedup, op6_quality, op9_token_counts, op10_bit_planes)
 }
 REGISTRY = {name: (fn, SQL.get(name)) for name, fn in QUERIES.items()}
