@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
 from tidegrid.llm import chat_format as chat
 from tidegrid.llm.bit_planes import read_documents, write_ids
 from tidegrid.llm.bpe import encode_digests
 from tidegrid.llm.common import materialize
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.line_dedup import line_dedup
+from tidegrid.llm.near_dedup import near_duplicates
 from tidegrid.llm.quality import held_out, score_quality, train
 from tidegrid.llm.sql import SQL
 from tidegrid.llm.token_counts import TokenRollup, count_tokens
@@ -45,6 +46,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -91,6 +96,6 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_chat_format, op2_bpe, op3_exact_dedup, op5_line_dedup, op6_quality, op9_token_counts, op10_bit_planes)
+        op1_chat_format, op2_bpe, op3_exact_dedup, op4_minhash, op5_line_dedup, op6_quality, op9_token_counts, op10_bit_planes)
 }
 REGISTRY = {name: (fn, SQL.get(name)) for name, fn in QUERIES.items()}
