@@ -10,9 +10,11 @@ from tidegrid.llm import chat_format as chat
 from tidegrid.llm.bit_planes import read_documents, write_ids
 from tidegrid.llm.bpe import encode_digests
 from tidegrid.llm.common import materialize
+from tidegrid.llm.decontaminate import mark_contaminated
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.line_dedup import line_dedup
 from tidegrid.llm.near_dedup import near_duplicates
+from tidegrid.llm.pii import detect, report
 from tidegrid.llm.quality import held_out, score_quality, train
 from tidegrid.llm.sql import SQL
 from tidegrid.llm.token_counts import TokenRollup, count_tokens
@@ -65,6 +67,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = F.array_sort("__hits")
+    return mark_contaminated(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", (F.size("__hits") > 0).alias("contaminated"), F.size("__hits").cast("long").alias("n_items"),
+        F.array_join(hits["item_id"].cast("array<string>"), ",").alias("item_ids"),
+        F.array_min(hits["distance"]).alias("least_distance"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(detect(table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provisional load, revised by exact counts; then the documents without tokens are deleted."""
     version = F.lit("byte_bpe_50k").alias("tokenizer_version")
@@ -96,6 +111,6 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_chat_format, op2_bpe, op3_exact_dedup, op4_minhash, op5_line_dedup, op6_quality, op9_token_counts, op10_bit_planes)
+        op1_chat_format, op2_bpe, op3_exact_dedup, op4_minhash, op5_line_dedup, op6_quality, op7_decontaminate, op8_pii, op9_token_counts, op10_bit_planes)
 }
 REGISTRY = {name: (fn, SQL.get(name)) for name, fn in QUERIES.items()}
