@@ -18,6 +18,7 @@ import gc
 import hashlib
 import json
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -218,8 +219,8 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, __ids (decimals joined by commas), __decoded for every row.
+def encode_ids(docs: DataFrame, tokenizer_path: str, *others: str) -> DataFrame:
+    """doc_id, ``others``, n_tokens, ids, round_trip (decoding gives the text) for every row.
 
     Nulls and edges: null and empty texts have no ids and decode to an empty
     text; texts of any length are encoded whole; rows are independent, so
@@ -227,22 +228,30 @@ def encode_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     read by the driver and broadcast: its size is fixed (a few MB).
     """
     shared = _shared_file(docs, tokenizer_path)
+    names = ["doc_id", *others]
 
     def run(stream):
         bpe = Bpe(shared.value)
         for batch in stream:
             for part in batches_of_texts([batch]):
-                ids = bpe.encode_batch(part.column(1).to_pylist())
+                texts = part.column(len(names)).to_pylist()
+                ids = bpe.encode_batch(texts)
+                numbers = [np.fromstring(i, dtype=np.int32, sep=",") for i in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids), pa.array([bpe.decode(i) for i in ids])],
-                    ["doc_id", "__ids", "__decoded"])
+                    [*part.columns[:-1], pa.array([len(n) for n in numbers], pa.int64()),
+                     pa.array(numbers, pa.list_(pa.int32())),
+                     pa.array([bpe.decode(i) == t for i, t in zip(ids, texts)])],
+                    names=[*names, "n_tokens", "ids", "round_trip"])
 
-    rows = id_text(docs)
-    return rows.mapInArrow(run, with_fields(rows.select("doc_id"), __ids="string", __decoded="string"))
+    rows = id_text(docs, *others).select(*names, "text")
+    return rows.mapInArrow(run, with_fields(rows.drop("text"), n_tokens="long", ids="array<int>", round_trip="boolean"))
 
 
 def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, hashed where the ids are made so that they are not moved."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; edges as in ``encode_ids``.
+
+    Hashed in the task that makes the ids, so that ids and texts are not moved.
+    """
     shared = _shared_file(docs, tokenizer_path)
 
     def run(stream):

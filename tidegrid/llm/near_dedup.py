@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import batches_of_texts, id_text, materialize
+from tidegrid.llm.common import batches_of_texts, id_text, keep_columns, materialize, text_of
 
 WIDTH, PERCENT = 4, 80
 K, RUN = 64, 3
@@ -48,7 +48,8 @@ SHORT = 24
 PASS_K, PASS_SHORT = 30, 7
 #: Members of a list that one task compares with each other at a time.
 BLOCK = 512
-ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Stands for a null doc_id where rows are told apart by id.
+NO_ID = -(2**63)
 
 
 class _WordHashes(dict):
@@ -313,7 +314,10 @@ def missed_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept for every row."""
+    """doc_id, text_hash, n_shingles, component, component_id, kept for every row.
+
+    ``component`` is the number of the group's smallest node, null for an empty set.
+    """
     rows = materialize(sketched(docs, width))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep")
     nodes = materialize(rows.filter("n_shingles > 0").groupBy("class", "n_shingles", "sketch").agg(first).select(
@@ -332,10 +336,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     named = nodes.join(labels, "node", "left").select(
         "class", F.coalesce("component", "node").alias("component"), "rep_id")
     smallest = named.groupBy("component").agg(F.min("rep_id").alias("component_id"))
-    by_class = named.join(smallest, "component").select("class", "component_id")
+    by_class = named.join(smallest, "component").select("class", "component", "component_id")
     out = rows.drop("sketch").join(by_class, "class", "left")
     alone = F.col("n_shingles") == 0
     return out.select(
-        "doc_id", "text_hash", "n_shingles",
+        "doc_id", "text_hash", "n_shingles", "component",
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         (alone | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+
+
+def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of every group of near duplicates, and every row without words."""
+    decided = near_duplicates(docs, width, percent).filter("kept")
+    # Rows of a group that repeat its id are one document; the text with the smallest hash stands for it.
+    one = decided.groupBy(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.coalesce("component", "text_hash").alias("group")
+    ).agg(F.min("text_hash").alias("__hash")).select("__id", "__hash").distinct()
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(
+        "__hash", F.xxhash64(text_of()))
+    return keep_columns(docs, rows.join(one, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]))
