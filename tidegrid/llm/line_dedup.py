@@ -66,9 +66,10 @@ def distinct_lines(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
 
     numbered = id_text(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        # Splits of the input stand for arrival batches.
-        F.pmod(F.spark_partition_id(), F.lit(batches)).cast("int").alias("batch"), "text",
-    ).select("doc_id", "batch", "text")
+        "text",
+    ).select(
+        # All rows of an id arrive in one batch, so that documents are counted once.
+        "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "text")
     return numbered.mapInArrow(run, "batch int, doc_id long, hash binary")
 
 
