@@ -85,6 +85,14 @@ def test_log_lines_split_long_entries(make_sheet):
     log = cl.subtotal_remove(s)[1].withColumn("seq", F.lit(0))
     lines = rp.log_lines(log, F.current_timestamp(), rows_per_line=10).collect()
     assert sorted(r.part for r in lines) == [0, 1, 2]
+    assert sorted(r.line.count(", ") + 1 for r in lines) == [5, 10, 10]
+
+
+def test_log_line_of_distant_rows_is_one(make_sheet):
+    s = make_sheet(["a"], [("total",)] + [("x",)] * 30 + [("total",)])
+    log = cl.subtotal_remove(s)[1].withColumn("seq", F.lit(0))
+    lines = rp.log_lines(log, F.current_timestamp(), rows_per_line=10).collect()
+    assert len(lines) == 1 and "第 0, 31 列" in lines[0].line
 
 
 def test_edits(make_sheet, spark):
@@ -149,6 +157,8 @@ def test_fingerprint_ignores_partitioning(make_sheet):
     two = fp.dataset_fingerprint(fp.row_digests(s.with_rows(s.rows.repartition(7))))
     assert one.first().fingerprint == two.first().fingerprint
     assert fp.verify(one, two).first().is_valid
+    other = make_sheet(["b"], [(str(i),) for i in range(50)])
+    assert fp.dataset_fingerprint(fp.row_digests(other)).first().fingerprint != one.first().fingerprint
 
 
 def test_row_numbers_follow_file_order(spark, tmp_path):
@@ -161,3 +171,52 @@ def test_row_numbers_follow_file_order(spark, tmp_path):
     spark.range(0, 500, 1, 5).write.csv(lines)
     text = po.number_rows(spark.read.schema("id long").csv(lines))
     assert [(r.row_idx, r.id) for r in text.orderBy("row_idx").collect()] == [(i, i) for i in range(500)]
+
+
+def test_user_text_with_a_count_mark_is_logged_as_it_is(make_sheet, spark):
+    s = make_sheet(["a"], [("old",)])
+    schema = "edit_no long, sheet_id string, row_idx long, col_idx int, action string, value string"
+    done = ed.apply_edits(s, spark.createDataFrame([(1, "s", 0, 0, "replace", "50%d off")], schema))
+    assert "50%d off" in cl.audit_entries(done.log).first().details
+
+
+def test_second_split_of_a_cell_works_on_what_is_left(make_sheet, spark):
+    s = make_sheet(["a"], [("PI(中文一)(中文二)",)])
+    schema = "edit_no long, sheet_id string, row_idx long, col_idx int, action string, value string"
+    edits = spark.createDataFrame([(i, "s", 0, 0, "remark_split", "") for i in (1, 2)], schema)
+    assert rows_of(ed.apply_edits(s, edits).sheets) == [("PI", "中文一")]
+
+
+def test_many_mixed_notes(make_sheet):
+    s = make_sheet(["a"], [("x(備)(註)（一）(二)y(三)（四）(五)",), ("（甲(乙）丙)",), ("(a)(中)",), ("plain",)])
+    done, log = cl.bracket_note_remove(s)
+    assert rows_of(done) == [("xy",), ("（甲",), ("(a)(中)",), ("plain",)]
+    assert log.count() == 2
+
+
+def test_wide_and_empty_csv(spark, tmp_path):
+    wide = tmp_path / "wide.csv"
+    wide.write_text(",".join(f"h{i}" for i in range(2000)) + "\n" + ",".join(['"a,""b\nc"'] * 2000) + "\n")
+    s = csvio.read_csv_sheet(spark, str(wide), "w")
+    assert s.width == 2000 and set(rows_of(s)[0]) == {'a,"b\nc'}
+    assert csvio.csv_metadata(spark, str(wide)).first()[1:3] == (2, 2000)
+    empty = tmp_path / "empty.csv"
+    empty.write_text("")
+    from tidegrid.plans.assess import assess
+
+    row = assess(csvio.read_csv_sheet(spark, str(empty), "e")).result().first()
+    assert (row.sheet_id, row.total_rows, row.row_completeness, row.duplicate_similar) == ("e", 0, 0.0, 100.0)
+    head = tmp_path / "head.csv"
+    head.write_text("a,b\n")
+    row = assess(csvio.read_csv_sheet(spark, str(head), "h")).result().first()
+    assert row.total_rows == 0 and len(row.column_details) == 2
+
+
+def test_blank_grid_is_a_sheet_without_columns(spark):
+    from tidegrid.plans.assess import assess
+    from tidegrid.sources.grid import sheets_from_grid
+
+    grid = spark.createDataFrame([("blank", 0, None, None), ("g", 0, "h", "i"), ("g", 1, "1", "2")],
+                                 "sheet_id string, row_no int, c0 string, c1 string")
+    rows = {r.sheet_id: r for r in assess(sheets_from_grid(grid)).scores.collect()}
+    assert set(rows) == {"blank", "g"} and rows["blank"].n_cols == 0 and rows["g"].n_rows == 1

@@ -11,7 +11,12 @@ from tidegrid import lexicon as lx
 from tidegrid.functions import cells as fx
 
 KEY_CHARS = 20
-CODE_RANGES = {"PO": (2000000, 9999999), "PI": (20190101, 20251231), "WO": (10000, 99999)}
+
+
+def _salted(salt: str, key: Column) -> Column:
+    """A non-negative number of 60 bits from a salted digest."""
+    digest = F.sha2(F.concat(F.lit(salt + ":"), key.cast("string")), 256)
+    return F.conv(F.left(digest, F.lit(15)), 16, 10).cast("long")
 
 
 def pseudonym(c: Column, pool: list[str], salt: str) -> Column:
@@ -20,14 +25,13 @@ def pseudonym(c: Column, pool: list[str], salt: str) -> Column:
     A salted hash picks the pool entry, so tasks agree without sharing a map.
     """
     key = F.left(fx.trim_ws(c), F.lit(KEY_CHARS))
-    nth = F.pmod(F.xxhash64(F.lit(salt), key), F.lit(len(pool))).cast("int")
+    nth = (_salted(salt, key) % len(pool)).cast("int")
     return F.when(fx.is_empty(c), c).otherwise(F.get(F.array(*[F.lit(p) for p in pool]), nth))
 
 
-def masked_code(c: Column, kind: str, row_id: Column, salt: str) -> Column:
-    """``PO-``, ``PI-`` or ``WO-`` and a number in the fixed range of the kind."""
-    low, high = CODE_RANGES[kind]
-    number = F.pmod(F.xxhash64(F.lit(salt), row_id), F.lit(high - low + 1)) + low
+def masked_code(c: Column, kind: str, low: int, high: int, row_id: Column, salt: str) -> Column:
+    """``kind``, a dash and a number from ``low`` to ``high``."""
+    number = _salted(salt, row_id) % (high - low + 1) + low
     masked = F.concat(F.lit(f"{kind}-"), number.cast("string"))
     return F.when(F.coalesce(c, F.lit("")) == "", c).otherwise(masked)
 
@@ -49,13 +53,12 @@ def translate_header_by_part(name: Column, parts: dict[str, str]) -> Column:
     return F.coalesce(*hits, name)
 
 
-def translate_value(c: Column, words: dict[str, str] | None = None) -> Column:
+def translate_value(c: Column, words: dict[str, str]) -> Column:
     """Ordered substring replacements."""
-    words = lx.VALUE_TRANSLATIONS if words is None else words
     return reduce(lambda v, kv: F.replace(v, F.lit(kv[0]), F.lit(kv[1])), words.items(), c)
 
 
-def strip_cjk(c: Column, words: dict[str, str] | None = None) -> Column:
+def strip_cjk(c: Column, words: dict[str, str]) -> Column:
     """Translate CJK cells, then drop what is left of the script; empty results become null."""
     done = translate_value(c, words)
     stripped = fx.trim_ws(F.regexp_replace(done, f"{lx.CJK_EXTENDED_CLASS}+", ""))

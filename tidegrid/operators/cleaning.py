@@ -1,19 +1,18 @@
 """Cleaning rules: each takes sheets and returns changed sheets plus audit rows.
 
-Audit rows are long, ``(sheet_id, operation_type, item, row_idx, template)``,
-one per touched row, so an operation on billions of rows never builds one
-array. ``audit_entries`` sums them up, ``audit_lines`` prints them.
+Audit rows are long, ``(sheet_id, operation_type, item, row_idx, details,
+after_count)``, one per touched row, so an operation on billions of rows never
+builds one array. Where ``after_count`` is set the sentence is ``details``, the
+number of rows and ``after_count``; text of users is never searched for a mark. ``audit_entries`` sums them up, ``audit_lines`` prints them.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tidegrid import lexicon as lx
 from tidegrid.functions import cells as fx
@@ -29,14 +28,19 @@ Result = tuple[Sheets, DataFrame]
 
 
 def audit(rows: DataFrame, operation: str, template: str | Column, item: Column | None = None) -> DataFrame:
-    text = F.lit(template) if isinstance(template, str) else template
+    """``template`` is a finished sentence, or a fixed text with one ``%d`` for the number of rows."""
+    after = None
+    if isinstance(template, str):
+        before, counted, rest = template.partition("%d")
+        template, after = F.lit(before), rest if counted else None
     index = F.col("row_idx") if "row_idx" in rows.columns else F.lit(None).cast("long")
     return rows.select(
         "sheet_id",
         F.lit(operation).alias("operation_type"),
         (F.lit(None).cast("int") if item is None else item.cast("int")).alias("item"),
         index.cast("long").alias("row_idx"),
-        text.alias("template"),
+        template.alias("details"),
+        F.lit(after).cast("string").alias("after_count"),
     )
 
 
@@ -104,18 +108,19 @@ def row_key(sheets: Sheets) -> Column:
 def dedup(sheets: Sheets) -> Result:
     """Keep the first of equal rows.
 
-    Groups are reduced to their smallest position with map-side combine; only
-    the positions of repeated rows are joined back, by unique position, so a
-    hot group of copies is spread over all tasks.
+    Groups are reduced to their smallest position with map-side combine; the
+    groups with several rows name the positions to remove, and one anti-join
+    against these takes them out.
     """
     keyed = sheets.rows.select("sheet_id", "row_idx", F.unhex(row_key(sheets)).alias("key"))
-    firsts = materialize(
-        keyed.groupBy("sheet_id", "key").agg(F.min("row_idx").alias("row_idx"))
-        .select("sheet_id", "row_idx")
-    )
+    repeated = keyed.groupBy("sheet_id", "key").agg(
+        F.min("row_idx").alias("first"), F.count("*").alias("n")
+    ).filter("n > 1").drop("n")
     position = ["sheet_id", "row_idx"]
-    kept = sheets.rows.join(firsts, position, "left_semi")
-    removed = sheets.rows.select(*position).join(firsts, position, "left_anti")
+    removed = materialize(
+        keyed.join(repeated, ["sheet_id", "key"]).filter("row_idx > first").select(*position)
+    )
+    kept = sheets.rows.join(removed, position, "left_anti")
     return sheets.with_rows(reindex(kept)), audit(removed, "dedup", "移除 %d 筆完全重複的資料列")
 
 
@@ -196,55 +201,24 @@ def newline_remove(sheets: Sheets) -> Result:
     )
 
 
-_CJK = ("一", "鿿")
-
-
-def _drop_notes(text: str) -> str:
-    """Remove the first CJK note of each bracket kind until none is left."""
-    before = None
-    while text != before:
-        before = text
-        for open_, close in ("()", "（）"):
-            head, opened, rest = text.partition(open_)
-            inner, closed, tail = rest.partition(close)
-            if opened and closed and any(_CJK[0] <= ch <= _CJK[1] for ch in inner):
-                text = head + tail
-    return text
-
-
-@F.pandas_udf(StringType())
-def drop_notes(cells: pd.Series) -> pd.Series:
-    return cells.map(_drop_notes, na_action="ignore")
-
-
-NOTE_PASSES = 3
-
-
 def remove_bracket_notes(c: Column) -> Column:
-    for _ in range(NOTE_PASSES):
-        c = fx.remove_bracket_notes_once(c)
-    return fx.trim_ws(c)
+    """Remove the first CJK note of each bracket kind until none is left.
 
+    A cell needs at most as many rounds as it has opening brackets.
+    """
+    brackets = F.length(F.regexp_replace(c, "[^(（]", ""))
+    done = F.aggregate(
+        F.sequence(F.lit(1), brackets), c,
+        lambda text, _: F.when(
+            fx.has_removable_note(text), fx.remove_bracket_notes_once(text)).otherwise(text),
+    )
+    return fx.trim_ws(F.when(brackets > 0, done).otherwise(c))
 
-def bracket_note_remove(sheets: Sheets) -> Result:
-    """Notes are removed by unrolled replacements; cells with more notes take the exact loop.
 
-    Rows with such cells are rare, so they are split off and only they cross
-    into Python.
-    """
-    operation, template = "bracket_note_remove", "移除 %d 列中的中文括號備註"
-    done, log = _rewrite_all(sheets, remove_bracket_notes, operation, template)
-    deeper = fx.any_of([
-        F.coalesce(fx.has_removable_note(c), F.lit(False)) for c in sheets.cell_columns
-    ])
-    plain = done.rows.filter(~deeper)
-    rest = done.rows.filter(deeper).select(
-        "sheet_id", "row_idx", *[fx.trim_ws(drop_notes(c)).alias(n) for c, n in
-                                 zip(sheets.cell_columns, sheets.cell_names)]
+def bracket_note_remove(sheets: Sheets) -> Result:
+    return _rewrite_all(
+        sheets, remove_bracket_notes, "bracket_note_remove", "移除 %d 列中的中文括號備註"
     )
-    if done.rows.filter(deeper).isEmpty():
-        return done, log
-    return sheets.with_rows(plain.unionByName(rest)), log
 
 
 def multi_table_keep(sheets: Sheets, keep_block: int | None = None) -> Result:
@@ -359,11 +333,12 @@ def delete_rows(sheets: Sheets, row_ops: DataFrame) -> Result:
 def audit_entries(log: DataFrame) -> DataFrame:
     """One row per rule application: seq, sheet_id, operation_type, item, n_rows, details."""
     n = F.count("row_idx")
-    return log.groupBy("seq", "sheet_id", "operation_type", "item", "template").agg(
+    counted = F.concat("details", F.col("n_rows").cast("string"), "after_count")
+    return log.groupBy("seq", "sheet_id", "operation_type", "item", "details", "after_count").agg(
         n.alias("n_rows")
     ).select(
         "seq", "sheet_id", "operation_type", "item", "n_rows",
-        F.replace("template", F.lit("%d"), F.col("n_rows").cast("string")).alias("details"),
+        F.coalesce(counted, F.col("details")).alias("details"),
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid import lexicon as lx
@@ -136,10 +136,22 @@ def _add_remark_column(sheets: Sheets, targets: DataFrame) -> tuple[Sheets, Data
 def _remark_split(sheets: Sheets, edits: DataFrame) -> tuple[Sheets, DataFrame, DataFrame]:
     from pyspark.sql import Window as W
 
-    before, remark = fx.split_last_remark(F.col("old"))
-    looked = materialize(
-        _with_old_value(sheets, edits).withColumns({"before": before, "remark": remark})
-    )
+    # The edits of a cell follow each other: a split works on what the one before left.
+    def step(state: Column, edit: Column) -> Column:
+        before, remark = fx.split_last_remark(state["text"])
+        found = F.struct(edit["edit_no"].alias("edit_no"), state["text"].alias("old"),
+                         before.alias("before"), remark.alias("remark"))
+        return F.struct(before.alias("text"), F.concat(state["steps"], F.array(found)).alias("steps"))
+
+    cell = ["sheet_id", "row_idx", "col_idx"]
+    no_steps = F.array().cast("array<struct<edit_no:bigint,old:string,before:string,remark:string>>")
+    per_cell = _with_old_value(sheets, edits).groupBy(*cell).agg(
+        F.first("old").alias("old"),
+        F.array_sort(F.collect_list(F.struct(F.col("edit_no").cast("long").alias("edit_no")))).alias("edits"),
+    )
+    folded = F.aggregate(
+        "edits", F.struct(F.col("old").alias("text"), no_steps.alias("steps")), step, lambda s: s["steps"])
+    looked = materialize(per_cell.select(*cell, F.inline(folded)))
     place = F.format_string("(row=%d, col=%d)", "row_idx", "col_idx")
     reason = F.when(fx.is_empty(F.col("old")), "目標儲存格為空").when(
         F.col("remark").isNull(), "未偵測到括號備註"
@@ -156,7 +168,7 @@ def _remark_split(sheets: Sheets, edits: DataFrame) -> tuple[Sheets, DataFrame,
         where, "sheet_id"
     ).select("sheet_id", "row_idx", F.col("remark_col").cast("int").alias("col_idx"),
              F.col("remark").alias("value"))
-    texts = done.groupBy("sheet_id", "row_idx", "col_idx").agg(F.min_by("before", "edit_no").alias("value"))
+    texts = done.groupBy("sheet_id", "row_idx", "col_idx").agg(F.max_by("before", "edit_no").alias("value"))
     details = F.format_string(
         '儲存格 [%d,%d] 備註分離: "%s" → 結構值="%s", 備註="%s"',
         "row_idx", "col_idx", "old", "before", "remark",

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.sheet import Sheets
 
 
+def _entry(position: Column, cell: Column) -> Column:
+    """A cell with its position and length, so that no two rows read the same; blank cells leave no trace."""
+    text = F.concat(position.cast("string"), F.lit("="), F.length(cell).cast("string"), F.lit(":"), cell)
+    return F.when(F.coalesce(cell, F.lit("")) != "", text).otherwise("")
+
+
 def row_digests(sheets: Sheets) -> DataFrame:
-    """sheet_id, row_idx, digest: SHA-256 of the position and the row's cells."""
-    cells = [F.coalesce(c, F.lit("")) for c in sheets.cell_columns]
-    text = F.concat_ws("|", F.col("row_idx").cast("string"), *cells)
-    return sheets.rows.select("sheet_id", "row_idx", F.sha2(text, 256).alias("digest"))
+    """sheet_id, row_idx, digest: SHA-256 of the position and the row's cells; the header is row -1."""
+    cells = [_entry(F.lit(i), c) for i, c in enumerate(sheets.cell_columns)]
+    text = F.concat(F.col("row_idx").cast("string"), F.lit("|"), *cells)
+    rows = sheets.rows.select("sheet_id", "row_idx", F.sha2(text, 256).alias("digest"))
+    names = F.array_sort(F.collect_list(F.struct("col_idx", "name")))
+    listed = F.array_join(F.transform(names, lambda x: _entry(x["col_idx"], x["name"])), "")
+    header = sheets.headers.groupBy("sheet_id").agg(listed.alias("names")).select(
+        "sheet_id", F.lit(-1).cast("long").alias("row_idx"),
+        F.sha2(F.concat(F.lit("-1|"), F.col("names")), 256).alias("digest"),
+    )
+    return rows.unionByName(header)
 
 
 def dataset_fingerprint(digests: DataFrame) -> DataFrame:
@@ -25,7 +38,7 @@ def dataset_fingerprint(digests: DataFrame) -> DataFrame:
         return F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")
 
     sums = digests.groupBy("sheet_id").agg(
-        F.count("*").alias("n_rows"), *[F.sum(part(i)).alias(f"s{i}") for i in range(8)]
+        F.count_if(F.col("row_idx") >= 0).alias("n_rows"), *[F.sum(part(i)).alias(f"s{i}") for i in range(8)]
     )
     joined = F.concat_ws("|", F.col("n_rows").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(8)])
     return sums.select("sheet_id", "n_rows", F.sha2(joined, 256).alias("fingerprint"))

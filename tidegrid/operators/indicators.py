@@ -106,16 +106,20 @@ def sheet_facts(
     dist = pf.row_distribution(sheets, summary)
     out = (
         summary.drop("high", "medium", "low")
-        .join(dist, "sheet_id")
-        .join(column_rollup(flagged), "sheet_id")
+        .join(dist, "sheet_id", "left")
+        .join(column_rollup(flagged), "sheet_id", "left")
         .join(gaps.select("sheet_id", "post_gap", "has_multiple_tables"), "sheet_id", "left")
         .join(orphans, "sheet_id", "left")
         .join(st.multi_layer_headers(sparse), "sheet_id", "left")
         .join(pf.header_quality(sheets.headers), "sheet_id", "left")
         .join(n_near, "sheet_id", "left")
-        .na.fill(0, ["n_orphans", "n_near"])
-        .na.fill(False, ["has_multi_header", "has_multiple_tables"])
+        .na.fill(0, [
+            "n_orphans", "n_near", "high", "medium", "low", "avg_valid", "n_nonempty_cells", "n_valid_cells",
+            "n_placeholders", "n_mismatches",
+        ])
     )
+    flags = [name for name, kind in out.dtypes if kind == "boolean"]
+    out = out.na.fill(False, flags)
     return annotation_flags(sheets, out)
 
 

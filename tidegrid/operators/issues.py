@@ -15,11 +15,10 @@ from tidegrid.operators import entities as en
 from tidegrid.operators import examples as ex
 from tidegrid.operators import profile as pf
 from tidegrid.operators import structure as st
-from tidegrid.operators.positions import first_rows
+from tidegrid.operators.positions import BUCKET_ROWS, first_rows
 from tidegrid.session import materialize
 from tidegrid.sheet import Sheets
 
-MAX_LISTED_ROWS = 1000
 COLUMNS = [
     "sheet_id", "pos", "title", "severity", "affected_rows", "unit", "description",
     "indicator", "examples",
@@ -440,21 +439,22 @@ def orphan_totals(t: IssueTables) -> DataFrame | None:
         ex.shown_cells(cells, display), filled, F.lit("孤立合計列"),
     )
     listed = orphans.select("sheet_id", "row_idx", number.alias("number"), built.alias("example"))
-    # The sentence names the first rows; st.orphan_rows has all of them as a table.
-    first = first_rows(listed, ["sheet_id"], ["row_idx"], MAX_LISTED_ROWS)
     totals = listed.groupBy("sheet_id").agg(F.count("*").alias("n"))
-    numbers = first.groupBy("sheet_id").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
-    rest = F.when(F.col("n") > MAX_LISTED_ROWS, F.format_string("⋯等 %d", "n")).otherwise("")
+    # The sentence names every row: first the rows of a bucket, then the buckets in order.
+    parts = listed.groupBy("sheet_id", F.floor(F.col("row_idx") / BUCKET_ROWS).alias("bucket")).agg(
+        F.array_join(F.array_sort(F.collect_list("number")).cast("array<string>"), "、").alias("part"))
+    numbers = parts.groupBy("sheet_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("bucket", "part")))["part"], "、").alias("numbers"))
     top = first_rows(listed, ["sheet_id"], ["row_idx"], ex.MAX_EXAMPLES).select(
         "sheet_id", "row_idx", "example"
     )
-    df = totals.join(numbers, "sheet_id").withColumn("rest", rest).join(
+    df = totals.join(numbers, "sheet_id").join(
         _collect(top, ["row_idx"], ex.MAX_EXAMPLES), "sheet_id"
     )
     return _issue(
         df, 7, "表格結構問題", "Medium", F.col("n"), "處",
         F.format_string("偵測到孤立合計列：第 %s 列（位於資料區塊後方的獨立數值列）",
-                        F.concat(F.array_join(F.col("numbers").cast("array<string>"), "、"), "rest")),
+                        F.col("numbers")),
         "table_structure", F.col("examples"),
     )
 

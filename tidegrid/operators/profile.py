@@ -100,9 +100,16 @@ def value_counts(sheets: Sheets) -> DataFrame:
     )
 
 
-def first_seen_values(values: DataFrame) -> DataFrame:
-    """Distinct values with their first row; order by ``first_row`` for first-seen order."""
-    return values.select("sheet_id", "col_idx", "value", "is_long", "n", "first_row")
+def first_seen_values(sheets: Sheets, values: DataFrame) -> DataFrame:
+    """Distinct values with their first row; order by ``first_row`` for first-seen order.
+
+    Long values travel as digests; their texts are fetched by their first row.
+    """
+    kept = ["sheet_id", "col_idx", "value", "n", "first_row"]
+    long = values.filter("is_long").select(*kept).drop("value")
+    cells = sheets.cells().select("sheet_id", "col_idx", F.col("row_idx").alias("first_row"), F.col("raw").alias("value"))
+    fetched = long.join(cells, ["sheet_id", "col_idx", "first_row"]).select(*kept)
+    return values.filter("not is_long").select(*kept).unionByName(fetched)
 
 
 def row_counts(sheets: Sheets) -> DataFrame:
@@ -168,7 +175,9 @@ def column_flags(profile: DataFrame) -> DataFrame:
         F.when(c("n_date") == dominant, "DATE").when(c("n_num") == dominant, "NUMERIC")
         .when(c("n_bool") == dominant, "BOOLEAN").otherwise("TEXT").alias("dominant_type"),
         (share("n_distinct") > 0.8).alias("is_identifier"),
-        (c("n_date_first100") / F.least(c("n_rows"), F.lit(TIME_SAMPLE_ROWS)) > 0.6).alias("is_time"),
+        F.coalesce(
+            F.try_divide(c("n_date_first100"), F.least(c("n_rows"), F.lit(TIME_SAMPLE_ROWS))) > 0.6, F.lit(False)
+        ).alias("is_time"),
         ((c("n_distinct") > 1) & (c("n_distinct") < c("n_rows") * 0.2)).alias("is_category"),
         (share("n_parse") > 0.8).alias("is_numeric"),
         (share("n_parse") > 0.7).alias("is_numeric_for_placeholder"),
@@ -190,11 +199,11 @@ def column_flags(profile: DataFrame) -> DataFrame:
             & (share("n_text") >= 0.3)
             & (share("n_date") <= 0.5)
             & (share("n_datelike") <= 0.5)
-            & (c("max_freq") / c("n_rows") <= 0.05)
+            & (F.try_divide("max_freq", "n_rows") <= 0.05)
             & (c("n_distinct") > 10)
             & (share("n_distinct") <= 0.8)
-            & (c("n_distinct") / c("n_rows") > 0.01)
-            & (c("n_distinct") / c("n_rows") < 0.95)
+            & (F.try_divide("n_distinct", "n_rows") > 0.01)
+            & (F.try_divide("n_distinct", "n_rows") < 0.95)
         ).alias("is_near_dup_candidate"),
     )
 
@@ -218,10 +227,11 @@ def row_facts(sheets: Sheets) -> DataFrame:
     )
 
 
-def row_summary(facts: DataFrame) -> DataFrame:
+def row_summary(facts: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
     """One row per sheet: sizes, fill classes and exact duplicates.
 
-    Rows are pre-grouped by digest with map-side combine, so a row copied a
+    With ``shapes`` (sheet_id, n_cols) sheets without rows are there too, with
+    zero counts. Rows are pre-grouped by digest with map-side combine, so a row copied a
     billion times is one record per task.
     """
     blank = F.col("n_filled") == 0
@@ -231,7 +241,7 @@ def row_summary(facts: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi")
     )
     n = F.col("n")
-    return groups.groupBy("sheet_id").agg(
+    found = groups.groupBy("sheet_id").agg(
         F.max("n_cols").alias("n_cols"),
         F.min(F.when(~blank, F.col("lo"))).alias("first_data"),
         F.max(F.when(~blank, F.col("hi"))).alias("last_data"),
@@ -244,6 +254,13 @@ def row_summary(facts: DataFrame) -> DataFrame:
         F.sum(n - 1).alias("n_exact_duplicates"),
         F.sum(F.col("n_filled") * n).alias("n_filled_cells"),
     )
+    if shapes is None:
+        return found
+    counts = [c for c in found.columns if c not in ("sheet_id", "n_cols", "first_data", "last_data")]
+    every = shapes.select("sheet_id", F.col("n_cols").alias("__n_cols"))
+    return every.join(found, "sheet_id", "left").na.fill(0, counts).withColumn(
+        "n_cols", F.coalesce("n_cols", "__n_cols")
+    ).select(*found.columns)
 
 
 def header_distribution(sheets: Sheets) -> DataFrame:

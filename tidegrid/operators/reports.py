@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegrid import lexicon as lx
-from tidegrid.operators.positions import first_rows
+from tidegrid.operators.positions import BUCKET_ROWS, first_rows
 
 REPORT_ISSUES = 20
 REPORT_DESCRIPTION = 80
@@ -58,13 +59,23 @@ def rule_table(spark, rules: list[str]) -> DataFrame:
 def log_lines(log: DataFrame, ts, rows_per_line: int = LOG_LINE_ROWS) -> DataFrame:
     """Readable log: ``[ts] label：第 r1, r2 列 — details``.
 
-    An entry prints on one line up to ``rows_per_line`` rows; a longer one
-    continues on further lines by position range, so no array is unbounded.
+    An entry prints on one line up to ``rows_per_line`` rows, wherever they are;
+    a longer one continues on further lines, so no array is unbounded. Rows are
+    counted inside buckets of positions, plus one row per bucket.
     """
     from tidegrid.operators.cleaning import audit_entries
 
     keys = ["seq", "sheet_id", "operation_type", "item"]
-    numbered = log.withColumn("part", F.coalesce(F.floor(F.col("row_idx") / rows_per_line), F.lit(0)))
+    bucketed = log.withColumn("__bucket", F.coalesce(F.floor(F.col("row_idx") / BUCKET_ROWS), F.lit(-1)))
+    inside = W.partitionBy(*keys, "__bucket").orderBy("row_idx")
+    before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = bucketed.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n")).select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("__bucket").alias("__b"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
+    )
+    at = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__bucket") == F.col("__b")]
+    ranked = bucketed.withColumn("__pos", F.row_number().over(inside) - 1).join(offsets, at)
+    numbered = ranked.withColumn("part", F.floor((F.col("__offset") + F.col("__pos")) / rows_per_line))
     chunks = numbered.groupBy(*keys, "part").agg(
         F.array_sort(F.collect_list("row_idx")).alias("rows")
     )

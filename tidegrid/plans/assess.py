@@ -44,7 +44,10 @@ class Assessment:
                 ),
             ).alias("column_details")
         )
-        return self.scores.join(details, "sheet_id").select(
+        return self.scores.join(details, "sheet_id", "left").withColumn(
+            "column_details",
+            F.coalesce("column_details", F.array().cast(details.schema["column_details"].dataType)),
+        ).select(
             "sheet_id", F.col("n_rows").alias("total_rows"), *lx.INDICATORS,
             "total_score", "status",
             F.struct("high", "medium", "low").alias("row_distribution"),
@@ -57,13 +60,19 @@ def assess(
     weights: dict[str, float] | None = None,
     with_issues: bool = True,
     mode: str = "readiness",
+    near_columns: int = du.NEAR_COLUMNS,
+    near_values: int = du.NEAR_VALUES,
 ) -> Assessment:
-    """Score every sheet in one job."""
+    """Score every sheet in one job.
+
+    ``near_columns`` and ``near_values`` bound the near-duplicate comparison of
+    one sheet; the defaults are those of the scoring rule.
+    """
     values = materialize(pf.value_counts(sheets))
-    summary = materialize(pf.row_summary(pf.row_facts(sheets)))
+    summary = materialize(pf.row_summary(pf.row_facts(sheets), sheets.shapes()))
     sparse = materialize(st.sparse_rows(sheets))
     columns = materialize(pf.column_flags(pf.column_profile(sheets, values, summary)))
-    chosen = du.near_values(sheets, values, du.near_candidates(columns))
+    chosen = du.near_values(sheets, values, du.near_candidates(columns, near_columns), near_values)
     near = materialize(du.near_pairs(chosen))
     sheet = materialize(
         ind.sheet_facts(sheets, columns, sparse, summary, du.near_pair_counts(near))

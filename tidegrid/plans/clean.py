@@ -23,6 +23,8 @@ RULES = {
     "empty_col_remove": cl.empty_col_remove,
 }
 BLOCK_RULE = "multi_table_keep_main"
+#: Rules that look at one cell at a time: a projection, written with the rule that follows.
+CELL_RULES = {"newline_remove", "bracket_note_remove"}
 
 
 @dataclass(frozen=True)
@@ -43,18 +45,28 @@ def clean(
 ) -> Cleaned:
     """Apply rules; ``row_ops`` is ``(sheet_id, row_idx, action)`` on the cleaned positions.
 
-    Each rule decides on its own small aggregates and writes its rows once, so
-    no rule replays the ones before it.
+    A rule that decides on aggregates finds written rows, so no rule replays the
+    ones before it; runs of cell rules are one projection and one write.
     """
     unknown = set(rules) - set(RULES) - {BLOCK_RULE}
     if unknown:
         raise ValueError(f"unknown rules: {sorted(unknown)}")
     logs: list[DataFrame] = []
 
-    def apply(step, *args) -> None:
-        nonlocal sheets
+    pending = False
+
+    def write() -> None:
+        nonlocal sheets, pending
+        sheets, pending = replace(sheets, rows=materialize(sheets.rows)), False
+
+    def apply(step, *args, cells_only: bool = False) -> None:
+        nonlocal sheets, pending
+        if pending and not cells_only:
+            write()
         sheets, log = step(sheets, *args)
-        sheets = replace(sheets, rows=materialize(sheets.rows))
+        pending = True
+        if not cells_only:
+            write()
         # Logs stay lazy: they read the written rows of the step before.
         logs.append(log.withColumn("seq", F.lit(len(logs))))
 
@@ -64,10 +76,12 @@ def clean(
         if rule == "empty_col_remove":
             apply(cl.empty_col_remove, remove_columns)
         elif rule != BLOCK_RULE:
-            apply(RULES[rule])
+            apply(RULES[rule], cells_only=rule in CELL_RULES)
     if row_ops is not None:
         apply(cl.fill_na, row_ops.filter(F.col("action") == "fill_na"))
         apply(cl.delete_rows, row_ops.filter(F.col("action") == "delete"))
+    if pending:
+        write()
     if not logs:
         empty = cl.audit(sheets.rows.limit(0), "", "").withColumn("seq", F.lit(0))
         return Cleaned(sheets, empty)

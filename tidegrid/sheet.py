@@ -19,6 +19,7 @@ class Sheets:
     headers   sheet_id, col_idx, name; one row per column of each sheet
     width     number of c columns in ``rows`` (the widest sheet)
     merged, comments, strikes, leading   optional annotation tables
+    empty     optional: sheet_id of the sheets without any column
     """
 
     rows: DataFrame
@@ -28,6 +29,7 @@ class Sheets:
     comments: DataFrame | None = None
     strikes: DataFrame | None = None
     leading: DataFrame | None = None
+    empty: DataFrame | None = None
 
     @property
     def cell_names(self) -> list[str]:
@@ -47,6 +49,8 @@ class Sheets:
     def shapes(self) -> DataFrame:
         """sheet_id, n_cols, header_row_index."""
         shapes = self.headers.groupBy("sheet_id").agg(F.count("*").cast("int").alias("n_cols"))
+        if self.empty is not None:
+            shapes = shapes.unionByName(self.empty.select("sheet_id", F.lit(0).alias("n_cols")))
         if self.leading is None:
             return shapes.withColumn("header_row_index", F.lit(0))
         header = self.leading.groupBy("sheet_id").agg(
@@ -148,5 +152,5 @@ def union_sheets(parts: list[Sheets]) -> Sheets:
         rows = rows.unionByName(padded(p))
     return Sheets(
         rows, joined("headers"), width,
-        joined("merged"), joined("comments"), joined("strikes"), joined("leading"),
+        joined("merged"), joined("comments"), joined("strikes"), joined("leading"), joined("empty"),
     )

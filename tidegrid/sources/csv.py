@@ -12,22 +12,45 @@ from tidegrid.sheet import Sheets, header_table
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_ROWS = 100_000
-DEFAULT_WIDTH = 256
+QUOTED = '"[^"]*+"'
 BOM = "﻿"
 
 
+def csv_width(spark: SparkSession, path: str, multiline: bool = True) -> int:
+    """Cells of the widest record, counted by the separators outside quotes.
+
+    Files whose quotes all close on their own line are counted line by line; only
+    where a quoted cell goes on over a line break are files read as a whole.
+    """
+    def widest(text: DataFrame):
+        bare = F.regexp_replace("value", QUOTED, "")
+        return text.agg(F.max(F.when(F.col("value") != "", F.regexp_count(bare, F.lit(",")) + 1))).first()[0] or 0
+
+    lines = spark.read.text(path)
+    if not multiline:
+        return widest(lines)
+    open_quotes = F.max(F.regexp_count("value", F.lit('"')) % 2 == 1)
+    if not lines.agg(open_quotes).first()[0]:
+        return widest(lines)
+    whole = spark.read.text(path, wholetext=True)
+    records = F.split(F.regexp_replace("value", QUOTED, "\"\""), "\r?\n")
+    return widest(whole.select(F.explode(records).alias("value")))
+
+
 def read_records(
-    spark: SparkSession, path: str, max_width: int = DEFAULT_WIDTH, multiline: bool = True
+    spark: SparkSession, path: str, max_width: int | None = None, multiline: bool = True
 ) -> DataFrame:
     """row_idx plus c0..; ragged rows are padded with nulls.
 
-    ``multiline`` follows quoted line breaks; without it large files are split
-    across tasks.
+    The width is that of the widest record unless given. ``multiline`` follows
+    quoted line breaks; without it large files are split across tasks.
     """
+    max_width = max(csv_width(spark, path, multiline), 1) if max_width is None else max_width
     schema = ", ".join(f"c{i} string" for i in range(max_width))
     scan = spark.read.schema(schema).csv(
         path, header=False, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8",
+        maxColumns=max(20_480, max_width),
     )
     return number_rows(scan)
 
@@ -39,12 +62,14 @@ def record_width(records: DataFrame) -> int:
     return max((i + 1 for i, c in enumerate(cells) if used[c]), default=0)
 
 
-def csv_metadata(spark: SparkSession, path: str, max_width: int = DEFAULT_WIDTH) -> DataFrame:
+def csv_metadata(
+    spark: SparkSession, path: str, max_width: int | None = None, multiline: bool = True
+) -> DataFrame:
     """sheet, row_count (header included), col_count; more than 100,001 records is an error flag."""
-    records = read_records(spark, path, max_width)
+    records = read_records(spark, path, max_width, multiline)
     cells = [c for c in records.columns if c != "row_idx"]
     width = F.greatest(
-        *[F.when(F.col(c).isNotNull(), i + 1).otherwise(0) for i, c in enumerate(cells)]
+        F.lit(0), *[F.when(F.col(c).isNotNull(), i + 1).otherwise(0) for i, c in enumerate(cells)]
     )
     return records.agg(
         F.lit("Sheet1").alias("sheet"), F.count("*").alias("row_count"),
@@ -54,10 +79,13 @@ def csv_metadata(spark: SparkSession, path: str, max_width: int = DEFAULT_WIDTH)
 
 
 def read_csv_sheet(
-    spark: SparkSession, path: str, sheet_id: str, max_width: int = DEFAULT_WIDTH,
+    spark: SparkSession, path: str, sheet_id: str, max_width: int | None = None,
     multiline: bool = True,
 ) -> Sheets:
-    """Record 0 is the header, the rest is data; trailing blank rows are kept."""
+    """Record 0 is the header, the rest is data; trailing blank rows are kept.
+
+    A file without records is a sheet without columns.
+    """
     records = read_records(spark, path, max_width, multiline)
     width = record_width(records)
     cells = [f"c{i}" for i in range(width)]
@@ -70,6 +98,11 @@ def read_csv_sheet(
         F.lit(sheet_id).alias("sheet_id"), (F.col("row_idx") - 1).alias("row_idx"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in cells],
     )
+    if not width:
+        return Sheets(
+            rows.withColumn("c0", F.lit(None).cast("string")), headers, 1,
+            empty=spark.createDataFrame([(sheet_id,)], "sheet_id string").coalesce(1),
+        )
     return Sheets(rows, headers, width)
 
 

@@ -109,7 +109,7 @@ def trim_trailing(rows: DataFrame) -> DataFrame:
 
 def visible_columns(grid: DataFrame, hidden: DataFrame | None) -> DataFrame:
     """sheet_id, sheet_col, col_idx; every column when none would stay visible."""
-    every = grid_shape(grid).select(
+    every = grid_shape(grid).filter("n_cols > 0").select(
         "sheet_id", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("sheet_col")
     )
     if hidden is None:
@@ -140,7 +140,8 @@ def sheets_from_grid(
         F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "sheet_col"))), lambda x: x["sheet_col"])
         .alias("__pick")
     )
-    width = visible.agg(F.max("col_idx")).first()[0] + 1
+    width = (visible.agg(F.max("col_idx")).first()[0] or 0) + 1
+    empty = grid_shape(filled).filter("n_cols = 0").select("sheet_id")
     lined = filled.join(header, "sheet_id").join(picks, "sheet_id").withColumn("__cells", F.array(*cells))
     title = lined.filter(F.col("row_no") == F.col("header_row"))
     # Headers and leading rows are a few rows per sheet and read by every later step.
@@ -175,5 +176,5 @@ def sheets_from_grid(
         return at.join(visible, ["sheet_id", "sheet_col"]).select("sheet_id", "row_idx", "col_idx")
 
     return Sheets(
-        rows, headers, width, merged, mapped(comments), mapped(struck, STRIKE_SCAN_ROWS), leading
+        rows, headers, width, merged, mapped(comments), mapped(struck, STRIKE_SCAN_ROWS), leading, empty
     )

@@ -24,7 +24,7 @@ from tidegrid.operators import usage as us
 from tidegrid.plans.assess import assess
 from tidegrid.plans.clean import clean
 from tidegrid.session import materialize, shared_folder
-from tidegrid.sheet import Sheets, union_sheets
+from tidegrid.sheet import Sheets, header_table, union_sheets
 from tidegrid.sources import csv as csvio
 from tidegrid.sources import grid as gr
 from workloads import oracle_sql as o
@@ -472,8 +472,8 @@ def audit_entries(spark, d):
 
 
 @register(
-    f"{o.sheets_cte('orders')}, hit AS (SELECT row_idx FROM sheet WHERE {_subtotal}), n AS (SELECT count(*) AS n FROM hit) "
-    "SELECT floor(row_idx / 10000)::BIGINT AS part, '[2024-01-01 08:00:00] 移除小計列：第 ' || string_agg(row_idx::VARCHAR, ', ' ORDER BY row_idx) "
+    f"{o.sheets_cte('orders')}, hit AS (SELECT row_idx, row_number() OVER (ORDER BY row_idx) AS rn FROM sheet WHERE {_subtotal}), n AS (SELECT count(*) AS n FROM hit) "
+    "SELECT ((rn - 1) // 10000)::BIGINT AS part, '[2024-01-01 08:00:00] 移除小計列：第 ' || string_agg(row_idx::VARCHAR, ', ' ORDER BY row_idx) "
     "|| ' 列 — 移除 ' || any_value(n)::VARCHAR || ' 筆小計/合計列' AS line FROM hit, n GROUP BY 1"
 )
 def audit_log_lines(spark, d):
@@ -757,9 +757,15 @@ def prompt_snippet(spark, d):
     return gate.prompt_snippet(sheets(spark, d, "events")).select("line_no", "line")
 
 
-_digest = "sha256(concat_ws('|', row_idx::VARCHAR, " + ", ".join(f"coalesce(c{i}, '')" for i in range(9)) + "))"
+def _entry_sql(position: str, cell: str) -> str:
+    return f"CASE WHEN coalesce({cell}, '') <> '' THEN {position} || '=' || length({cell}) || ':' || {cell} ELSE '' END"
+
+
+_digest = "sha256(row_idx || '|' || " + " || ".join(_entry_sql(f"'{i}'", f"c{i}") for i in range(9)) + ")"
+_header_digest = f"sha256('-1|' || string_agg({_entry_sql('col_idx', 'name')}, '' ORDER BY col_idx))"
 FINGERPRINT_SQL = (
-    f"{o.sheets_cte('orders', 'customers')}, dg AS (SELECT sheet_id, {_digest} AS h FROM sheet), s AS (SELECT sheet_id, count(*) AS n_rows, "
+    f"{o.sheets_cte('orders', 'customers')}, dg AS (SELECT sheet_id, 1 AS is_row, {_digest} AS h FROM sheet "
+    f"UNION ALL SELECT sheet_id, 0, {_header_digest} FROM headers GROUP BY 1), s AS (SELECT sheet_id, sum(is_row)::BIGINT AS n_rows, "
     + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) AS s{i}" for i in range(8))
     + " FROM dg GROUP BY 1) SELECT sheet_id, n_rows, sha256(concat_ws('|', n_rows::VARCHAR, "
     + ", ".join(f"s{i}::VARCHAR" for i in range(8)) + ")) AS fingerprint FROM s"
@@ -911,17 +917,28 @@ def settings_upsert(spark, d):
 
 # Anonymisation ------------------------------------------------------------
 
-@register()
+CLIENT_POOL = [f"Client {i}" for i in range(1, 18)]
+WORDS = {"小計": "Subtotal", "合計": "Sum", "同": "Like ", "備註": "Note"}
+
+
+def _salted_sql(key: str) -> str:
+    return f"(('0x' || left(sha256('demo:' || {key}), 15))::BIGINT)"
+
+
+@register(
+    "SELECT c_custkey, 'Client ' || (" + _salted_sql("left(c_name, 20)") + " % 17 + 1) AS client, "
+    "'PO-' || (" + _salted_sql("c_custkey::VARCHAR") + " % 9000 + 1000) AS po FROM customer"
+)
 def pseudonymise_customers(spark, d):
     t = load(spark, d, "customer")
     return t.select(
-        "c_custkey", an.pseudonym(F.col("c_name"), lx.FAKE_CLIENTS, "demo").alias("client"),
-        an.masked_code(F.col("c_name"), "PO", F.col("c_custkey"), "demo").alias("po"),
+        "c_custkey", an.pseudonym(F.col("c_name"), CLIENT_POOL, "demo").alias("client"),
+        an.masked_code(F.col("c_name"), "PO", 1000, 9999, F.col("c_custkey"), "demo").alias("po"),
     )
 
 
 def _translated(x: str) -> str:
-    for zh, en_ in lx.VALUE_TRANSLATIONS.items():
+    for zh, en_ in WORDS.items():
         x = f"replace({x}, '{zh}', '{en_}')"
     return x
 
@@ -934,7 +951,7 @@ def _translated(x: str) -> str:
 def translate_values(spark, d):
     raw = F.col("raw")
     return sheets(spark, d, "orders", "customers").cells().select(
-        "sheet_id", "row_idx", "col_idx", an.translate_value(raw).alias("translated"), an.strip_cjk(raw).alias("stripped")
+        "sheet_id", "row_idx", "col_idx", an.translate_value(raw, WORDS).alias("translated"), an.strip_cjk(raw, WORDS).alias("stripped")
     )
 
 
@@ -1035,3 +1052,42 @@ def csv_round_trip(spark, d):
     path = f"{shared_folder(spark)}/tidegrid/csv-{uuid.uuid4().hex}"
     csvio.write_refined_csv(sheets(spark, d, "customers"), path)
     return csvio.read_csv_parts(spark, path, "customers").rows.drop("sheet_id")
+
+
+WIDE_COLUMNS = 300
+
+
+@register(
+    f"SELECT n_nationkey::BIGINT AS row_idx, i::INT AS col_idx, CASE WHEN i % 7 = 0 THEN n_name || ', \"' || i || '\"' || chr(10) || 'x' ELSE n_name || i END AS raw "
+    f"FROM nation, range({WIDE_COLUMNS}) r(i)"
+)
+def csv_wide(spark, d):
+    """A file of 300 columns with quoted separators, quotes and line breaks keeps all of them."""
+    import uuid
+
+    def cell(i: int) -> Column:
+        quoted = F.concat("n_name", F.lit(f', "{i}"\nx'))
+        return (quoted if i % 7 == 0 else F.concat("n_name", F.lit(str(i)))).alias(f"c{i}")
+
+    t = load(spark, d, "nation")
+    rows = t.select(F.lit("wide").alias("sheet_id"), F.col("n_nationkey").cast("long").alias("row_idx"),
+                    *[cell(i) for i in range(WIDE_COLUMNS)])
+    headers = header_table(spark, {"wide": [f"h{i}" for i in range(WIDE_COLUMNS)]})
+    path = f"{shared_folder(spark)}/tidegrid/csv-{uuid.uuid4().hex}"
+    csvio.write_refined_csv(Sheets(rows.coalesce(1), headers, WIDE_COLUMNS), path)
+    return csvio.read_csv_sheet(spark, path, "wide").cells().select("row_idx", "col_idx", "raw")
+
+
+@register(
+    "SELECT 'empty-' || n_nationkey AS sheet_id, 0::BIGINT AS n_rows, 1::BIGINT AS high, 0::BIGINT AS medium, 0::BIGINT AS low, 0.0 AS row_completeness, "
+    "0.0 AS column_completeness, 100.0 AS format_consistency, 100.0 AS duplicate_similar, 100.0 AS table_structure, 0.0 AS ai_query_readiness, "
+    # 60 % weighted indicators, 40 % share of well filled rows: the header row is the only row.
+    "round((0.6 * 100 * {w} + 0.4 * 100) * 10) / 10 AS total_score, 'conditional' AS status FROM nation".replace(
+        "{w}", str(sum(lx.DEFAULT_WEIGHTS[k] for k in ("format_consistency", "duplicate_similar", "table_structure"))))
+)
+def assessment_header_only(spark, d):
+    """One sheet per nation that has a header row and no data."""
+    t = load(spark, d, "nation").withColumn("sheet_id", F.concat(F.lit("empty-"), F.col("n_nationkey").cast("string")))
+    headers = t.select("sheet_id", F.posexplode(F.array(F.lit("id"), F.col("n_name"))).alias("col_idx", "name"))
+    rows = t.select("sheet_id", F.lit(0).cast("long").alias("row_idx"), *[F.lit(None).cast("string").alias(c) for c in ("c0", "c1")]).filter(F.col("row_idx") < 0)
+    return score_columns(assess(Sheets(rows, headers, 2)).scores)
