@@ -151,7 +151,7 @@ def ingested(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], D
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _INGESTED:
-        _INGESTED[key] = materialize(derive())
+        _INGESTED[key] = materialize(derive(), keep=True)
     return _INGESTED[key]
 
 
