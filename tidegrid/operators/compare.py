@@ -24,7 +24,10 @@ def indicator_label(before: Column, after: Column) -> Column:
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Join two score tables by sheet; one row per sheet and measure."""
+    """Join two score tables by sheet; one row per sheet and measure.
+
+    A sheet that only one table has is listed with a null score and no label.
+    """
     measures = [*lx.INDICATORS, "total_score"]
 
     def long(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +37,7 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     label = F.when(F.col("measure") == "total_score", score_label(b, a)).otherwise(
         indicator_label(b, a)
     )
-    return long(before, "before").join(long(after, "after"), ["sheet_id", "measure"]).select(
+    return long(before, "before").join(long(after, "after"), ["sheet_id", "measure"], "full").select(
         "sheet_id", "measure", "before", "after", label.alias("label")
     )
 

@@ -107,10 +107,12 @@ def problem_columns(flagged: DataFrame, low_threshold: DataFrame, company: DataF
 def used_positions(problems: DataFrame) -> dict[str, list[int]]:
     """Positions that occur in any sheet per kind: metadata, bounded by the widest sheet."""
     kinds = [k for k in problems.columns if k not in ("sheet_id", "dominant")]
-    row = problems.agg(*[
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(k)))).alias(k) for k in kinds
-    ]).first()
-    return {k: list(row[k] or []) for k in kinds}
+    listed = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("cols")) for k in kinds]))
+    pairs = problems.select(listed.alias("p")).select("p.kind", F.explode("p.cols").alias("col_idx"))
+    found: dict[str, list[int]] = {k: [] for k in kinds}
+    for r in pairs.distinct().collect():
+        found[r.kind].append(r.col_idx)
+    return {k: sorted(v) for k, v in found.items()}
 
 
 def flagged_arrays(sheets: Sheets, positions: dict[str, list[int]]) -> dict[str, Column]:

@@ -115,6 +115,20 @@ def paginate(df: DataFrame, order: list[Column], page: int = 1, size: int = DEFA
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(df: DataFrame, order: list[Column], page: int = 1, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """One page with ``total``, the number of all rows; a page past the end is empty."""
+    total = df.agg(F.count("*")).first()[0]
+    return paginate(df, order, page, size).withColumn("total", F.lit(total).cast("long"))
+
+
+def user_history(
+    assessments: DataFrame, uploads: DataFrame, user_id, page: int = 1, size: int = DEFAULT_PAGE_SIZE
+) -> DataFrame:
+    """A user's assessments, newest first."""
+    own = user_assessments(assessments, uploads.filter(F.col("user_id") == user_id))
+    return page_with_total(own, [F.desc("created_at"), F.asc("id")], page, size)
+
+
 def user_assessments(assessments: DataFrame, uploads: DataFrame) -> DataFrame:
     """Assessments with their upload's user and file name."""
     return assessments.join(uploads, "upload_id")
@@ -171,6 +185,13 @@ def search_translations(entries: DataFrame, locale: str | None, query: str | Non
     return entries
 
 
+def translation_page(
+    entries: DataFrame, locale: str | None, query: str | None, page: int = 1, size: int = DEFAULT_PAGE_SIZE
+) -> DataFrame:
+    """A page of the entries found, ordered by key and locale."""
+    return page_with_total(search_translations(entries, locale, query), [F.asc("key"), F.asc("locale")], page, size)
+
+
 def locale_map(entries: DataFrame, locale: str) -> DataFrame:
     """One row with the key-to-value map of a locale (a dictionary of UI texts)."""
     return entries.filter(F.col("locale") == locale).groupBy("locale").agg(

@@ -35,6 +35,10 @@ class Cleaned:
     def entries(self) -> DataFrame:
         return cl.audit_entries(self.log)
 
+    def refined(self) -> Sheets:
+        """The sheets as their refined files hold them: rows under one header row, without annotations."""
+        return replace(self.sheets, merged=None, comments=None, strikes=None, leading=None)
+
 
 def clean(
     sheets: Sheets,

@@ -1091,3 +1091,85 @@ def assessment_header_only(spark, d):
     headers = t.select("sheet_id", F.posexplode(F.array(F.lit("id"), F.col("n_name"))).alias("col_idx", "name"))
     rows = t.select("sheet_id", F.lit(0).cast("long").alias("row_idx"), *[F.lit(None).cast("string").alias(c) for c in ("c0", "c1")]).filter(F.col("row_idx") < 0)
     return score_columns(assess(Sheets(rows, headers, 2)).scores)
+
+
+UPLOADS_SQL = (
+    "WITH up AS (SELECT o_orderkey AS id, o_custkey AS upload_id, o_orderdate AS created_at, c_nationkey AS user_id, c_name || '.v1.xlsx' AS filename "
+    "FROM orders JOIN customer ON o_custkey = c_custkey)"
+)
+
+
+@register(
+    f"{UPLOADS_SQL} SELECT id, upload_id, created_at, user_id, filename, (SELECT count(*) FROM up WHERE user_id = 3) AS total "
+    "FROM up WHERE user_id = 3 ORDER BY created_at DESC, id LIMIT 25 OFFSET 25"
+)
+def user_history(spark, d):
+    made, files = as_uploads(spark, d)
+    return us.user_history(made, files, 3, page=2, size=25)
+
+
+@register(f"{UPLOADS_SQL} SELECT id, upload_id, created_at, user_id, filename FROM up WHERE id = 7 AND user_id = (SELECT max(user_id) FROM up WHERE id = 7)")
+def owned_row(spark, d):
+    made, files = as_uploads(spark, d)
+    every = us.user_assessments(made, files)
+    owner = every.filter("id = 7").agg(F.max("user_id")).first()[0]
+    return us.owned_by(every, 7, owner)
+
+
+@register(
+    f"{TRANSLATIONS_SQL}, u AS (SELECT locale, key, arg_max(value, updated_at) AS value, max(updated_at) AS updated_at FROM t GROUP BY ALL), "
+    "f AS (SELECT * FROM u WHERE key ILIKE '%7%' OR value ILIKE '%7%') "
+    "SELECT locale, key, value, updated_at, (SELECT count(*) FROM f) AS total FROM f ORDER BY key, locale LIMIT 20 OFFSET 20"
+)
+def translation_page(spark, d):
+    t = translations(spark, d)
+    return us.translation_page(us.upsert(t, t.limit(0), ["locale", "key"], "updated_at"), None, "7", page=2)
+
+
+@register(
+    "SELECT o_orderkey::VARCHAR AS sheet_id, printf('%.1f → %.1f (%s%.1f)', b, a, CASE WHEN a - b >= 0 THEN '+' ELSE '' END, a - b) AS indicator, "
+    "printf('%.1f (%s%.1f)', b, CASE WHEN a - b >= 0 THEN '+' ELSE '' END, a - b) AS total "
+    "FROM (SELECT o_orderkey, (o_orderkey % 101)::DOUBLE AS b, (o_custkey % 97)::DOUBLE AS a FROM orders)"
+)
+def compare_labels(spark, d):
+    """Labels of score changes; scores are derived from the keys."""
+    b, a = (F.col(c).cast("double") for c in ("b", "a"))
+    t = load(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("sheet_id"), (F.col("o_orderkey") % 101).alias("b"), (F.col("o_custkey") % 97).alias("a"))
+    return t.select("sheet_id", cp.indicator_label(b, a).alias("indicator"), cp.score_label(b, a).alias("total"))
+
+
+@register(
+    "SELECT path, violation FROM (SELECT c_name || ext AS path, unnest(list_filter(["
+    "CASE WHEN ext NOT IN ('.csv', '.XLSX') THEN 'unsupported_format' END, CASE WHEN len > 52428800 THEN 'file_too_large' END, "
+    "CASE WHEN rows > 100000 THEN 'too_many_rows' END, CASE WHEN sel = 'Gone' THEN 'sheet_not_found' END], lambda x: x IS NOT NULL)) AS violation "
+    "FROM (SELECT c_name, ['.csv', '.XLSX', '.pdf'][c_custkey % 3 + 1] AS ext, c_custkey * 100000 AS len, c_custkey * 200 AS rows, "
+    "CASE WHEN c_custkey % 4 = 0 THEN 'Gone' WHEN c_custkey % 4 = 1 THEN 'A' END AS sel FROM customer))"
+)
+def upload_violations(spark, d):
+    k = F.col("c_custkey")
+    files = load(spark, d, "customer").select(
+        F.concat("c_name", F.when(k % 3 == 0, ".csv").when(k % 3 == 1, ".XLSX").otherwise(".pdf")).alias("path"),
+        (k * 100000).alias("length"), (k * 200).alias("row_count"), F.array(F.lit("A"), F.lit("B")).alias("sheets"),
+        F.when(k % 4 == 0, "Gone").when(k % 4 == 1, "A").alias("selected"))
+    return csvio.validate_files(files)
+
+
+@register("SELECT 'Sheet1' AS sheet, count(*) + 1 AS row_count, 4::INT AS col_count, count(*) > 100000 AS too_many_rows FROM customer")
+def csv_metadata(spark, d):
+    import uuid
+
+    path = f"{shared_folder(spark)}/tidegrid/csv-{uuid.uuid4().hex}"
+    t = load(spark, d, "customer").select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(
+        ("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))], F.lit("u").alias("sheet_id"), F.col("c_custkey").alias("row_idx"))
+    csvio.write_refined_csv(Sheets(t.coalesce(1), header_table(spark, {"u": ["key", "name, full", "balance", "segment"]}), 4), path)
+    return csvio.csv_metadata(spark, path)
+
+
+@register(
+    f"{o.sheets_cte('documents')}, {o.cells_cte(o.width_of('documents'))} SELECT sheet_id, col_idx, raw AS value, count(*) AS n, min(row_idx) AS first_row FROM cells GROUP BY ALL"
+)
+def first_seen_values(spark, d):
+    """Distinct values of the document sheet, long ones as whole texts."""
+    s = sheets(spark, d, "documents")
+    return pf.first_seen_values(s, materialize(pf.value_counts(s)))
