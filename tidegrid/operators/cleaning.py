@@ -130,21 +130,19 @@ def name_normalize(sheets: Sheets) -> Result:
     text = materialize(text.select("sheet_id", "col_idx"))
     named = materialize(en.spellings(sheets, text, join_lines=False))
     mapping = materialize(en.canonical_mapping(named, en.variant_groups(named)))
-    rows = sheets.rows
-    changed = []
-    for r in mapping.select("col_idx").distinct().orderBy("col_idx").collect():
-        i = r.col_idx
-        m = mapping.filter(F.col("col_idx") == i).select(
-            "sheet_id", F.col("spelling").alias("__spelling"), F.col("canonical").alias(f"__n{i}")
-        )
-        # Broadcast only when the written mapping is below the size limit.
-        rows = rows.withColumn("__spelling", fx.trim_ws(F.col(f"c{i}"))).join(
-            m, ["sheet_id", "__spelling"], "left"
-        )
-        rows = rows.drop("__spelling").withColumn(f"c{i}", F.coalesce(f"__n{i}", f"c{i}"))
-        changed.append(F.when(F.col(f"__n{i}").isNotNull(), F.lit(i)))
-    hits = F.array_compact(F.array(*changed)) if changed else F.array().cast("array<int>")
-    rows = rows.withColumn("__changed", hits).select(*sheets.rows.columns, "__changed")
+    columns = materialize(mapping.select("sheet_id", "col_idx").distinct())
+    positions = sorted({r.col_idx for r in columns.select("col_idx").distinct().collect()})
+    # Only cells that get a new spelling are joined back, all columns of a row at once.
+    hits = sheets.cells_of(columns).withColumn("spelling", fx.trim_ws(F.col("raw"))).join(
+        mapping.select("sheet_id", "col_idx", "spelling", "canonical"), ["sheet_id", "col_idx", "spelling"]
+    ).groupBy("sheet_id", "row_idx").agg(
+        F.map_from_entries(F.collect_list(F.struct("col_idx", "canonical"))).alias("__new")
+    )
+    rows = sheets.rows.join(hits, ["sheet_id", "row_idx"], "left").withColumns({
+        f"c{i}": F.coalesce(F.try_element_at("__new", F.lit(i)), F.col(f"c{i}")) for i in positions
+    })
+    changed = F.coalesce(F.array_sort(F.map_keys("__new")), F.array().cast("array<int>"))
+    rows = rows.withColumn("__changed", changed).select(*sheets.rows.columns, "__changed")
     item = F.col("item")
     template = F.format_string("正規化欄位 %d 的公司名稱，統一為最長變體", item)
     return sheets.with_rows(rows.drop("__changed")), audit(
