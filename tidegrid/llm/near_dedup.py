@@ -8,14 +8,17 @@
    runs of two, sets of one value that value. For two sets of similarity 0.8
    the chance that no run of three is common among the first 64 values of the
    union is below 1e-10; for sets held whole a common run always exists.
-3. Every node is paired with the smallest node of the lists it is in, the one
-   it shares most lists with. Sketches of the union estimate the similarity
-   and whole sets of words verify it; verified pairs give first components.
+3. Nodes are paired with a few centers of the lists they are in: the member
+   that shares most lists with others, and members picked by hash, so that the
+   same ones recur. Sketches of the union estimate the similarity, the best
+   pairs of a node are verified on whole sets. Two such rounds make components.
 4. Lists that still hold several components are searched for the links missed:
    overlaps between members of different components are counted inside a task,
-   block by block, and only pairs that pass the estimate leave it. So a large
-   group of near copies costs one verification a member and no pair is left
-   out: what is skipped lies inside one component already.
+   block by block, and only pairs that pass the estimate leave it, each in the
+   first list it shares. The best few of a node and component are verified
+   first, the others where these did not join them. So a large group of near
+   copies costs a few verifications a member and no pair is left out: what is
+   skipped lies inside one component already.
 5. Components of the verified links by alternating large and small stars.
 
 The links are confirmed on the full sets of shingles as words, not hashes.
@@ -35,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import batches_of_texts, id_text, keep_columns, materialize, text_of
@@ -46,6 +50,8 @@ SHORT = 24
 #: Of K (or SHORT) values of a union sketch, so many in both sets let a pair pass. Two sets of similarity
 #: 0.8 have fewer with a chance below 1e-9.
 PASS_K, PASS_SHORT = 30, 7
+#: Centers of a list in each round of pairing, rounds, and pairs of a node that are verified in one.
+CENTERS, ROUNDS, BEST = 6, 2, 3
 #: Members of a list that one task compares with each other at a time.
 BLOCK = 512
 #: Stands for a null doc_id where rows are told apart by id.
@@ -157,35 +163,47 @@ def union_overlap(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
     return len(union), int(np.searchsorted(both, union[-1], side="right")) if len(union) else 0
 
 
-def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, k: int, least: int, percent: int) -> bool:
-    """The estimate; exact when both sets are held whole."""
+def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, k: int, least: int, percent: int) -> float | None:
+    """Share of the union sketch in both sets, None if too low; exact when both sets are held whole."""
     if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
-        return False
+        return None
     size, both = union_overlap(a, b, k)
     if n_a <= len(a) and n_b <= len(b) and size < k:
-        return 100 * both >= percent * size
-    return both >= least * size / k
+        return both / size if 100 * both >= percent * size else None
+    return both / size if both >= least * size / k else None
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the union-sketch estimate."""
-    with_a = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"),
-                                     F.col("sketch").alias("sketch_a")), "a")
+    """a, b, score of the pairs that pass the union-sketch estimate."""
+    with_a = pairs.select("a", "b").join(
+        nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
     both = with_a.join(nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"),
                                     F.col("sketch").alias("sketch_b")), "b")
 
     def run(stream):
         for batch in stream:
-            columns = [c.to_pylist() for c in batch.columns]
-            mask = [may_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m, K, PASS_K, percent)
-                    for _, _, n, m, x, y in zip(*columns)]
-            yield batch.filter(pa.array(mask, pa.bool_())).select(["a", "b"])
+            out = []
+            for a, b, n, m, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                score = estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m, K, PASS_K, percent)
+                if score is not None:
+                    out.append((a, b, score))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
+                ["a", "b", "score"])
 
-    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, score double")
+
+
+def best_of(scored: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The ``n`` pairs with the highest estimates per key; the filter works inside each task first."""
+    order = W.partitionBy(*keys).orderBy(F.desc("score"), "a", "b")
+    return scored.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n).drop("__rank")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
+    """The pairs (a, b) whose whole shingle sets are similar enough."""
+    pairs = pairs.select("a", "b")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
         nodes.select("node", "rep_id", "rep_hash"), "node")
     rows = id_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -239,31 +257,29 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _overlaps(ids, comps, sizes, marks, left: int, percent: int):
-    """Pairs between the first ``left`` members and the rest (or among them, if there is no rest)."""
+    """Index pairs of different components that share enough values, between the first ``left`` members
+    and the rest, or among all if there is no rest."""
     n = len(ids)
+    lengths = np.array([len(m) for m in marks])
     if n <= 12:
         sets = [frozenset(m.tolist()) for m in marks]
         for i in range(left):
             for j in range(left if left < n else i + 1, n):
-                if comps[i] != comps[j] and len(sets[i] & sets[j]) > 0:
+                if comps[i] != comps[j] and SHORT * len(sets[i] & sets[j]) >= PASS_SHORT * max(lengths[i], lengths[j]):
                     yield i, j
         return
     values, where = np.unique(np.concatenate(marks), return_inverse=True)
-    rows = np.repeat(np.arange(n), [len(m) for m in marks])
     held = np.zeros((n, len(values)), np.float32)
-    held[rows, where] = 1
-    first, second = held[:left], held[left:] if left < n else held
-    common = first @ second.T
-    own, other = np.asarray(comps), np.asarray(comps)[left:] if left < n else np.asarray(comps)
-    sizes = np.asarray(sizes, float)
-    other_sizes = sizes[left:] if left < n else sizes
-    ok = (common > 0) & (own[:left, None] != other[None, :])
-    ok &= 100 * np.minimum(sizes[:left, None], other_sizes[None, :]) >= percent * np.maximum(
-        sizes[:left, None], other_sizes[None, :])
+    held[np.repeat(np.arange(n), lengths), where] = 1
+    second = slice(left, n) if left < n else slice(0, n)
+    common = held[:left] @ held[second].T
+    comps, sizes = np.asarray(comps), np.asarray(sizes, float)
+    small, large = (f.outer(sizes[:left], sizes[second]) for f in (np.minimum, np.maximum))
+    ok = SHORT * common >= PASS_SHORT * np.maximum.outer(lengths[:left], lengths[second])
+    ok &= (comps[:left, None] != comps[None, second]) & (100 * small >= percent * large)
     for i, j in zip(*np.nonzero(ok)):
-        j = j + left if left < n else j
         if left < n or i < j:
-            yield int(i), int(j)
+            yield int(i), int(j + second.start)
 
 
 def missed_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
@@ -285,13 +301,21 @@ def missed_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent
     grouped = members.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "second", "node")
 
     def compare(group):
-        ids, comps, sizes = [g[4] for g in group], [g[5] for g in group], [g[6] for g in group]
+        key, comps = group[0][0], [g[5] for g in group]
+        if len(set(comps)) < 2:
+            return
+        ids, sizes = [g[4] for g in group], [g[6] for g in group]
         marks = [np.frombuffer(g[7], np.uint64) for g in group]
         left = len(group) if group[0][1] == group[0][2] else sum(not g[3] for g in group)
-        if len(group) < 2 or not left:
-            return
+        keys: dict[int, list[int]] = {}
         for i, j in _overlaps(ids, comps, sizes, marks, left, percent):
-            if may_link(marks[i], marks[j], sizes[i], sizes[j], SHORT, PASS_SHORT, percent):
+            if estimate(marks[i], marks[j], sizes[i], sizes[j], SHORT, PASS_SHORT, percent) is None:
+                continue
+            for k in (i, j):
+                if k not in keys:
+                    keys[k] = run_keys(marks[k], sizes[k]).tolist()
+            shared = set(keys[j])
+            if next((k for k in keys[i] if k in shared), key) == key:  # else another list has the pair
                 yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
     def run(stream):
@@ -313,6 +337,35 @@ def missed_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
+def between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with ``other``, the component of ``b``."""
+    of_a = comps.select(F.col("node").alias("a"), F.col("component").alias("__a"))
+    of_b = comps.select(F.col("node").alias("b"), F.col("component").alias("__b"))
+    placed = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    other = F.coalesce("__b", "b")
+    return placed.filter(F.coalesce("__a", "a") != other).select(*pairs.columns, other.alias("other"))
+
+
+def center_pairs(shared: DataFrame, comps: DataFrame | None, number: int) -> DataFrame:
+    """Pairs (a, b) of a node and a center of its lists, in different components.
+
+    The centers are members picked by a hash of the node, in the first round also the member with the
+    largest lists. Of similar sets about half of the lists are shared; pairs that share fewer than an
+    eighth are left to the search of the lists.
+    """
+    picked = [F.min(F.struct(F.xxhash64(F.lit(CENTERS * number + i), "node").alias("h"), "node"))["node"]
+              for i in range(CENTERS)]
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"), F.count("*").alias("n_keys"))
+    weighted = shared.join(weights, "node")
+    if not number:
+        picked.append(F.max_by("node", F.struct("weight", -F.col("node"))))
+    centers = weighted.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("centers"))
+    met = weighted.join(centers, "key").select("node", "n_keys", F.explode("centers").alias("b"))
+    pairs = met.filter("node <> b").groupBy(F.col("node").alias("a"), "b").agg(
+        F.count("*").alias("n"), F.max("n_keys").alias("n_keys")).filter("8 * n >= n_keys").select("a", "b")
+    return pairs if comps is None else between(pairs, comps).drop("other")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component, component_id, kept for every row.
 
@@ -324,14 +377,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         F.monotonically_increasing_id().alias("node"), "class", "n_shingles", "sketch",
         F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
     entries = list_entries(nodes)
-    lists = entries.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = materialize(entries.join(lists, "key"))  # key, node, center; lists with several members only
-    top = shared.filter("node <> center").groupBy("node", "center").count().groupBy("node").agg(
-        F.max(F.struct(F.col("count"), (-F.col("center")).alias("c"))).alias("top"))
-    pairs = top.select(F.col("node").alias("a"), (-F.col("top.c")).alias("b"))
-    links = materialize(verified(materialize(estimated(pairs, nodes, percent)), docs, nodes, width, percent))
-    missed = missed_pairs(shared.select("key", "node"), nodes, components(links), percent)
-    more = verified(materialize(estimated(missed, nodes, percent)), docs, nodes, width, percent)
+    lists = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(entries.join(lists, "key"))  # key, node, n; lists with several members only
+    links = None
+    for number in range(ROUNDS):
+        known = components(links) if links is not None else None
+        scored = materialize(estimated(center_pairs(shared, known, number), nodes, percent))
+        more = materialize(verified(best_of(scored, ["a"], BEST), docs, nodes, width, percent))
+        links = more if links is None else links.unionByName(more)
+    known = components(links)
+    scored = materialize(estimated(missed_pairs(shared.select("key", "node"), nodes, known, percent), nodes, percent))
+    first = materialize(verified(best_of(between(scored, known), ["a", "other"], BEST), docs, nodes, width, percent))
+    links = links.unionByName(first)
+    more = verified(materialize(between(scored, components(links)).drop("other")), docs, nodes, width, percent)
     labels = components(links.unionByName(more))
     named = nodes.join(labels, "node", "left").select(
         "class", F.coalesce("component", "node").alias("component"), "rep_id")
