@@ -21,8 +21,11 @@ empty files; further columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import uuid
+from array import array
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -40,32 +43,41 @@ from tidegrid.session import shared_folder
 BLOCK_IDS = 65_536
 LEVEL = 3
 STORE_ENTRIES = 400_000
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 STREAM = "kind string, shard int, position long, block int, plane int, n long, value long, payload binary"
 
 
 def to_planes(ids: np.ndarray, unit: str) -> list[bytes]:
     """Transpose ids into 32 bit planes or 4 byte planes, lowest first."""
-    as_bytes = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+    columns = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
     if unit == "byte":
-        return [np.ascontiguousarray(as_bytes[:, p]).tobytes() for p in range(4)]
-    bits = np.unpackbits(as_bytes, axis=1, bitorder="little")
-    return [p.tobytes() for p in np.packbits(bits.T, axis=1, bitorder="little")]
+        return [c.tobytes() for c in columns]
+    empty = bytes((len(ids) + 7) // 8)
+    return [
+        np.packbits(column >> bit & 1, bitorder="little").tobytes() if column.any() else empty
+        for column in map(np.ascontiguousarray, columns) for bit in range(8)
+    ]
 
 
 def from_planes(planes: list[bytes], n: int, unit: str) -> np.ndarray:
     """The ids of a block whose planes are given in order."""
-    rows = np.stack([np.frombuffer(p, dtype=np.uint8) for p in planes]) if n else np.empty((4, 0), np.uint8)
-    if unit == "bit" and n:
-        bits = np.unpackbits(rows, axis=1, count=n, bitorder="little")
-        rows = np.packbits(bits.T, axis=1, bitorder="little").T
-    return np.ascontiguousarray(rows.T).view("<u4").reshape(-1)
+    columns = np.zeros((4, n), np.uint8)
+    for p, plane in enumerate(np.frombuffer(x, np.uint8) for x in planes):
+        if unit == "byte":
+            columns[p] = plane
+        elif plane.any():
+            columns[p // 8] |= np.unpackbits(plane, count=n, bitorder="little") << p % 8
+    return np.ascontiguousarray(columns.T).view("<u4").reshape(-1)
 
 
 class IdEncoder:
     """Ids of whole texts, by the library's encoder on the pieces between spaces and line ends.
 
-    The tokenizer drops white space and never joins across it, so the pieces can be encoded once
-    each.
+    The tokenizer drops white space and never joins across it, so each distinct piece is encoded
+    once. A piece of letters, perhaps with marks after it, is a word and a run of marks to the
+    tokenizer; the words of a batch are encoded in one call, joined by spaces, and told apart by the
+    token that ends a word.
     """
 
     def __init__(self, file_text: str):
@@ -74,20 +86,68 @@ class IdEncoder:
         self.tokenizer = Tokenizer.from_str(file_text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        suffix = json.loads(file_text)["model"]["end_of_word_suffix"]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.store: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {p for pieces in split for p in pieces}.difference(self.store)
+        pieces = {p for own in split for p in own}
+        new = pieces.difference(self.store)
         if len(self.store) + len(new) > STORE_ENTRIES:
             self.store.clear()
-            new = {p for pieces in split for p in pieces}
-        listed = list(new)
-        encoded = self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)
-        for piece, e in zip(listed, encoded):
-            self.store[piece] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.store.__getitem__, pieces)) for pieces in split]
+            self.words.clear()
+            new = pieces
+        gc.disable()  # only strings and bytes are made here; nothing to collect
+        try:
+            self._learn(new)
+        finally:
+            gc.enable()
+        return [b"".join(map(self.store.__getitem__, own)) for own in split]
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, words, whole = self.words, {}, set()
+        for piece in pieces:
+            word = piece.rstrip(MARKS)
+            if word.isascii():
+                word = word.lower()
+                simple = word.isalpha()
+            else:
+                simple = word.isalpha() and word.lower().isalpha()
+            if simple:
+                words[piece] = word
+                if len(piece) > len(word):
+                    whole.add(piece[len(word):])
+            else:
+                whole.add(piece)
+        self._encode_words(list(set(words.values()).difference(known)), whole)
+        listed = list(whole.difference(known))
+        for piece, e in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)):
+            known[piece] = array("I", e.ids).tobytes()
+        for piece in whole:
+            self.store[piece] = known[piece]
+        for piece, word in words.items():
+            marks = piece[len(word):]
+            self.store[piece] = known[word] + known[marks] if marks else known[word]
+
+    def _encode_words(self, words: list[str], whole: set[str]) -> None:
+        """Encode words in one call; ``whole`` gets them if they do not come back one by one."""
+        if not words:
+            return
+        joined = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):
+            whole.update(words)
+            return
+        data, start = ids.tobytes(), 0
+        for word, cut in zip(words, cuts):
+            self.words[word] = data[start:cut]
+            start = cut
 
 
 @dataclass(frozen=True)
