@@ -256,26 +256,40 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _overlaps(ids, comps, sizes, marks, left: int, percent: int):
-    """Index pairs of different components that share enough values, between the first ``left`` members
-    and the rest, or among all if there is no rest."""
-    n = len(ids)
+def _incidence(values: list[np.ndarray]) -> np.ndarray:
+    """Members by values; values with one holder are left out, they cannot be common."""
+    n, lengths = len(values), [len(v) for v in values]
+    _, where, holders = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    several = holders > 1
+    column, of, used = np.cumsum(several) - 1, np.repeat(np.arange(n), lengths), several[where]
+    held = np.zeros((n, int(several.sum())), np.float32)
+    held[of[used], column[where[used]]] = 1
+    return held
+
+
+def _candidates(key, comps, sizes, marks, left: int, percent: int):
+    """Index pairs of different components that share enough values and no run before ``key``.
+
+    Pairs are between the first ``left`` members and the rest, or among all if there is no rest. A pair
+    is looked at in the first list it shares only.
+    """
+    n = len(marks)
+    runs = [run_keys(m, s) for m, s in zip(marks, sizes)]
+    early = [r[:int(np.argmax(r == key))] if (r == key).any() else r for r in runs]
     lengths = np.array([len(m) for m in marks])
     if n <= 12:
-        sets = [frozenset(m.tolist()) for m in marks]
+        sets, before = ([frozenset(x.tolist()) for x in part] for part in (marks, early))
         for i in range(left):
             for j in range(left if left < n else i + 1, n):
-                if comps[i] != comps[j] and SHORT * len(sets[i] & sets[j]) >= PASS_SHORT * max(lengths[i], lengths[j]):
+                if (comps[i] != comps[j] and before[i].isdisjoint(before[j])
+                        and SHORT * len(sets[i] & sets[j]) >= PASS_SHORT * max(lengths[i], lengths[j])):
                     yield i, j
         return
-    values, where = np.unique(np.concatenate(marks), return_inverse=True)
-    held = np.zeros((n, len(values)), np.float32)
-    held[np.repeat(np.arange(n), lengths), where] = 1
     second = slice(left, n) if left < n else slice(0, n)
-    common = held[:left] @ held[second].T
+    common, earlier = (held[:left] @ held[second].T for held in (_incidence(marks), _incidence(early)))
     comps, sizes = np.asarray(comps), np.asarray(sizes, float)
     small, large = (f.outer(sizes[:left], sizes[second]) for f in (np.minimum, np.maximum))
-    ok = SHORT * common >= PASS_SHORT * np.maximum.outer(lengths[:left], lengths[second])
+    ok = (SHORT * common >= PASS_SHORT * np.maximum.outer(lengths[:left], lengths[second])) & (earlier == 0)
     ok &= (comps[:left, None] != comps[None, second]) & (100 * small >= percent * large)
     for i, j in zip(*np.nonzero(ok)):
         if left < n or i < j:
@@ -307,15 +321,8 @@ def missed_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent
         ids, sizes = [g[4] for g in group], [g[6] for g in group]
         marks = [np.frombuffer(g[7], np.uint64) for g in group]
         left = len(group) if group[0][1] == group[0][2] else sum(not g[3] for g in group)
-        keys: dict[int, list[int]] = {}
-        for i, j in _overlaps(ids, comps, sizes, marks, left, percent):
-            if estimate(marks[i], marks[j], sizes[i], sizes[j], SHORT, PASS_SHORT, percent) is None:
-                continue
-            for k in (i, j):
-                if k not in keys:
-                    keys[k] = run_keys(marks[k], sizes[k]).tolist()
-            shared = set(keys[j])
-            if next((k for k in keys[i] if k in shared), key) == key:  # else another list has the pair
+        for i, j in _candidates(key, comps, sizes, marks, left, percent):
+            if estimate(marks[i], marks[j], sizes[i], sizes[j], SHORT, PASS_SHORT, percent) is not None:
                 yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
     def run(stream):
