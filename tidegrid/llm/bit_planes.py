@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegrid.llm.common import batches_of_texts, text_of
+from tidegrid.llm.common import batches_of_texts, per_worker, text_of
 from tidegrid.session import shared_folder
 
 BLOCK_IDS = 65_536
 LEVEL = 3
-STORE_ENTRIES = 400_000
+STORE_ENTRIES = 600_000
 #: ASCII characters that are neither letters, digits nor white space.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 STREAM = "kind string, shard int, position long, block int, plane int, n long, value long, payload binary"
@@ -179,7 +179,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, unit: str = "bi
 
     def run(stream):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
-        encoder, packer = IdEncoder(shared.value), zstandard.ZstdCompressor(level=LEVEL)
+        text = shared.value
+        encoder = per_worker("ids", text, lambda: IdEncoder(text))
+        packer = zstandard.ZstdCompressor(level=LEVEL)
         shard = TaskContext.get().partitionId()
         waiting, held, block, position = [], 0, 0, 0
 

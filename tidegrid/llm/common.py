@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,14 +34,17 @@ def batches_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield batch.slice(start, TEXT_ROWS)
 
 
-def map_texts(df: DataFrame, schema: str, of_batch: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """Map ``df`` batch by batch; ``of_batch`` returns the output columns by name."""
+def per_worker(kind: str, key: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and keeps for its later tasks.
 
-    def run(batches):
-        for batch in batches_of_texts(batches):
-            yield pa.RecordBatch.from_pydict(of_batch(batch))
-
-    return df.mapInArrow(run, schema)
+    Functions of this subpackage travel by value, so their module variables are new in every task;
+    the object is held by a module of the worker process. One object of a kind is held at a time.
+    """
+    home = sys.modules.setdefault("_tidegrid_worker", types.ModuleType("_tidegrid_worker"))
+    held = home.__dict__.setdefault("held", {})
+    if kind not in held or held[kind][0] != key:
+        held[kind] = (key, make())
+    return held[kind][1]
 
 
 def with_fields(df: DataFrame, **fields: str) -> T.StructType:
@@ -52,4 +57,4 @@ def keep_columns(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return decided.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-__all__ = ["batches_of_texts", "id_text", "keep_columns", "map_texts", "materialize", "text_of", "with_fields"]
+__all__ = ["batches_of_texts", "id_text", "keep_columns", "materialize", "per_worker", "text_of", "with_fields"]
