@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidegrid.llm.common import batches_of_texts, id_text, with_fields
+from tidegrid.llm.common import batches_of_texts, id_text, per_worker, with_fields
 
 #: Fixed value: the pattern that splits text into words before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -219,6 +219,11 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
+def worker_bpe(file_text: str) -> Bpe:
+    """The worker's encoder; what it has stored serves the worker's later tasks."""
+    return per_worker("bpe", file_text, lambda: Bpe(file_text))
+
+
 def encode_ids(docs: DataFrame, tokenizer_path: str, *others: str) -> DataFrame:
     """doc_id, ``others``, n_tokens, ids, round_trip (decoding gives the text) for every row.
 
@@ -231,7 +236,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, *others: str) -> DataFrame:
     names = ["doc_id", *others]
 
     def run(stream):
-        bpe = Bpe(shared.value)
+        bpe = worker_bpe(shared.value)
         for batch in stream:
             for part in batches_of_texts([batch]):
                 texts = part.column(len(names)).to_pylist()
@@ -255,7 +260,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     shared = _shared_file(docs, tokenizer_path)
 
     def run(stream):
-        bpe = Bpe(shared.value)
+        bpe = worker_bpe(shared.value)
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in stream:
             for part in batches_of_texts([batch]):

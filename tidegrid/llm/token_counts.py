@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.bpe import Bpe, _shared_file
+from tidegrid.llm.bpe import _shared_file, worker_bpe
 from tidegrid.llm.common import batches_of_texts, id_text, with_fields
 from tidegrid.session import shared_folder
 
@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     shared = _shared_file(docs, tokenizer_path)
 
     def run(stream):
-        bpe = Bpe(shared.value)
+        bpe = worker_bpe(shared.value)
         for batch in stream:
             for part in batches_of_texts([batch]):
                 texts = part.column(3).to_pylist()
