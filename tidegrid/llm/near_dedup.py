@@ -11,14 +11,15 @@
 3. Nodes are paired with a few centers of the lists they are in: the member
    that shares most lists with others, and members picked by hash, so that the
    same ones recur. Sketches of the union estimate the similarity, the best
-   pairs of a node are verified on whole sets. Two such rounds make components.
+   pairs of a node are verified on whole sets and make components.
 4. Lists that still hold several components are searched for the links missed:
    overlaps between members of different components are counted inside a task,
    block by block, and only pairs that pass the estimate leave it, each in the
-   first list it shares. The best few of a node and component are verified
-   first, the others where these did not join them. So a large group of near
-   copies costs a few verifications a member and no pair is left out: what is
-   skipped lies inside one component already.
+   first list it shares. A first search lets the best few pairs of a member
+   through, which joins nearly all of a large group of near copies; a second
+   one, over the lists that are still mixed, lets every pair through. So a group
+   costs a few verifications a member and no pair is left out: what is skipped
+   lies inside one component already.
 5. Components of the verified links by alternating large and small stars.
 
 The links are confirmed on the full sets of shingles as words, not hashes.
@@ -32,6 +33,7 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from heapq import nsmallest
 from itertools import groupby
 
 import numpy as np
@@ -50,8 +52,8 @@ SHORT = 24
 #: Of K (or SHORT) values of a union sketch, so many in both sets let a pair pass. Two sets of similarity
 #: 0.8 have fewer with a chance below 1e-9.
 PASS_K, PASS_SHORT = 30, 7
-#: Centers of a list in each round of pairing, rounds, and pairs of a node that are verified in one.
-CENTERS, ROUNDS, BEST = 6, 2, 3
+#: Centers of a list, and pairs of a node that are verified in a round.
+CENTERS, BEST = 6, 3
 #: Members of a list that one task compares with each other at a time.
 BLOCK = 512
 #: Stands for a null doc_id where rows are told apart by id.
@@ -296,8 +298,10 @@ def _candidates(key, comps, sizes, marks, left: int, percent: int):
             yield int(i), int(j + second.start)
 
 
-def missed_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one list that pass the short estimate."""
+def missed_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int,
+                 best: int | None = None) -> DataFrame:
+    """Pairs of different components in one list that pass the short estimate; all of them, or the ``best``
+    of a member in a list."""
     placed = entries.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"),
                                       F.max("component").alias("hi")).filter("lo <> hi").select("key", "n")
@@ -321,8 +325,13 @@ def missed_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent
         ids, sizes = [g[4] for g in group], [g[6] for g in group]
         marks = [np.frombuffer(g[7], np.uint64) for g in group]
         left = len(group) if group[0][1] == group[0][2] else sum(not g[3] for g in group)
+        scored: dict[int, list[tuple[float, int]]] = {}
         for i, j in _candidates(key, comps, sizes, marks, left, percent):
-            if estimate(marks[i], marks[j], sizes[i], sizes[j], SHORT, PASS_SHORT, percent) is not None:
+            score = estimate(marks[i], marks[j], sizes[i], sizes[j], SHORT, PASS_SHORT, percent)
+            if score is not None:
+                scored.setdefault(i, []).append((-score, j))
+        for i, found in scored.items():
+            for _, j in found if best is None else nsmallest(best, found):
                 yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
     def run(stream):
@@ -344,33 +353,21 @@ def missed_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
-def between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components, with ``other``, the component of ``b``."""
-    of_a = comps.select(F.col("node").alias("a"), F.col("component").alias("__a"))
-    of_b = comps.select(F.col("node").alias("b"), F.col("component").alias("__b"))
-    placed = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-    other = F.coalesce("__b", "b")
-    return placed.filter(F.coalesce("__a", "a") != other).select(*pairs.columns, other.alias("other"))
+def center_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a node and a center of its lists.
 
-
-def center_pairs(shared: DataFrame, comps: DataFrame | None, number: int) -> DataFrame:
-    """Pairs (a, b) of a node and a center of its lists, in different components.
-
-    The centers are members picked by a hash of the node, in the first round also the member with the
-    largest lists. Of similar sets about half of the lists are shared; pairs that share fewer than an
-    eighth are left to the search of the lists.
+    The centers are the member with the largest lists and members picked by a hash of the node. Of
+    similar sets about half of the lists are shared; pairs that share fewer than an eighth are left to
+    the search of the lists.
     """
-    picked = [F.min(F.struct(F.xxhash64(F.lit(CENTERS * number + i), "node").alias("h"), "node"))["node"]
-              for i in range(CENTERS)]
+    picked = [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node"))["node"] for i in range(CENTERS - 1)]
+    picked.append(F.max_by("node", F.struct("weight", -F.col("node"))))
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"), F.count("*").alias("n_keys"))
     weighted = shared.join(weights, "node")
-    if not number:
-        picked.append(F.max_by("node", F.struct("weight", -F.col("node"))))
     centers = weighted.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("centers"))
     met = weighted.join(centers, "key").select("node", "n_keys", F.explode("centers").alias("b"))
-    pairs = met.filter("node <> b").groupBy(F.col("node").alias("a"), "b").agg(
+    return met.filter("node <> b").groupBy(F.col("node").alias("a"), "b").agg(
         F.count("*").alias("n"), F.max("n_keys").alias("n_keys")).filter("8 * n >= n_keys").select("a", "b")
-    return pairs if comps is None else between(pairs, comps).drop("other")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -386,17 +383,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     entries = list_entries(nodes)
     lists = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = materialize(entries.join(lists, "key"))  # key, node, n; lists with several members only
-    links = None
-    for number in range(ROUNDS):
-        known = components(links) if links is not None else None
-        scored = materialize(estimated(center_pairs(shared, known, number), nodes, percent))
-        more = materialize(verified(best_of(scored, ["a"], BEST), docs, nodes, width, percent))
-        links = more if links is None else links.unionByName(more)
-    known = components(links)
-    scored = materialize(estimated(missed_pairs(shared.select("key", "node"), nodes, known, percent), nodes, percent))
-    first = materialize(verified(best_of(between(scored, known), ["a", "other"], BEST), docs, nodes, width, percent))
-    links = links.unionByName(first)
-    more = verified(materialize(between(scored, components(links)).drop("other")), docs, nodes, width, percent)
+    members = shared.select("key", "node")
+    scored = materialize(estimated(center_pairs(shared), nodes, percent))
+    links = materialize(verified(best_of(scored, ["a"], BEST), docs, nodes, width, percent))
+    missed = missed_pairs(members, nodes, components(links), percent, BEST)
+    scored = materialize(estimated(missed, nodes, percent))
+    best = materialize(best_of(scored, ["a"], BEST).unionByName(best_of(scored, ["b"], BEST)).distinct())
+    links = links.unionByName(materialize(verified(best, docs, nodes, width, percent)))
+    missed = missed_pairs(members, nodes, components(links), percent)
+    more = verified(materialize(estimated(missed, nodes, percent)), docs, nodes, width, percent)
     labels = components(links.unionByName(more))
     named = nodes.join(labels, "node", "left").select(
         "class", F.coalesce("component", "node").alias("component"), "rep_id")
