@@ -147,6 +147,49 @@ def test_near_duplicates_exact_against_brute_force(make_sheet):
     assert got == want
 
 
+def test_full_near_search_against_brute_force(spark, make_sheet, monkeypatch):
+    import random
+
+    from tidegrid.operators import duplicates as du
+    from tidegrid.operators import profile as pf
+
+    monkeypatch.setattr(du, "HOT_BLOCK", 3)  # salted blocks
+    rnd = random.Random(5)
+
+    def edited(x):
+        x = list(x)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(x))
+            x[at:at + rnd.randint(0, 1)] = rnd.choice(["", "q", "é", "日", "a"])
+        return "".join(x)
+
+    bases = ["".join(rnd.choice("abc") for _ in range(n)) for n in (4, 5, 6, 18, 30, 31, 32, 33, 34, 35, 60, 300)]
+    names = [f"Customer#{i:09d}" for i in range(230)] + [edited(b) for b in bases for _ in range(25)]
+    names = [n for n in names if n.strip()]
+    s = make_sheet([f"Name{i}" for i in range(6)], [("x", "x", "x", "x", "x", n) for n in names])
+    flagged = pf.column_profile(s, pf.value_counts(s)).withColumn("is_near_dup_candidate", F.lit(True))
+    values = du.all_near_values(s, pf.value_counts(s), flagged)
+    found = {(r.col_idx, r.value): (r.n_near, r.first_near) for r in du.near_neighbours(values, du.all_near_pairs(values)).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    seen = [n for n in dict.fromkeys(names) if len(n) > 3]
+    near = {n: [] for n in seen}
+    for i, a in enumerate(seen):
+        for b in seen[i + 1:]:
+            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+                near[a].append(names.index(b))
+                near[b].append(names.index(a))
+    assert found == {(5, n): (len(at), min(at)) for n, at in near.items() if at}
+    assert any(len(n) > 256 for _, n in found) and len(seen) > du.NEAR_VALUES
+
+
 def test_strikethrough_and_comments(make_sheet, spark):
     marks = spark.createDataFrame([("s", 1, 0), ("s", 1, 1)], "sheet_id string, row_idx long, col_idx int")
     s = make_sheet(["a1", "b1"], [("1", "2"), ("3", "4")], strikes=marks)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.positions import first_rows
@@ -13,6 +13,10 @@ NEAR_COLUMNS = 5
 NEAR_VALUES = 200
 NEAR_DISTANCE = 2
 NEAR_MIN_CHARS = 3
+#: In the full search, values of up to so many characters meet by their deletions, longer ones by thirds.
+DELETION_CHARS = 32
+#: Blocks with more values than this are dealt out to several tasks.
+HOT_BLOCK = 2000
 
 
 def near_candidates(flagged: DataFrame, max_columns: int = NEAR_COLUMNS) -> DataFrame:
@@ -36,6 +40,10 @@ def near_values(
     chosen = materialize(
         longer.select("sheet_id", "col_idx", "rank", "value", "is_long", "first_row")
     )
+    return _whole_values(sheets, chosen, candidates)
+
+
+def _whole_values(sheets: Sheets, chosen: DataFrame, candidates: DataFrame) -> DataFrame:
     plain = chosen.filter(~F.col("is_long")).drop("is_long")
     long_ones = chosen.filter("is_long")
     if long_ones.isEmpty():
@@ -74,6 +82,122 @@ def near_pair_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("sheet_id").agg(F.count("*").alias("n_near"))
 
 
+def all_near_values(sheets: Sheets, values: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Every distinct value of every eligible column: sheet_id, col_idx, value, first_row."""
+    eligible = materialize(flagged.filter("is_near_dup_candidate").select("sheet_id", "col_idx"))
+    longer = values.filter(F.col("n_chars") > NEAR_MIN_CHARS).join(eligible, ["sheet_id", "col_idx"], "left_semi")
+    chosen = materialize(longer.select("sheet_id", "col_idx", "value", "is_long", "first_row"))
+    return materialize(_whole_values(sheets, chosen, eligible))
+
+
+def _key(*parts: Column) -> Column:
+    return F.xxhash64("sheet_id", "col_idx", *parts)
+
+
+def _without(text: Column, n: int) -> Column:
+    """Array of the texts that are left when ``n`` (0 to 2) characters are deleted."""
+    if n == 0:
+        return F.array(text)
+    places = F.sequence(F.lit(1), F.length(text))
+    if n == 1:
+        return F.transform(places, lambda i: F.concat(
+            F.substring(text, 1, i - 1), F.substring(text, i + 1, F.length(text))))
+    return F.flatten(F.transform(
+        F.sequence(F.lit(1), F.length(text) - 1),
+        lambda i: F.transform(
+            F.sequence(i + 1, F.length(text)),
+            lambda j: F.concat(
+                F.substring(text, 1, i - 1), F.substring(text, i + 1, j - i - 1), F.substring(text, j + 1, F.length(text))))))
+
+
+def _meeting(index: DataFrame, probe: DataFrame) -> DataFrame:
+    """Rows of ``index`` and ``probe`` with equal keys, as a and b; hot keys are dealt out by salt."""
+    hot = materialize(
+        index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BLOCK)
+        .select("key", F.ceil(F.col("n") / HOT_BLOCK).cast("int").alias("salts"))
+    )
+    salts = F.coalesce("salts", F.lit(1))
+    a = index.join(hot, "key", "left").withColumn("salt", F.pmod(F.hash("first_row"), salts))
+    b = probe.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return a.alias("a").join(b.alias("b"), ["key", "salt", "sheet_id", "col_idx"])
+
+
+def _short_pairs(short: DataFrame) -> DataFrame:
+    """Within two edits, two deletions from the longer value leave what so many fewer leave of the other.
+
+    So a block holds values that agree in all but two characters, also where
+    all values of a column share a long beginning.
+    """
+    def rows(*sizes: int) -> DataFrame:
+        keys = F.flatten(F.array(*[F.transform(_without(F.col("value"), n), lambda x: _key(x)) for n in sizes]))
+        return short.select("sheet_id", "col_idx", "first_row", "value", F.explode(F.array_distinct(keys)).alias("key"))
+
+    n_a, n_b = F.length("a.value"), F.length("b.value")
+    once = (n_a > n_b) | ((n_a == n_b) & (F.col("a.first_row") < F.col("b.first_row")))
+    near = F.levenshtein(F.col("a.value"), F.col("b.value"), NEAR_DISTANCE) >= 0
+    return _meeting(rows(2), rows(0, 1, 2)).filter(once & near).select(
+        "sheet_id", "col_idx", F.col("a.first_row").alias("row1"), F.col("b.first_row").alias("row2")
+    )
+
+
+def _long_pairs(long: DataFrame) -> DataFrame:
+    """Within two edits, one third of the shorter value stands whole in the other, shifted by at most two.
+
+    Only keys and rows travel; the texts of the pairs that meet are joined to them.
+    """
+    text, size = F.col("value"), F.length("value")
+
+    def third(chars: Column, i: int, shift: int) -> Column:
+        start, end = F.floor(chars * i / 3), F.floor(chars * (i + 1) / 3)
+        piece = F.substring(text, (start + 1 + shift).cast("int"), (end - start).cast("int"))
+        return F.when(start + shift >= 0, _key(chars, F.lit(i), piece))
+
+    def rows(keys: list[Column]) -> DataFrame:
+        each = F.explode(F.array_compact(F.array_distinct(F.array(*keys)))).alias("key")
+        return long.select("sheet_id", "col_idx", "first_row", size.alias("size"), each)
+
+    index = rows([third(size, i, 0) for i in range(3)])
+    probe = rows([
+        third(size - more, i, shift) for more in range(NEAR_DISTANCE + 1) for i in range(3)
+        for shift in range(-NEAR_DISTANCE, NEAR_DISTANCE + 1) if abs(shift) + abs(more - shift) <= NEAR_DISTANCE
+    ])
+    n_a, n_b = F.col("a.size"), F.col("b.size")
+    once = (n_a < n_b) | ((n_a == n_b) & (F.col("a.first_row") < F.col("b.first_row")))
+    met = _meeting(index, probe).filter(once).select(
+        "sheet_id", "col_idx", F.col("a.first_row").alias("row1"), F.col("b.first_row").alias("row2")
+    ).distinct()
+    for n in ("1", "2"):
+        texts = long.select("sheet_id", "col_idx", F.col("first_row").alias(f"row{n}"), text.alias(f"value{n}"))
+        met = met.join(texts, ["sheet_id", "col_idx", f"row{n}"])
+    near = F.levenshtein(F.col("value1"), F.col("value2"), NEAR_DISTANCE) >= 0
+    return met.filter(near).select("sheet_id", "col_idx", "row1", "row2")
+
+
+def all_near_pairs(values: DataFrame) -> DataFrame:
+    """All pairs within edit distance 2: sheet_id, col_idx, row1 < row2 (first rows of the values)."""
+    size = F.length("value")
+    found = _short_pairs(values.filter(size <= DELETION_CHARS))
+    # Values near the limit are in both parts, so that pairs across it are found.
+    long = values.filter(size > DELETION_CHARS - NEAR_DISTANCE)
+    if not long.isEmpty():
+        found = found.unionByName(_long_pairs(long))
+    return found.select(
+        "sheet_id", "col_idx", F.least("row1", "row2").alias("row1"), F.greatest("row1", "row2").alias("row2")
+    ).distinct()
+
+
+def near_neighbours(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Values with a near one: sheet_id, col_idx, value, first_row, n_near, first_near."""
+    sides = F.explode(F.array(
+        F.struct(F.col("row1").alias("first_row"), F.col("row2").alias("other")),
+        F.struct(F.col("row2").alias("first_row"), F.col("row1").alias("other"))))
+    counted = pairs.select("sheet_id", "col_idx", sides.alias("s")).groupBy(
+        "sheet_id", "col_idx", F.col("s.first_row").alias("first_row")
+    ).agg(F.count("*").alias("n_near"), F.min("s.other").alias("first_near"))
+    return values.join(counted, ["sheet_id", "col_idx", "first_row"]).select(
+        "sheet_id", "col_idx", "value", "first_row", "n_near", "first_near")
+
+
 def exact_duplicate_examples(sheets: Sheets, facts: DataFrame, max_rows: int = 5) -> DataFrame:
     """First two rows of each duplicate group in first-seen order: sheet_id, row_idx.
 

@@ -248,6 +248,20 @@ pairs AS (SELECT a.sheet_id, a.col_idx, a.rn AS rank1, b.rn AS rank2, a.raw AS v
   WHERE abs(length(a.raw) - length(b.raw)) <= 2 AND levenshtein({one_byte('a.raw')}, {one_byte('b.raw')}) <= 2)"""
 
 
+def all_near_cte() -> str:
+    """allpairs: the near pairs of every value of every eligible column, by brute force."""
+    def one_byte(x: str) -> str:  # as in near_cte
+        return f"translate({x}, '台灣科技股份有限公司', '!@#%^&*~`|')"
+
+    return f"""
+allvals AS (SELECT c.sheet_id, c.col_idx, c.raw, min(c.row_idx) AS first_row
+  FROM cells c SEMI JOIN (SELECT * FROM flags WHERE is_near_dup_candidate) d
+  ON c.sheet_id = d.sheet_id AND c.col_idx = d.col_idx WHERE length(c.raw) > 3 GROUP BY ALL),
+allpairs AS (SELECT a.sheet_id, a.col_idx, a.first_row AS row1, b.first_row AS row2
+  FROM allvals a JOIN allvals b ON a.sheet_id = b.sheet_id AND a.col_idx = b.col_idx AND a.first_row < b.first_row
+  WHERE abs(length(a.raw) - length(b.raw)) <= 2 AND levenshtein({one_byte('a.raw')}, {one_byte('b.raw')}) <= 2)"""
+
+
 def scores_cte(width: int) -> str:
     """Everything up to ``scored``: the six indicators with issue penalties and the total."""
     header_like = " UNION ALL ".join(

@@ -273,6 +273,20 @@ def near_duplicates(spark, d):
     return du.near_pairs(du.near_values(s, values, du.near_candidates(flagged)))
 
 
+@register(
+    f"{profile_sql('orders', 'customers', 'parts')}, {o.all_near_cte()}, sides AS (SELECT sheet_id, col_idx, row1 AS first_row, "
+    "row2 AS other FROM allpairs UNION ALL SELECT sheet_id, col_idx, row2, row1 FROM allpairs) SELECT sheet_id, col_idx, "
+    "any_value(raw) AS value, first_row, count(*) AS n_near, min(other) AS first_near FROM sides JOIN allvals "
+    "USING (sheet_id, col_idx, first_row) GROUP BY sheet_id, col_idx, first_row"
+)
+def near_duplicates_full(spark, d):
+    """Without the limits of the scoring rule: every value of every eligible column, with its near ones counted."""
+    s = sheets(spark, d, "orders", "customers", "parts")
+    values = materialize(pf.value_counts(s))
+    chosen = du.all_near_values(s, values, pf.column_flags(pf.column_profile(s, values)))
+    return du.near_neighbours(chosen, du.all_near_pairs(chosen))
+
+
 NAMES_SQL = (
     f"{o.sheets_cte('orders', 'customers')}, {o.cells_cte(9)}, spelled AS (SELECT sheet_id, col_idx, "
     f"replace(v, chr(10), ' ') AS spelling, {o.entity_key('replace(v, chr(10), chr(32))')} AS key, count(*) AS n, min(row_idx) AS first_row "
