@@ -45,3 +45,27 @@ def test_counts(edge_docs, no_docs):
     assert rows.count() == edge_docs.count()
     assert rows.filter("n_bytes = 0").agg(F.sum("n_tokens")).first()[0] == 0
     assert count_tokens(no_docs, path).count() == 0
+
+
+def test_query_counts_every_row(spark, edge_docs, tmp_path, monkeypatch):
+    from tidegrid.llm.queries import op9_token_counts
+
+    more = spark.createDataFrame(
+        [(100 + i, x, "void", "en") for i, x in enumerate([None, "", ""])], "doc_id long, text string, source string, lang string")
+    docs = edge_docs.select(*more.columns).unionByName(more)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    committed = {}
+    commit = TokenRollup.commit
+
+    def told(self, batch, changes):
+        committed[batch] = {r.op: r["count"] for r in changes.groupBy("op").count().collect()}
+        return commit(self, batch, changes)
+
+    monkeypatch.setattr(TokenRollup, "commit", told)
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in op9_token_counts(spark, str(tmp_path)).collect()}
+    counts = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).groupBy("source", "lang").agg(F.sum("n_tokens").alias("n"))
+    tokens = {(r.source, r.lang): r.n for r in counts.collect()}
+    want = {(r.source, r.lang): (r["count"], tokens[r.source, r.lang]) for r in docs.groupBy("source", "lang").count().collect()}
+    assert got == want and got["void", "en"] == (3, 0)
+    deleted = sum(c.get("delete", 0) for c in committed.values())
+    assert 0 < deleted < docs.count()  # deletion takes rows away here
