@@ -34,3 +34,22 @@ def test_hot_text_is_one_entry_per_run(spark):
     got = exact_dedup(docs, entries_per_node=100)
     assert got.filter("group_size = 2000 and keep_id = 5997").count() == 2000
     assert got.filter("kept").count() == 4001
+
+
+def test_rounds_follow_from_the_leaf_partitions(spark, tmp_path, monkeypatch):
+    from tidegrid.llm import exact_dedup as module
+
+    seen, merge = [], module.merge_runs
+    monkeypatch.setattr(module, "merge_runs", lambda d, largest, rounds, fan_in: (
+        seen.append((d.rdd.getNumPartitions(), rounds, fan_in)), merge(d, largest, rounds, fan_in))[1])
+    # Every leaf file is read as a partition of its own.
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        docs = spark.range(600).selectExpr("id as doc_id", "cast(id % 200 as string) as text").repartition(20)
+        got = exact_dedup(docs)
+        assert got.filter("kept").count() == 200 and got.filter("group_size = 3").count() == 600
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (leaves, rounds, fan_in), = seen
+    assert rounds > 1 and fan_in**rounds >= leaves > fan_in ** (rounds - 1)

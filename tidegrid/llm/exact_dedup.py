@@ -19,7 +19,7 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import id_text, materialize
 
-FAN_IN = 16
-#: Rounds are added until a node's stretch is expected to hold at most so many entries.
+FAN_IN = 4
+#: There are at least so many rounds that a node's stretch is expected to hold at most so many entries.
 ENTRIES_PER_NODE = 4_000_000
 RUN = "node int, digest binary, n_bytes long, keep_id long, keep_row long, copies long"
 
@@ -93,6 +93,14 @@ def merge_runs(digests: DataFrame, largest: bool, rounds: int, fan_in: int = FAN
     return runs
 
 
+def _rounds(leaves: int, rows: int, fan_in: int, entries_per_node: int) -> int:
+    """Rounds until the tree has a node for every leaf partition, or more where stretches would be too long."""
+    wanted, rounds = max(leaves, ceil(rows / entries_per_node)), 1
+    while fan_in**rounds < wanted:
+        rounds += 1
+    return rounds
+
+
 def exact_dedup(docs: DataFrame, keep: str = "largest", fan_in: int = FAN_IN,
                 entries_per_node: int = ENTRIES_PER_NODE) -> DataFrame:
     """doc_id, row_no, digest, keep_id, keep_row, group_size, kept: one row per row of ``docs``."""
@@ -103,8 +111,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", fan_in: int = FAN_IN,
             F.octet_length("text").cast("long").alias("n_bytes"),
         )
     )
-    rows = max(digests.count(), 1)
-    rounds = max(1, ceil(log(max(rows / entries_per_node, 1), fan_in)))
+    rounds = _rounds(digests.rdd.getNumPartitions(), digests.count(), fan_in, entries_per_node)
     groups = merge_runs(digests, keep == "largest", rounds, fan_in).filter("copies > 1")
     repeated = groups.select("digest", "n_bytes", "keep_id", "keep_row", "copies")
     joined = digests.join(repeated, ["digest", "n_bytes"], "left")  # AQE splits a hot digest
