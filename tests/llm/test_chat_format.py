@@ -56,3 +56,16 @@ def test_tables(spark):
     got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(chat.format_chat(turns)).collect()}
     assert got == plain([tuple(r) for r in turns.select("conv_id", "turn", "role", "text").collect()])
     assert turns.agg(F.countDistinct("conv_id")).first()[0] == len(got)
+
+
+def test_read_back_refuses_a_wrong_context(spark):
+    import pytest
+
+    turns = [(1, k, ["user", "assistant"][k % 2], f"text {k}") for k in range(11)]
+    out, got = read(spark, turns)
+    assert got == plain(turns)
+    for wrong in (-1, 1, -19):
+        moved = out.examples.withColumn(
+            "context_chars", F.col("context_chars") + F.when(F.col("turn_no") == 5, wrong).otherwise(0))
+        with pytest.raises(Exception, match="own turn"):
+            chat.read_back(chat.Formatted(out.conversations, moved)).collect()

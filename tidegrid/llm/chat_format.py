@@ -123,21 +123,30 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_back(formatted: Formatted) -> DataFrame:
-    """One row per conversation, computed from the formatted text and the loss spans alone."""
+    """One row per conversation, computed from the formatted text and the examples alone.
+
+    A context that does not end at the head of its example's own turn is an error.
+    """
     turns = read_turns(F.col("formatted"))
     listed = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     blocks = formatted.conversations.select("conv_id", "block", "block_start", "formatted")
     # The reply of an example is cut from the stored text by its span, never taken from the input.
     grouped = formatted.examples.groupBy("conv_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("target_start", "target_end"))).alias("spans"))
+        F.array_sort(F.collect_list(F.struct("target_start", "target_end", "context_chars"))).alias("spans"))
     with_spans = _with_same(blocks, grouped, ["conv_id", "block"], "left")
-    replies = F.array_join(F.transform(
-        F.coalesce("spans", F.array().cast("array<struct<target_start:bigint,target_end:bigint>>")),
-        lambda s: unescape(F.substring(
-            F.col("formatted"),
-            (s["target_start"] - F.col("block_start") + 1).cast("int"),
-            (s["target_end"] - s["target_start"]).cast("int"))),
-    ), "")
+
+    def cut(start: Column, end: Column) -> Column:
+        return F.substring(F.col("formatted"), (start - F.col("block_start") + 1).cast("int"), (end - start).cast("int"))
+
+    def reply(s: Column) -> Column:
+        # Escaping keeps both marks out of roles and texts, so only the turn's own head fits.
+        head, body = cut(s["context_chars"], s["target_start"]), cut(s["target_start"], s["target_end"])
+        own = (s["context_chars"] >= F.col("block_start")) & head.startswith(OPEN) & (
+            F.instr(head, F.lit(HEAD_END)) == F.length(head) - F.lit(len(HEAD_END) - 1)) & ~head.contains(CLOSE)
+        return F.when(own, unescape(body)).otherwise(F.raise_error(F.lit("a context does not end at its own turn")))
+
+    spans = "array<struct<target_start:bigint,target_end:bigint,context_chars:bigint>>"
+    replies = F.array_join(F.transform(F.coalesce("spans", F.array().cast(spans)), reply), "")
     per_block = with_spans.select(
         "conv_id", "block", F.size(turns).cast("long").alias("n_turns"), listed.alias("listed"),
         replies.alias("replies"), F.length("formatted").cast("long").alias("chars"))
