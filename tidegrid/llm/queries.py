@@ -18,6 +18,7 @@ from tidegrid.llm.pii import detect, report
 from tidegrid.llm.quality import held_out, score_quality, train
 from tidegrid.llm.sql import SQL
 from tidegrid.llm.token_counts import TokenRollup, count_tokens
+from tidegrid.llm.vector_codes import vector_codes, with_label_errors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,8 +116,13 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, files)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_label_errors(vector_codes(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f for f in (
-        op1_chat_format, op2_bpe, op3_exact_dedup, op4_minhash, op5_line_dedup, op6_quality, op7_decontaminate, op8_pii, op9_token_counts, op10_bit_planes)
+        op1_chat_format, op2_bpe, op3_exact_dedup, op4_minhash, op5_line_dedup, op6_quality, op7_decontaminate, op8_pii, op9_token_counts, op10_bit_planes,
+        op13_vector_codes)
 }
 REGISTRY = {name: (fn, SQL.get(name)) for name, fn in QUERIES.items()}

@@ -8,6 +8,55 @@ _TURNS = r"""
 _ESCAPED = r"replace(replace(replace({}, '\', '\\'), '#', '\#'), '</', '<\/')"
 _HEAD = "'### ' || " + _ESCAPED.format("role") + " || ' ###' || chr(10)"
 
+
+def _assignment(name: str, entries: str) -> str:
+    """CTEs of the nearest entry of every part (distance, then index)."""
+    return f"""
+        {name}_all AS (
+            SELECT c.rn, c.p, e.entry, CAST(sum((c.x - e.x) * (c.x - e.x)) AS BIGINT) AS distance
+            FROM comps c JOIN {entries} e ON c.p = e.p AND c.i = e.i GROUP BY c.rn, c.p, e.entry
+        ), {name} AS (
+            SELECT rn, p, entry, distance FROM {name}_all
+            QUALIFY row_number() OVER (PARTITION BY rn, p ORDER BY distance, entry) = 1
+        )"""
+
+
+def _moved(name: str, assigned: str, entries: str) -> str:
+    """CTE of the codebooks after a round."""
+    return f"""
+        {name} AS (
+            SELECT e.p, e.entry, e.i, coalesce(m.x, e.x) AS x FROM {entries} e LEFT JOIN (
+                SELECT a.p, a.entry, c.i, CAST(floor(CAST(sum(c.x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+                FROM {assigned} a JOIN comps c ON a.rn = c.rn AND a.p = c.p GROUP BY a.p, a.entry, c.i
+            ) m ON e.p = m.p AND e.entry = m.entry AND e.i = m.i
+        )"""
+
+
+_CODES = f"""
+        WITH kept AS (
+            SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rn, len(embedding) // 16 AS w,
+                   [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), cells AS (
+            SELECT rn, w, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS j FROM kept
+        ), comps AS (
+            SELECT rn, j // w AS p, j % w AS i, x FROM cells
+        ), e0 AS (
+            SELECT p, rn - 1 AS entry, i, x FROM comps WHERE rn <= 64
+        ), {_assignment("a1", "e0")}, {_moved("e1", "a1", "e0")},
+        {_assignment("a2", "e1")}, {_moved("e2", "a2", "e1")},
+        {_assignment("a3", "e2")}, coded AS (
+            SELECT rn, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, CAST(sum(distance) AS BIGINT) AS error
+            FROM a3 GROUP BY rn
+        ), digest AS (
+            SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, entry, i)) AS codebooks_sha256 FROM e2
+        )
+        SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               codebooks_sha256
+        FROM kept JOIN coded USING (rn), digest
+"""
+
 SQL = {
     "op1_chat_format": f"""
         WITH t AS ({_TURNS})
@@ -47,4 +96,5 @@ SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op13_vector_codes": _CODES,
 }
