@@ -13,6 +13,7 @@ from tidegrid.llm.common import materialize
 from tidegrid.llm.decontaminate import mark_contaminated
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.line_dedup import line_dedup
+from tidegrid.llm.license_scan import scan_licenses
 from tidegrid.llm.near_dedup import near_duplicates
 from tidegrid.llm.pii import detect, report
 from tidegrid.llm.quality import held_out, score_quality, train
@@ -116,6 +117,20 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, files)
 
 
+def license_columns(scanned: DataFrame) -> DataFrame:
+    places = F.col("places")
+    return scanned.select(
+        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"),
+        F.array_min(places["pos"]).cast("long").alias("first_word"),
+        F.array_max(places["pos"]).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(places["label"])), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_columns(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_label_errors(vector_codes(table(spark, sf_dir, "embeddings")))
 
@@ -123,6 +138,6 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_chat_format, op2_bpe, op3_exact_dedup, op4_minhash, op5_line_dedup, op6_quality, op7_decontaminate, op8_pii, op9_token_counts, op10_bit_planes,
-        op13_vector_codes)
+        op12_license_scan, op13_vector_codes)
 }
 REGISTRY = {name: (fn, SQL.get(name)) for name, fn in QUERIES.items()}

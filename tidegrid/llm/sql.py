@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from tidegrid.llm.license_scan import PHRASES, THRESHOLD, template_rows
+from tidegrid.llm.license_texts import TEMPLATES
+
 _TURNS = r"""
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
@@ -57,6 +60,47 @@ _CODES = f"""
         FROM kept JOIN coded USING (rn), digest
 """
 
+_TEMPLATES = ", ".join(f"({k}, '{label}', {step}, {share}, {words!r})"
+                       for k, label, step, share, words in template_rows(TEMPLATES, THRESHOLD))
+_PHRASES = " UNION ALL ".join(
+    f"SELECT rn, pos, '{label}' AS label FROM marked WHERE " + " AND ".join(
+        f"word{k or ''} = '{w}'" for k, w in enumerate(phrase.split())) for phrase, label in PHRASES)
+_LICENSES = rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), positions AS (
+            SELECT rn, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM docs
+        ), marked AS (
+            SELECT rn, pos, word, lead(word) OVER w AS word1, lead(word, 2) OVER w AS word2
+            FROM positions WINDOW w AS (PARTITION BY rn ORDER BY pos)
+        ), places AS ({_PHRASES}), template AS (
+            SELECT * FROM (VALUES {_TEMPLATES}) t(template, label, step, share, words)
+        ), template_words AS (
+            SELECT template, label, step, share, len(words) AS n, unnest(words) AS word FROM template
+        ), block_words AS (
+            SELECT DISTINCT p.rn, t.template, t.label, t.share, t.n, p.pos // t.step - back.k AS block, p.word
+            FROM positions p JOIN template_words t ON p.word = t.word, (VALUES (0), (1)) back(k)
+            WHERE p.pos // t.step - back.k >= 0
+        ), met AS (
+            SELECT rn, label, count(*) / n AS containment FROM block_words
+            GROUP BY rn, template, label, share, n, block HAVING count(*) >= share
+        ), base AS (
+            SELECT rn, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+                   string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+            FROM places GROUP BY rn
+        ), every AS (
+            SELECT rn, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(containment) AS containment
+            FROM (SELECT rn, label, containment FROM met UNION ALL SELECT rn, label, 1.0 FROM places) GROUP BY rn
+        )
+        SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               CAST(coalesce(containment, 0) AS DOUBLE) AS score
+        FROM docs LEFT JOIN base USING (rn) LEFT JOIN every USING (rn)
+"""
+
 SQL = {
     "op1_chat_format": f"""
         WITH t AS ({_TURNS})
@@ -96,5 +140,6 @@ SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op12_license_scan": _LICENSES,
     "op13_vector_codes": _CODES,
 }
