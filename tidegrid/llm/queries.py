@@ -13,6 +13,7 @@ from tidegrid.llm.common import materialize
 from tidegrid.llm.decontaminate import mark_contaminated
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.line_dedup import line_dedup
+from tidegrid.llm.lexical_search import search
 from tidegrid.llm.license_scan import scan_licenses
 from tidegrid.llm.near_dedup import near_duplicates
 from tidegrid.llm.pii import detect, report
@@ -117,6 +118,10 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, files)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def license_columns(scanned: DataFrame) -> DataFrame:
     places = F.col("places")
     return scanned.select(
@@ -138,6 +143,6 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_chat_format, op2_bpe, op3_exact_dedup, op4_minhash, op5_line_dedup, op6_quality, op7_decontaminate, op8_pii, op9_token_counts, op10_bit_planes,
-        op12_license_scan, op13_vector_codes)
+        op11_lexical_search, op12_license_scan, op13_vector_codes)
 }
 REGISTRY = {name: (fn, SQL.get(name)) for name, fn in QUERIES.items()}

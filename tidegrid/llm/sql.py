@@ -101,6 +101,33 @@ _LICENSES = rf"""
         FROM docs LEFT JOIN base USING (rn) LEFT JOIN every USING (rn)
 """
 
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+          r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+_SEARCH = f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS rn, doc_id, {_TERMS} AS words FROM documents
+        ), totals AS (
+            SELECT count(*) FILTER (WHERE len(words) > 0) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM docs
+        ), tf AS (
+            SELECT rn, doc_id, n, term, count(*) AS tf
+            FROM (SELECT rn, doc_id, len(words) AS n, unnest(words) AS term FROM docs) GROUP BY rn, doc_id, n, term
+        ), df AS (
+            SELECT term, count(*) AS df FROM tf GROUP BY term
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM df, totals
+        ), wanted AS (
+            SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+        ), scored AS (
+            SELECT item_id, rn, doc_id, CAST(sum(w * ((1000000000 * tf) //
+                (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+            FROM wanted JOIN tf USING (term) JOIN weights USING (term), totals GROUP BY item_id, rn, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+        QUALIFY row_number() OVER best <= 50
+"""
+
 SQL = {
     "op1_chat_format": f"""
         WITH t AS ({_TURNS})
@@ -140,6 +167,7 @@ SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op11_lexical_search": _SEARCH,
     "op12_license_scan": _LICENSES,
     "op13_vector_codes": _CODES,
 }
