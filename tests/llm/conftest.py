@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-EDGE = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, hash string, `__x` int"
+EDGE = ("doc_id long, text string, lang string, source string, n_chars long, kept boolean, hash string, `__x` int, "
+        "`__id` int, score double, Predicted int, hits string, n_lines int, _n_lines int, label string, term string")
 
 
 @pytest.fixture(scope="session")
@@ -20,7 +21,7 @@ def edge_docs(spark):
         (9, line + "\nfirst"), (10, "  " + line.upper() + " \nsecond\n"), (11, line), (12, line + "\n" + line),
         (13, "x" * 200_000), (14, "é́ 日本語 🙂 <|endoftext|> \x00 \x1c  z"), (-3, "\n\n\n"), (4, "two"),
     ]
-    full = [(i, t, None if k % 3 else "en", None if k % 2 else "s", None, None, None, None) for k, (i, t) in enumerate(rows)]
+    full = [(i, t, None if k % 3 else "en", None if k % 2 else "s", *[None] * 12) for k, (i, t) in enumerate(rows)]
     return spark.createDataFrame(full, EDGE).repartition(3)
 
 

@@ -48,3 +48,15 @@ def test_edges(spark, edge_docs, no_docs):
     ids = [r.doc_id for r in rows]
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
     assert read_documents(spark, write_ids(no_docs, PATH, 1)).count() == 0
+
+
+def test_some_documents_are_read_by_the_index(spark, small_docs):
+    files = write_ids(small_docs, PATH, 1, "byte", 500, shard_bytes=60_000)
+    documents = files.table(spark, "documents")
+    assert documents.select("shard").distinct().count() > 2
+    every = {r.doc_id: r for r in read_documents(spark, files).collect()}
+    ids = sorted(every)[3:50:9]
+    wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = read_documents(spark, files, wanted)
+    assert {r.doc_id: r for r in got.collect()} == {i: every[i] for i in ids}
+    assert read_documents(spark, files, wanted.limit(0)).count() == 0

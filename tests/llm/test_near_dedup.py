@@ -69,3 +69,71 @@ def test_edges(edge_docs, no_docs):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(6) == 1 and 7 not in ids and ids.count(5) == 0
     assert near_duplicates(no_docs).count() == 0 and near_dedup(no_docs).count() == 0
+
+
+def test_lists_of_several_blocks_and_sparse_families(spark, monkeypatch):
+    """Families of which a part of the pairs is linked, in lists that are cut into bands and blocks."""
+    from tidegrid.llm import near_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK", 16)
+    monkeypatch.setattr(module, "COLUMNS", 50)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    texts = []
+    for n, most in ((200, 10), (60, 12)):
+        base = [word() for _ in range(n)]
+        for _ in range(120):
+            x = list(base)
+            for _ in range(rnd.randint(3, most)):
+                x[rnd.randrange(len(x))] = word()
+            texts.append(" ".join(x[:rnd.randint(int(0.9 * n), n)]))
+    passage = [word() for _ in range(60)]
+    texts += [" ".join([word() for _ in range(rnd.randint(0, 60))] + passage) for _ in range(100)]
+    compare(spark, list(enumerate(texts)), 4)
+
+
+def test_rows_that_leave_the_search_stay_below_the_members(spark):
+    """A list of more than 512 members, about a third of whose pairs is linked, emits no pairs by the square."""
+    from pyspark.sql import functions as F
+
+    from tidegrid.llm import near_dedup as module
+
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(200)]
+    texts = []
+    for _ in range(1000):
+        x = list(base)
+        for k in rnd.sample(range(len(x)), 7):
+            x[k] = word()
+        texts.append(" ".join(x))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = module.sketched(docs, 4)
+    nodes = module.materialize(rows.select(
+        F.monotonically_increasing_id().alias("node"), "n_shingles", "sketch",
+        F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")))
+    entries = module.list_entries(nodes)
+    assert entries.groupBy("key").count().agg(F.max("count")).first()[0] > 512
+    none = spark.createDataFrame([], "node long, component long")
+    members = module.in_groups(module.mixed_members(entries, none, 80).join(
+        nodes.select("node", "sketch"), "node").select(*module.GROUP, "second", "node", "component", "size", "sketch"))
+    assert module.forest_pairs(members, 80).count() < members.count()
+    unresolved = module.materialize(module.open_members(members, 80))
+    links = module.exact_links(unresolved, module.texts_of(unresolved, docs, nodes), 4, 80)
+    groups = unresolved.select(*module.GROUP).distinct().count()
+    assert links.count() <= unresolved.count() - groups
+
+
+def test_only_percentages_the_lists_are_made_for(no_docs):
+    import pytest
+
+    with pytest.raises(ValueError):
+        near_duplicates(no_docs, percent=79)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 5, "x", 9), (2, "a b c d e", 6, "y", 8), (None, None, 7, "z", 7)],
+                                 "doc_id long, text string, __id int, __hash string, hash int")
+    got = near_dedup(docs)
+    assert got.columns == docs.columns and {(r.doc_id, r["__id"], r["__hash"], r["hash"]) for r in got.collect()} == {
+        (1, 5, "x", 9), (None, 7, "z", 7)}

@@ -9,10 +9,10 @@ def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
     scored = score_quality(docs.select("doc_id", "text"), train(docs, labels))
     rows = scored.join(labels, "doc_id").filter(held_out(F.col("doc_id"))).collect()
-    good = [r["__score"] for r in rows if r.quality == 1]
-    bad = [r["__score"] for r in rows if r.quality == 0]
+    good = [r["score"] for r in rows if r.quality == 1]
+    bad = [r["score"] for r in rows if r.quality == 0]
     auc = np.mean([[(g > b) + 0.5 * (g == b) for g in good] for b in bad])
-    assert auc > 0.95 and all(0 <= r["__score"] <= 1 for r in rows)
+    assert auc > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
 
 
 def test_pairs_find_an_interaction():
@@ -30,12 +30,13 @@ def test_inputs_are_the_text_alone(spark, edge_docs, no_docs):
                                    "doc_id long, quality int, toxic int")
     model = train(edge_docs, labels)
     rows = score_quality(edge_docs, model).collect()
+    assert rows[0].__fields__[:-2] == edge_docs.columns and all(r["score"] is None for r in rows)
     assert len(rows) == edge_docs.count()
     by_text = {}
     for r in rows:
-        assert by_text.setdefault(r.text or "", r["__score"]) == r["__score"]
-        assert r["__predicted"] == int(r["__score"] >= 0.3)
+        assert by_text.setdefault(r.text or "", r[-2]) == r[-2]
+        assert r[-1] == int(r[-2] >= 0.3)
     assert score_quality(no_docs, model).count() == 0
     none = train(no_docs, labels.limit(0))
-    assert {round(r["__score"], 6) for r in score_quality(edge_docs, none).collect()} == {0.5}
+    assert {round(r[-2], 6) for r in score_quality(edge_docs, none).collect()} == {0.5}
     assert len(text_features("")) == len(FEATURES)

@@ -41,6 +41,8 @@ from tidegrid.llm.common import batches_of_texts, per_worker, text_of
 from tidegrid.session import shared_folder
 
 BLOCK_IDS = 65_536
+#: Bytes of text of one shard; their number follows from the table, not from a setting.
+SHARD_BYTES = 32_000_000
 LEVEL = 3
 STORE_ENTRIES = 600_000
 #: ASCII characters that are neither letters, digits nor white space.
@@ -169,7 +171,7 @@ class IdFiles:
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, unit: str = "bit",
-              block_ids: int = BLOCK_IDS, folder: str | None = None) -> IdFiles:
+              block_ids: int = BLOCK_IDS, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> IdFiles:
     """Encode, append ``end_id`` to every document and write the file tables in ascending doc_id order."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/tidegrid/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -214,7 +216,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, unit: str = "bi
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     placed = rows.withColumn("__h", F.xxhash64("text"))
-    ordered = placed.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("__h")).sortWithinPartitions(
+    shards = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // shard_bytes)
+    ordered = placed.repartitionByRange(max(shards, 1), F.col("doc_id").asc_nulls_first(), F.col("__h")).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "__h").select("doc_id", "text")
     # The planes are compressed already.
     ordered.mapInArrow(run, STREAM).write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/stream")
@@ -230,10 +233,11 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
 
 
-def read_documents(spark: SparkSession, files: IdFiles) -> DataFrame:
+def read_documents(spark: SparkSession, files: IdFiles, wanted: DataFrame | None = None) -> DataFrame:
     """doc_id, start (over all shards), n_tokens, ids_crc32, decoded from the planes.
 
-    Planes and document entries of a shard meet in one partition, sorted by position; a task holds
+    ``wanted`` (doc_id) limits the result to some documents; the chunk index then tells which blocks
+    hold them, and only the planes of those are read. Planes and document entries of a shard meet in one partition, sorted by position; a task holds
     one decoded block and the checksum of one open document.
     """
     unit, n_planes = files.unit, 32 if files.unit == "bit" else 4
@@ -241,6 +245,14 @@ def read_documents(spark: SparkSession, files: IdFiles) -> DataFrame:
     sizes = documents.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
+    shards = 1 + (sizes.agg(F.max("shard")).first()[0] or 0)
+    planes_of = files.table(spark, "planes")
+    if wanted is not None:
+        documents = documents.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        index = files.table(spark, "index").select("shard", "block", "first_id", "n_ids")
+        touched = documents.join(index, "shard").filter(
+            "start < first_id + n_ids and start + n_tokens > first_id").select("shard", "block").distinct()
+        planes_of = planes_of.join(touched, ["shard", "block"], "left_semi")
 
     def run(stream):
         unpacker, state = zstandard.ZstdDecompressor(), {"shard": None}
@@ -278,11 +290,11 @@ def read_documents(spark: SparkSession, files: IdFiles) -> DataFrame:
                 ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     nothing = F.lit(None)
-    blocks = files.table(spark, "planes").select(
+    blocks = planes_of.select(
         "shard", F.col("first_id").alias("position"), F.lit(0).alias("kind"), "plane", F.col("n_ids").alias("n"),
         nothing.cast("long").alias("doc_id"), nothing.cast("long").alias("base"), "payload")
     entries = documents.join(bases, "shard").select(
         "shard", F.col("start").alias("position"), F.lit(1).alias("kind"), nothing.cast("int").alias("plane"),
         F.col("n_tokens").alias("n"), "doc_id", "base", nothing.cast("binary").alias("payload"))
-    together = blocks.unionByName(entries).repartition("shard").sortWithinPartitions("shard", "position", "kind", "plane")
+    together = blocks.unionByName(entries).repartitionById(shards, "shard").sortWithinPartitions("shard", "position", "kind", "plane")
     return together.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -47,9 +47,21 @@ def per_worker(kind: str, key: str, make: Callable[[], object]) -> object:
     return held[kind][1]
 
 
-def with_fields(df: DataFrame, **fields: str) -> T.StructType:
+def with_fields(df: DataFrame, fields: dict[str, str] | None = None, **named: str) -> T.StructType:
     """The schema of ``df`` followed by further fields; null texts may have become empty ones."""
-    return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in fields.items())])
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in ((fields or {}) | named).items())])
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def keep_columns(docs: DataFrame, decided: DataFrame) -> DataFrame:
@@ -57,4 +69,4 @@ def keep_columns(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return decided.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-__all__ = ["batches_of_texts", "id_text", "keep_columns", "materialize", "per_worker", "text_of", "with_fields"]
+__all__ = ["batches_of_texts", "fresh_names", "id_text", "keep_columns", "materialize", "per_worker", "text_of", "with_fields"]

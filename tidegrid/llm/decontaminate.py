@@ -13,10 +13,10 @@ automaton and what is broadcast stay bounded; each block is one pass over the
 documents.
 
 Nulls and edges: null and empty texts match nothing; an item with a normal
-form shorter than ``min_chars`` is no passage and is left out; a null
-``item_id`` is reported as null; equal items are reported each; rows are
+form shorter than 20 characters has no budget and must stand whole between
+words; one without letters and digits, or null, is left out; a null ``item_id`` is reported as null; equal items are reported each; rows are
 independent, so repeated rows repeat; without items no document matches;
-further columns pass through.
+further columns pass through, also one that is named as the added one.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import batches_of_texts, materialize, with_fields
+from tidegrid.llm.common import batches_of_texts, fresh_names, materialize, with_fields
 
-RATE, MIN_CHARS = 0.05, 20
+RATE = 0.05
 BLOCK_CHARS = 4_000_000
 _GAPS = re.compile(r"[\W_]+")
 
@@ -85,6 +85,10 @@ def masks_of(pattern: str) -> dict[str, int]:
     return out
 
 
+def _at_words(form: str, start: int, end: int) -> bool:
+    return (start == 0 or form[start - 1] == " ") and (end == len(form) or form[end] == " ")
+
+
 @dataclass
 class Matcher:
     """Automaton over the pieces of a block of items (item_id, normal form)."""
@@ -115,13 +119,13 @@ class Matcher:
             k, m = budget(len(item), self.rate), len(item)
             best, done = k + 1, -1
             for start in sorted(set(at)):
-                if form.startswith(item, max(start, 0)) and start >= 0:
+                if start >= 0 and form.startswith(item, start) and (k or _at_words(form, start, start + m)):
                     best = 0
                     break
             else:
                 if number not in self.masks:
                     self.masks[number] = masks_of(item)
-                for start in sorted(set(at)):
+                for start in sorted(set(at)) if k else ():
                     lo, hi = max(start - k, 0), min(start + m + k, len(form))
                     if hi <= done:
                         continue
@@ -134,12 +138,12 @@ class Matcher:
         return out
 
 
-def _blocks(items: DataFrame, min_chars: int):
+def _blocks(items: DataFrame):
     """The items in blocks of bounded size, streamed to the driver one partition at a time."""
     block, size = [], 0
     for row in items.select("item_id", "text").filter("text is not null").toLocalIterator():
         text = normal(row.text)
-        if len(text) < min_chars:
+        if not text:
             continue
         if size + len(text) > BLOCK_CHARS and block:
             yield block
@@ -150,13 +154,17 @@ def _blocks(items: DataFrame, min_chars: int):
         yield block
 
 
-def mark_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with __hits: array of (item_id, distance), empty for clean documents."""
+def mark_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+    """``docs`` followed by an array of (item_id, distance), empty for clean documents.
+
+    This last column is named hits, with underscores before where taken.
+    """
     spark, names, at = docs.sparkSession, docs.columns, docs.columns.index("text")
+    (added,) = fresh_names(docs, "hits")
     hit = "array<struct<item_id:bigint,distance:bigint>>"
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64())]))
-    marked = docs.withColumn("__hits", F.array().cast(hit))
-    schema = with_fields(docs, __hits=hit)
+    marked = docs.withColumn(added, F.array().cast(hit))
+    schema = with_fields(docs, {added: hit})
 
     def one_pass(block):
         def run(stream):
@@ -167,11 +175,11 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, min
                     found = [known + [{"item_id": i, "distance": d} for i, d in matcher.find(t or "")]
                              for t, known in zip(part.column(at).to_pylist(), before)]
                     yield pa.RecordBatch.from_arrays(
-                        [*part.columns[:-1], pa.array(found, arrow)], names=[*names, "__hits"])
+                        [*part.columns[:-1], pa.array(found, arrow)], names=[*names, added])
 
         return run
 
-    for n, block in enumerate(_blocks(items, min_chars)):
+    for n, block in enumerate(_blocks(items)):
         if n:  # further blocks: the passes follow each other over a written table
             marked = materialize(marked)
         marked = marked.mapInArrow(one_pass(spark.sparkContext.broadcast(block)), schema)

@@ -88,7 +88,7 @@ def merge_runs(digests: DataFrame, largest: bool, rounds: int, fan_in: int = FAN
         digit = F.pmod(F.floor(head / F.lit(place)), F.lit(fan_in))
         own = F.pmod(F.floor(F.col("node") / F.lit(place)), F.lit(fan_in))
         target = (F.col("node") + (digit - own) * F.lit(place)).cast("int")
-        exchanged = runs.withColumn("node", target).repartition("node")
+        exchanged = runs.withColumn("node", target).repartitionById(nodes, "node")  # one node a task
         runs = _sorted_run(exchanged, largest)
     return runs
 

@@ -15,7 +15,8 @@ A-Z lower-cased; its hash is MD5 (128 bits), so keys are equal when hashes are.
 Nulls and edges: null and empty texts are one empty line; rows with the same
 ``doc_id`` count as one document and a null ``doc_id`` as one below all others;
 repeated lines of a document count once but are all dropped or kept together;
-an empty table gives an empty result; further columns pass through.
+an empty table gives an empty result; further columns pass through, also those
+that are named as the added ones.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import batches_of_texts, id_text, materialize, text_of, with_fields
+from tidegrid.llm.common import batches_of_texts, fresh_names, id_text, materialize, text_of, with_fields
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FAN_IN = 4, 2
@@ -125,7 +126,11 @@ class LineRuns:
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
-    """``docs`` with the deduplicated text and the columns __n_lines and __n_dropped."""
+    """``docs`` with the deduplicated text, followed by the numbers of lines and of dropped lines.
+
+    These last two columns are named n_lines and n_dropped, with underscores before where taken.
+    """
+    id_name, hashes_name, *added = fresh_names(docs, "line_id", "hashes", "n_lines", "n_dropped")
     lines = materialize(distinct_lines(docs, batches, min_chars))
     runs = LineRuns(min_docs, fan_in)
     for b in range(batches):
@@ -134,11 +139,11 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     dropped = (
         lines.join(repeated, "hash")  # a line that a third of the documents share is split by AQE
         .filter("doc_id != holder")
-        .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("hash").alias("__hashes"))
+        .groupBy(F.col("doc_id").alias(id_name)).agg(F.collect_set("hash").alias(hashes_name))
     )
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    joined = docs.withColumn("__id", own_id).withColumn("text", text_of()).join(dropped, "__id", "left").drop("__id")
-    schema = with_fields(docs, __n_lines="long", __n_dropped="long")
+    joined = docs.withColumn(id_name, own_id).withColumn("text", text_of()).join(dropped, id_name, "left").drop(id_name)
+    schema = with_fields(docs, dict.fromkeys(added, "long"))
     names, at = docs.columns, docs.columns.index("text")
 
     def rebuild(stream):
@@ -159,7 +164,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-                    names=[*names, "__n_lines", "__n_dropped"],
+                    names=[*names, *added],
                 )
 
     return joined.mapInArrow(rebuild, schema)

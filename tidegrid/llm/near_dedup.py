@@ -12,14 +12,15 @@
    that shares most lists with others, and members picked by hash, so that the
    same ones recur. Sketches of the union estimate the similarity, the best
    pairs of a node are verified on whole sets and make components.
-4. Lists that still hold several components are searched for the links missed:
-   overlaps between members of different components are counted inside a task,
-   block by block, and only pairs that pass the estimate leave it, each in the
-   first list it shares. A first search lets the best few pairs of a member
-   through, which joins nearly all of a large group of near copies; a second
-   one, over the lists that are still mixed, lets every pair through. So a group
-   costs a few verifications a member and no pair is left out: what is skipped
-   lies inside one component already.
+4. Lists that still hold several components are searched for the links missed,
+   block by block inside tasks; a pair is looked at in the first list it shares.
+   A first search emits only a spanning forest of what passes the estimate,
+   best overlaps first, and of those one pair per two components. A second one
+   fetches the whole texts of the members that still have an unresolved
+   partner, compares whole sets inside the task, confirms every link on the
+   words and joins members on the spot. Neither emits more rows than a block
+   has members, and no pair is left out: what is skipped lies inside one
+   component already.
 5. Components of the verified links by alternating large and small stars.
 
 The links are confirmed on the full sets of shingles as words, not hashes.
@@ -33,8 +34,8 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from heapq import nsmallest
 from itertools import groupby
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -43,23 +44,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import batches_of_texts, id_text, keep_columns, materialize, text_of
+from tidegrid.llm.common import batches_of_texts, fresh_names, id_text, keep_columns, materialize, text_of
 
 WIDTH, PERCENT = 4, 80
 K, RUN = 64, 3
-#: Values of the sketch that the search inside lists compares, as 32 bits each.
-SHORT = 24
-#: Of K (or SHORT) values of a union sketch, so many in both sets let a pair pass. Two sets of similarity
-#: 0.8 have fewer with a chance below 1e-9.
-PASS_K, PASS_SHORT = 30, 7
+#: Lowest percentage the lists are made for, and the chance of a linked pair to fail the estimate.
+LEAST_PERCENT, CHANCE = 80, 1e-11
 #: Centers of a list, and pairs of a node that are verified in a round.
 CENTERS, BEST = 6, 3
-#: Members of a list that one task compares with each other at a time.
-BLOCK = 512
+#: Members of a list that one task compares with each other at a time, and sketch values it holds as columns.
+BLOCK, COLUMNS = 512, 8192
 #: Stands for a null doc_id where rows are told apart by id.
 NO_ID = -(2**63)
 
 
+def least_common(percent: int, k: int = K, chance: float = CHANCE) -> int:
+    """Values in both sets, of the ``k`` smallest of the union, that let a pair pass.
+
+    Two sets of that similarity have fewer with at most the given chance.
+    """
+    p, below = percent / 100, 0.0
+    for c in range(k + 1):
+        below += comb(k, c) * p**c * (1 - p) ** (k - c)
+        if below > chance:
+            return c
+    return k
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 1_000_000:
@@ -142,7 +153,7 @@ def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
 
 
 def list_entries(nodes: DataFrame) -> DataFrame:
-    """key, node: one row per list a node is in."""
+    """key, node, size: one row per list a node is in."""
 
     def run(stream):
         for batch in stream:
@@ -153,9 +164,9 @@ def list_entries(nodes: DataFrame) -> DataFrame:
                 counts = [len(x) for x in keys]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)),
-                     pa.array(np.repeat(part.column(0).to_numpy(), counts))], ["key", "node"])
+                     *(pa.array(np.repeat(part.column(i).to_numpy(), counts)) for i in (0, 1))], ["key", "node", "size"])
 
-    return nodes.select("node", "n_shingles", "sketch").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "n_shingles", "sketch").mapInArrow(run, "key long, node long, size long")
 
 
 def union_overlap(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
@@ -181,12 +192,13 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
     both = with_a.join(nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"),
                                     F.col("sketch").alias("sketch_b")), "b")
+    least = least_common(percent)
 
     def run(stream):
         for batch in stream:
             out = []
             for a, b, n, m, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                score = estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m, K, PASS_K, percent)
+                score = estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m, K, least, percent)
                 if score is not None:
                     out.append((a, b, score))
             columns = list(zip(*out)) or [(), (), ()]
@@ -203,15 +215,19 @@ def best_of(scored: DataFrame, keys: list[str], n: int) -> DataFrame:
     return scored.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n).drop("__rank")
 
 
+def texts_of(needed: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the nodes needed."""
+    needed = needed.select("node").distinct().join(nodes.select("node", "rep_id", "rep_hash"), "node")
+    rows = id_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.join(
+        needed, rows["doc_id"].eqNullSafe(needed["rep_id"]) & (rows["text_hash"] == needed["rep_hash"])
+    ).groupBy("node").agg(F.min("text").alias("text"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough."""
     pairs = pairs.select("a", "b")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
-        nodes.select("node", "rep_id", "rep_hash"), "node")
-    rows = id_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = materialize(rows.join(
-        needed, rows["doc_id"].eqNullSafe(needed["rep_id"]) & (rows["text_hash"] == needed["rep_hash"])
-    ).groupBy("node").agg(F.min("text").alias("text")))
+    texts = materialize(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, nodes))
     # Sorted by b, the set of a frequent partner is built once per task.
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
@@ -258,99 +274,229 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _incidence(values: list[np.ndarray]) -> np.ndarray:
-    """Members by values; values with one holder are left out, they cannot be common."""
-    n, lengths = len(values), [len(v) for v in values]
+class _Joined:
+    """Union-find over numbers of components."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = x
+        while (up := self.parent.get(root, root)) != root:
+            root = up
+        while x != root:
+            self.parent[x], x = root, self.parent.get(x, x)
+        return root
+
+    def join(self, x: int, y: int) -> None:
+        self.parent[self.find(x)] = self.find(y)
+
+
+def _common_counts(values: list[np.ndarray], left: int, second: slice) -> np.ndarray:
+    """Common values of the first ``left`` members with those of ``second``; values with one holder are left out."""
+    n = len(values)
     _, where, holders = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     several = holders > 1
-    column, of, used = np.cumsum(several) - 1, np.repeat(np.arange(n), lengths), several[where]
-    held = np.zeros((n, int(several.sum())), np.float32)
-    held[of[used], column[where[used]]] = 1
-    return held
+    used = several[where]
+    column = (np.cumsum(several) - 1)[where[used]]
+    member = np.repeat(np.arange(n), [len(v) for v in values])[used]
+    out = np.zeros((left, second.stop - second.start), np.float32)
+    for start in range(0, int(several.sum()), COLUMNS):
+        here = (column >= start) & (column < start + COLUMNS)
+        held = np.zeros((n, min(COLUMNS, int(several.sum()) - start)), np.float32)
+        held[member[here], column[here] - start] = 1
+        out += held[:left] @ held[second].T
+    return out
+
 
+def _runs_before(sketch: np.ndarray, size: int, key: int) -> np.ndarray:
+    runs = run_keys(sketch, size)
+    return runs[:int(np.argmax(runs == key))] if (runs == key).any() else runs
 
-def _candidates(key, comps, sizes, marks, left: int, percent: int):
-    """Index pairs of different components that share enough values and no run before ``key``.
+
+def _candidates(key, comps, sizes, marks, left: int, percent: int, least: int) -> list[tuple[int, int]]:
+    """Index pairs of different components that may pass the estimate and share no list before ``key``; best first.
 
     Pairs are between the first ``left`` members and the rest, or among all if there is no rest. A pair
     is looked at in the first list it shares only.
     """
     n = len(marks)
-    runs = [run_keys(m, s) for m, s in zip(marks, sizes)]
-    early = [r[:int(np.argmax(r == key))] if (r == key).any() else r for r in runs]
-    lengths = np.array([len(m) for m in marks])
     if n <= 12:
-        sets, before = ([frozenset(x.tolist()) for x in part] for part in (marks, early))
+        sets, early, found = [frozenset(m.tolist()) for m in marks], {}, []
+
+        def before(i):
+            if i not in early:
+                early[i] = frozenset(_runs_before(marks[i], sizes[i], key).tolist())
+            return early[i]
+
         for i in range(left):
             for j in range(left if left < n else i + 1, n):
-                if (comps[i] != comps[j] and before[i].isdisjoint(before[j])
-                        and SHORT * len(sets[i] & sets[j]) >= PASS_SHORT * max(lengths[i], lengths[j])):
-                    yield i, j
-        return
+                if comps[i] != comps[j] and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]):
+                    common = len(sets[i] & sets[j])
+                    if K * common >= least * max(len(sets[i]), len(sets[j])) and before(i).isdisjoint(before(j)):
+                        found.append((-common, i, j))
+        return [(i, j) for _, i, j in sorted(found)]
     second = slice(left, n) if left < n else slice(0, n)
-    common, earlier = (held[:left] @ held[second].T for held in (_incidence(marks), _incidence(early)))
-    comps, sizes = np.asarray(comps), np.asarray(sizes, float)
+    common = _common_counts(marks, left, second)
+    lengths, comps, sizes = np.array([len(m) for m in marks]), np.asarray(comps), np.asarray(sizes, float)
     small, large = (f.outer(sizes[:left], sizes[second]) for f in (np.minimum, np.maximum))
-    ok = (SHORT * common >= PASS_SHORT * np.maximum.outer(lengths[:left], lengths[second])) & (earlier == 0)
-    ok &= (comps[:left, None] != comps[None, second]) & (100 * small >= percent * large)
-    for i, j in zip(*np.nonzero(ok)):
-        if left < n or i < j:
-            yield int(i), int(j + second.start)
-
-
-def missed_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int,
-                 best: int | None = None) -> DataFrame:
-    """Pairs of different components in one list that pass the short estimate; all of them, or the ``best``
-    of a member in a list."""
-    placed = entries.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"),
-                                      F.max("component").alias("hi")).filter("lo <> hi").select("key", "n")
-    members = placed.join(mixed, "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    # A long list is cut into blocks; a member goes to every pair of blocks its own block is in.
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    members = members.withColumn("part", part).select(
-        "key", "node", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    members = members.select(
-        "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
-        (F.col("part") > F.col("other")).alias("second"), "node", "component")
-    short = F.expr(f"substring(sketch, 1, {8 * SHORT})")
-    members = members.join(nodes.select("node", "n_shingles", short.alias("short")), "node").select(
-        "key", "lo", "hi", "second", "node", "component", "n_shingles", "short")
-    grouped = members.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "second", "node")
-
-    def compare(group):
-        key, comps = group[0][0], [g[5] for g in group]
-        if len(set(comps)) < 2:
-            return
-        ids, sizes = [g[4] for g in group], [g[6] for g in group]
-        marks = [np.frombuffer(g[7], np.uint64) for g in group]
-        left = len(group) if group[0][1] == group[0][2] else sum(not g[3] for g in group)
-        scored: dict[int, list[tuple[float, int]]] = {}
-        for i, j in _candidates(key, comps, sizes, marks, left, percent):
-            score = estimate(marks[i], marks[j], sizes[i], sizes[j], SHORT, PASS_SHORT, percent)
-            if score is not None:
-                scored.setdefault(i, []).append((-score, j))
-        for i, found in scored.items():
-            for _, j in found if best is None else nsmallest(best, found):
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+    ok = (K * common >= least * np.maximum.outer(lengths[:left], lengths[second])) & (100 * small >= percent * large)
+    ok &= comps[:left, None] != comps[None, second]
+    if left == n:
+        ok &= np.arange(n)[:, None] < np.arange(n)[None]
+    if not ok.any():
+        return []
+    runs = [_runs_before(m, int(s), key) for m, s in zip(marks, sizes)]
+    ok &= _common_counts(runs, left, second) == 0
+    i, j = np.nonzero(ok)
+    order = np.argsort(-common[i, j], kind="stable")
+    return list(zip(i[order].tolist(), (j[order] + second.start).tolist()))
 
-    def run(stream):
-        waiting = []
 
-        def found(groups):
-            pairs = {p for g in groups for p in compare(g)}
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+#: The group of rows a task compares: list, band of sizes, within it or with the band below, blocks.
+GROUP = ["key", "band", "across", "lo", "hi"]
 
-        for batch in stream:
-            rows = waiting + list(zip(*(c.to_pylist() for c in batch.columns)))
-            groups = [list(g) for _, g in groupby(rows, key=lambda r: r[:3])]
-            waiting = groups.pop() if groups else []
-            yield found(groups)
-        if waiting:
-            yield found([waiting])
 
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+def mixed_members(entries: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """GROUP, second, node, component, size: the members of lists that hold several components.
+
+    A list of up to ``BLOCK`` members is one group. A longer one is cut into bands of sizes, so that a
+    pair that can be linked is in one band or in two neighbouring ones, and bands into blocks; a member
+    goes to the groups of its block with each block of its own and of the neighbouring bands.
+    """
+    placed = entries.join(comps, "node", "left").select(
+        "key", "node", "size", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"),
+                                      F.max("component").alias("high")).filter("low <> high").select("key", "n")
+    step = log(100 / percent) if percent < 100 else 1.0
+    band = F.when(F.col("n") > BLOCK, F.floor(F.log("size") / step + 1e-9)).otherwise(-1)
+    members = placed.join(mixed, "key").withColumn("band", band.cast("int"))
+    held = members.filter(F.col("n") > BLOCK).groupBy("key", "band").count()
+    blocks = held.groupBy("key").agg(F.map_from_entries(F.collect_list(
+        F.struct("band", F.ceil(F.col("count") / BLOCK).cast("int").alias("n")))).alias("blocks"))
+    members = members.join(blocks, "key", "left")
+    own, below, above = (F.coalesce(F.try_element_at("blocks", F.col("band") + k), F.lit(0 if k else 1)) for k in (0, -1, 1))
+    part = F.pmod(F.xxhash64("node"), own).cast("int")
+    members = members.select("key", "node", "component", "size", "band", own.alias("own"), below.alias("below"),
+                             above.alias("above"), part.alias("part"))
+
+    def each(n, make):
+        return F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")),
+                           lambda other: F.struct(*[c.alias(name) for c, name in zip(make(other), [*GROUP[1:], "second"])]))
+
+    b, p, yes, no = F.col("band"), F.col("part"), F.lit(True), F.lit(False)
+    groups = F.concat(each("own", lambda o: (b, no, F.least(p, o), F.greatest(p, o), p > o)),
+                      each("below", lambda o: (b, yes, p, o, no)), each("above", lambda o: (b + 1, yes, o, p, yes)))
+    return members.select("key", F.explode(groups).alias("g"), "node", "component", "size").select(
+        "key", "g.*", "node", "component", "size")
+
+
+def in_groups(members: DataFrame) -> DataFrame:
+    return members.repartition(*GROUP).sortWithinPartitions(*GROUP, "second", "node")
+
+
+def _left(group: list[tuple]) -> int:
+    """Rows of the group's first block, or all if it has one block only."""
+    _, _, across, lo, hi, *_ = group[0]
+    return sum(not g[5] for g in group) if across or lo != hi else len(group)
+
+
+def _by_group(stream, handle):
+    """``handle`` the rows of the groups of each batch; a group may go on in the next batch."""
+    waiting = []
+    for batch in stream:
+        rows = waiting + list(zip(*(c.to_pylist() for c in batch.columns)))
+        groups = [list(g) for _, g in groupby(rows, key=lambda r: r[:5])]
+        waiting = groups.pop() if groups else []
+        yield handle(groups)
+    if waiting:
+        yield handle([waiting])
+
+
+def _compared(group: list[tuple], percent: int, least: int):
+    """Index pairs that may pass, and the estimate of a pair, for rows of GROUP, second, node, component, size, sketch."""
+    comps, sizes = [g[7] for g in group], [g[8] for g in group]
+    left = _left(group)
+    if len(set(comps)) < 2 or not 0 < left:
+        return [], None
+    marks = [np.frombuffer(g[9], np.uint64) for g in group]
+    return (_candidates(group[0][0], comps, sizes, marks, left, percent, least),
+            lambda i, j: estimate(marks[i], marks[j], sizes[i], sizes[j], K, least, percent))
+
+
+def forest_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that span, in each group, the components which the estimate would join; one of two components."""
+    least = least_common(percent)
+
+    def handle(groups):
+        out = []
+        for group in groups:
+            joined = _Joined()
+            pairs, score = _compared(group, percent, least)
+            for i, j in pairs:
+                ci, cj = group[i][7], group[j][7]
+                if joined.find(ci) != joined.find(cj) and (s := score(i, j)) is not None:
+                    joined.join(ci, cj)
+                    out.append((*sorted([ci, cj]), *sorted([group[i][6], group[j][6]]), s))
+        columns = list(zip(*out)) or [()] * 5
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.float64())],
+            ["first", "other", "a", "b", "score"])
+
+    found = members.mapInArrow(lambda stream: _by_group(stream, handle), "first long, other long, a long, b long, score double")
+    best = F.max_by(F.struct("a", "b"), F.struct("score", -F.col("a"), -F.col("b")))
+    return found.groupBy("first", "other").agg(best.alias("pair")).select("pair.*")
+
+
+def open_members(members: DataFrame, percent: int) -> DataFrame:
+    """GROUP, second, node, component: the members of a group that still have a partner which passes the estimate."""
+    least = least_common(percent)
+
+    def handle(groups):
+        out = []
+        for group in groups:
+            pairs, score = _compared(group, percent, least)
+            held = set()
+            for i, j in pairs:
+                if not (i in held and j in held) and score(i, j) is not None:
+                    held |= {i, j}
+            out += [group[i][:8] for i in sorted(held)]
+        columns = list(zip(*out)) or [()] * 8
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                          [*GROUP, "second", "node", "component"])
+
+    schema = "key long, band int, across boolean, lo int, hi int, second boolean, node long, component long"
+    return members.mapInArrow(lambda stream: _by_group(stream, handle), schema)
+
+
+def exact_links(open_rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that span what is linked in each group, compared on whole sets and confirmed on the words."""
+    least = least_common(percent)
+    rows = in_groups(open_rows.join(texts, "node").select(*GROUP, "second", "node", "component", "text"))
+
+    def links(group):
+        joined, hashes = _Joined(), _WordHashes()
+        words = lambda i: words_of(group[i][8])
+        sets = [shingle_hashes(words(i), width, hashes) for i in range(len(group))]
+        sizes, comps = [len(x) for x in sets], [g[7] for g in group]
+        pairs = _candidates(group[0][0], comps, sizes, [x[:K] for x in sets], _left(group), percent, least)
+        for i, j in pairs:
+            if joined.find(comps[i]) == joined.find(comps[j]):
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                own, other = (shingle_set(words(x), width) for x in (i, j))
+                common = len(own & other)
+                if 100 * common >= percent * (len(own) + len(other) - common):
+                    joined.join(comps[i], comps[j])
+                    yield min(group[i][6], group[j][6]), max(group[i][6], group[j][6])
+
+    def handle(groups):
+        found = [p for g in groups for p in links(g)]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(lambda stream: _by_group(stream, handle), "a long, b long")
 
 
 def center_pairs(shared: DataFrame) -> DataFrame:
@@ -375,6 +521,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     ``component`` is the number of the group's smallest node, null for an empty set.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"the lists find links of {LEAST_PERCENT} percent and more")
     rows = materialize(sketched(docs, width))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep")
     nodes = materialize(rows.filter("n_shingles > 0").groupBy("class", "n_shingles", "sketch").agg(first).select(
@@ -382,16 +530,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")))
     entries = list_entries(nodes)
     lists = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(entries.join(lists, "key"))  # key, node, n; lists with several members only
-    members = shared.select("key", "node")
+    shared = materialize(entries.join(lists, "key"))  # key, node, size, n; lists with several members only
+    members = shared.select("key", "node", "size")
     scored = materialize(estimated(center_pairs(shared), nodes, percent))
     links = materialize(verified(best_of(scored, ["a"], BEST), docs, nodes, width, percent))
-    missed = missed_pairs(members, nodes, components(links), percent, BEST)
-    scored = materialize(estimated(missed, nodes, percent))
-    best = materialize(best_of(scored, ["a"], BEST).unionByName(best_of(scored, ["b"], BEST)).distinct())
-    links = links.unionByName(materialize(verified(best, docs, nodes, width, percent)))
-    missed = missed_pairs(members, nodes, components(links), percent)
-    more = verified(materialize(estimated(missed, nodes, percent)), docs, nodes, width, percent)
+
+    def mixed(links):
+        placed = mixed_members(members, components(links), percent)
+        return in_groups(placed.join(nodes.select("node", "sketch"), "node").select(
+            *GROUP, "second", "node", "component", "size", "sketch"))
+
+    forest = materialize(forest_pairs(mixed(links), percent))
+    links = links.unionByName(materialize(verified(forest, docs, nodes, width, percent)))
+    unresolved = materialize(open_members(mixed(links), percent))
+    more = exact_links(unresolved, materialize(texts_of(unresolved, docs, nodes)), width, percent)
     labels = components(links.unionByName(more))
     named = nodes.join(labels, "node", "left").select(
         "class", F.coalesce("component", "node").alias("component"), "rep_id")
@@ -410,8 +562,10 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     decided = near_duplicates(docs, width, percent).filter("kept")
     # Rows of a group that repeat its id are one document; the text with the smallest hash stands for it.
     one = decided.groupBy(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.coalesce("component", "text_hash").alias("group")
-    ).agg(F.min("text_hash").alias("__hash")).select("__id", "__hash").distinct()
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(
-        "__hash", F.xxhash64(text_of()))
-    return keep_columns(docs, rows.join(one, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]))
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("component", "text_hash").alias("group")
+    ).agg(F.min("text_hash").alias("hash")).select("id", "hash").distinct()
+    own_id, own_hash = fresh_names(docs, "id", "hash")
+    rows = docs.withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(
+        own_hash, F.xxhash64(text_of()))
+    one = one.select(F.col("id").alias(own_id), F.col("hash").alias(own_hash))
+    return keep_columns(docs, rows.join(one, [own_id, own_hash], "left_semi").dropDuplicates([own_id, own_hash]))

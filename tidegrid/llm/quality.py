@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import batches_of_texts, id_text, materialize, with_fields
+from tidegrid.llm.common import batches_of_texts, fresh_names, id_text, materialize, with_fields
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
@@ -216,8 +216,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Addit
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with __score (0 to 1) and __predicted (0 or 1)."""
-    schema = with_fields(docs, __score="double", __predicted="int")
+    """``docs`` followed by the score (0 to 1) and the prediction (0 or 1).
+
+    These last two columns are named score and predicted, with underscores before where taken.
+    """
+    added = fresh_names(docs, "score", "predicted")
+    schema = with_fields(docs, dict(zip(added, ("double", "int"))))
     names, at = docs.columns, docs.columns.index("text")
 
     def run(stream):
@@ -227,6 +231,6 @@ def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = THRE
                 scores = model.score(feature_matrix(texts))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(scores), pa.array((scores >= threshold).astype("int32"))],
-                    names=[*names, "__score", "__predicted"])
+                    names=[*names, *added])
 
     return docs.mapInArrow(run, schema)

@@ -58,7 +58,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
+        "doc_id", "n_lines", "n_dropped",
         F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -67,14 +67,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"),
-        F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+        "score", "predicted")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = F.array_sort("__hits")
+    hits = F.array_sort("hits")
     return mark_contaminated(docs, table(spark, sf_dir, "benchmark")).select(
-        "doc_id", (F.size("__hits") > 0).alias("contaminated"), F.size("__hits").cast("long").alias("n_items"),
+        "doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"),
         F.array_join(hits["item_id"].cast("array<string>"), ",").alias("item_ids"),
         F.array_min(hits["distance"]).alias("least_distance"))
 

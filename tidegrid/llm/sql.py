@@ -128,6 +128,31 @@ _SEARCH = f"""
         QUALIFY row_number() OVER best <= 50
 """
 
+_NEAR = r"""
+        WITH RECURSIVE docs AS (
+            SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT rn, array_to_string(words[p:p + 3], ' ') AS shingle
+            FROM (SELECT rn, words, unnest(range(1, greatest(len(words) - 2, 2))) AS p FROM docs WHERE len(words) > 0)
+        ), sizes AS (
+            SELECT rn, count(*) AS n FROM shingles GROUP BY rn
+        ), links AS (
+            SELECT a.rn AS a, b.rn AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle
+            JOIN sizes x ON a.rn = x.rn JOIN sizes y ON b.rn = y.rn
+            GROUP BY a.rn, b.rn, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+        ), reach AS (
+            SELECT rn AS a, rn AS b FROM docs
+            UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ), named AS (
+            SELECT reach.a AS rn, min(docs.doc_id) AS component_id FROM reach JOIN docs ON reach.b = docs.rn GROUP BY reach.a
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM docs JOIN named USING (rn) LEFT JOIN sizes USING (rn)
+"""
+
 SQL = {
     "op1_chat_format": f"""
         WITH t AS ({_TURNS})
@@ -146,6 +171,7 @@ SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY text)
     """,
+    "op4_minhash": _NEAR,
     "op5_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
