@@ -29,7 +29,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects go."""
     model = train(docs, _table(spark, sf_dir, "labels"))
-    return keep_columns(docs, score_quality(docs, model).filter("__predicted = 1"))
+    scored = score_quality(docs, model)
+    return keep_columns(docs, scored.filter(F.col(scored.columns[-1]) == 1))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     marked = mark_contaminated(docs, _table(spark, sf_dir, "benchmark"))
-    return keep_columns(docs, marked.filter(F.size("__hits") == 0))
+    return keep_columns(docs, marked.filter(F.size(marked.columns[-1]) == 0))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
