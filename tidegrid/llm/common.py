@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -52,6 +53,15 @@ def with_fields(df: DataFrame, fields: dict[str, str] | None = None, **named: st
     return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in ((fields or {}) | named).items())])
 
 
+def free_worker() -> None:
+    """Let go of what ``per_worker`` holds, for tasks that need the memory themselves."""
+    held = getattr(sys.modules.get("_tidegrid_worker"), "held", None)
+    if held:
+        held.clear()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of ``df`` has in any case of letters."""
     taken = {c.lower() for c in df.columns}
@@ -69,4 +79,4 @@ def keep_columns(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return decided.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-__all__ = ["batches_of_texts", "fresh_names", "id_text", "keep_columns", "materialize", "per_worker", "text_of", "with_fields"]
+__all__ = ["batches_of_texts", "free_worker", "fresh_names", "id_text", "keep_columns", "materialize", "per_worker", "text_of", "with_fields"]

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import batches_of_texts, fresh_names, id_text, keep_columns, materialize, text_of
+from tidegrid.llm.common import batches_of_texts, free_worker, fresh_names, id_text, keep_columns, materialize, text_of
 
 WIDTH, PERCENT = 4, 80
 K, RUN = 64, 3
@@ -54,6 +54,8 @@ LEAST_PERCENT, CHANCE = 80, 1e-11
 CENTERS, BEST = 6, 3
 #: Members of a list that one task compares with each other at a time, and sketch values it holds as columns.
 BLOCK, COLUMNS = 512, 8192
+#: Hashes of words that a task keeps.
+WORDS_HELD = 250_000
 #: Stands for a null doc_id where rows are told apart by id.
 NO_ID = -(2**63)
 
@@ -73,7 +75,7 @@ def least_common(percent: int, k: int = K, chance: float = CHANCE) -> int:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > WORDS_HELD:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -133,6 +135,7 @@ def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
     """doc_id, text_hash, class (digest of the words), n_shingles, sketch for every row."""
 
     def run(stream):
+        free_worker()
         hashes = _WordHashes()
         for batch in stream:
             for part in batches_of_texts([batch]):
@@ -403,6 +406,7 @@ def _left(group: list[tuple]) -> int:
 
 def _by_group(stream, handle):
     """``handle`` the rows of the groups of each batch; a group may go on in the next batch."""
+    free_worker()
     waiting = []
     for batch in stream:
         rows = waiting + list(zip(*(c.to_pylist() for c in batch.columns)))
