@@ -4,99 +4,162 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.operators.positions import number_rows
+from tidegrid.session import materialize
 from tidegrid.sheet import Sheets, header_table
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_ROWS = 100_000
-QUOTED = '"[^"]*+"'
 BOM = "﻿"
 
 
-def csv_width(spark: SparkSession, path: str, multiline: bool = True) -> int:
-    """Cells of the widest record, counted by the separators outside quotes.
+# A quoted cell's inside: a doubled quote is one quote, and a quote that neither a separator nor
+# the end follows is text. Possessive, so no start is tried twice and long cells need no stack.
+INSIDE = r'(?:[^"]++|""|"(?![",]|\z))*+'
+CELL = rf'(?:"{INSIDE}"(?=,|\z)|(?!")[^,]*+)'
+CLOSED = rf"\A{CELL}(?:,{CELL})*+\z"
+RESUMED = rf'\A{INSIDE}"(?:,{CELL})*+\z'
+CELLS = rf',("{INSIDE}"(?=,|\z)|"{INSIDE}\z|(?!")[^,]*+)'
+SPLIT = ["file", "start"]
 
-    Files whose quotes all close on their own line are counted line by line; only
-    where a quoted cell goes on over a line break are files read as a whole.
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, start (of the file split), id (ascending in a split), value, from_out, from_in.
+
+    The last two are the line's transition of the quote automaton: whether a quoted cell is open
+    behind it (1) when none or one was open before it.
     """
-    def widest(text: DataFrame):
-        bare = F.regexp_replace("value", QUOTED, "")
-        return text.agg(F.max(F.when(F.col("value") != "", F.regexp_count(bare, F.lit(",")) + 1))).first()[0] or 0
-
-    lines = spark.read.text(path)
-    if not multiline:
-        return widest(lines)
-    open_quotes = F.max(F.regexp_count("value", F.lit('"')) % 2 == 1)
-    if not lines.agg(open_quotes).first()[0]:
-        return widest(lines)
-    whole = spark.read.text(path, wholetext=True)
-    records = F.split(F.regexp_replace("value", QUOTED, "\"\""), "\r?\n")
-    return widest(whole.select(F.explode(records).alias("value")))
-
-
-def read_records(
-    spark: SparkSession, path: str, max_width: int | None = None, multiline: bool = True
-) -> DataFrame:
-    """row_idx plus c0..; ragged rows are padded with nulls.
-
-    The width is that of the widest record unless given. ``multiline`` follows
-    quoted line breaks; without it large files are split across tasks.
+    value = F.regexp_replace("value", r"\r\z", "")
+    scan = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"), value.alias("value"))
+    quoted = F.contains("value", F.lit('"'))
+    return materialize(scan.select(
+        "*", F.when(quoted & ~F.col("value").rlike(CLOSED), 1).otherwise(0).alias("from_out"),
+        F.when(quoted & F.col("value").rlike(RESUMED), 0).otherwise(1).alias("from_in")))
+
+
+def _running(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``df`` with ``swaps`` and ``reset``: the transitions of all rows of a key up to each row, composed.
+
+    A transition leaves the state, swaps it, or sets it whatever it was. Composed, these are the last
+    setting (with the swaps seen by then) and the number of swaps.
     """
-    max_width = max(csv_width(spark, path, multiline), 1) if max_width is None else max_width
-    schema = ", ".join(f"c{i} string" for i in range(max_width))
-    scan = spark.read.schema(schema).csv(
-        path, header=False, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8",
-        maxColumns=max(20_480, max_width),
-    )
-    return number_rows(scan)
+    upto = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sets, swap = F.col("from_out") == F.col("from_in"), F.col("from_out") > F.col("from_in")
+    counted = df.withColumn("swaps", F.sum(F.when(swap, 1).otherwise(0)).over(upto))
+    last = F.last(F.when(sets, F.struct(F.col("from_out").alias("state"), F.col("swaps").alias("at"))), ignorenulls=True)
+    return counted.withColumn("reset", last.over(upto))
+
 
+def _state(before: Column) -> Column:
+    """The state after composed transitions that began in state ``before``."""
+    free = (before + F.col("swaps")) % 2
+    return F.when(F.col("reset").isNull(), free).otherwise(
+        (F.col("reset.state") + F.col("swaps") - F.col("reset.at")) % 2)
 
-def record_width(records: DataFrame) -> int:
-    """Widest record; one row of column maxima reaches the driver."""
-    cells = [c for c in records.columns if c != "row_idx"]
-    used = records.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in cells]).first()
-    return max((i + 1 for i, c in enumerate(cells) if used[c]), default=0)
 
+def _records_of(lines: DataFrame) -> DataFrame:
+    """file, start, position (in the split), value: one row per record, lines of quoted breaks joined.
 
-def csv_metadata(
-    spark: SparkSession, path: str, max_width: int | None = None, multiline: bool = True
-) -> DataFrame:
+    Splits are scanned on their own; what they do to the state is composed over one small row per
+    split, which tells each split its state at the start. Only lines of records that hold a break are
+    grouped. Empty lines outside of quotes are no records.
+    """
+    inside = W.partitionBy(*SPLIT).orderBy("id")
+    scanned = _running(lines, SPLIT, "id")
+    ends = scanned.groupBy(*SPLIT).agg(F.max_by(F.struct("swaps", "reset"), "id").alias("e")).select(*SPLIT, "e.*")
+    whole = ends.select(*SPLIT, _state(F.lit(0)).alias("from_out"), _state(F.lit(1)).alias("from_in"))
+    along = W.partitionBy("file").orderBy("start")
+    entry = _running(whole, ["file"], "start").select(
+        *SPLIT, F.lag(_state(F.lit(0)), 1, 0).over(along).alias("entry"))
+    placed = scanned.join(materialize(entry), SPLIT).withColumn("after", _state(F.col("entry")))
+    placed = placed.withColumn("before", F.coalesce(F.lag("after").over(inside), "entry"))
+    begins = (F.col("before") == 0) & (F.col("value") != "")
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = placed.withColumn("position", F.sum(F.when(begins, 1).otherwise(0)).over(upto) - 1).withColumn(
+        "record", F.last(F.when(begins, F.struct("start", "position")), ignorenulls=True).over(upto))
+    placed = placed.filter((F.col("before") == 1) | begins).select(
+        *SPLIT, "id", "value", "record", "position", (F.col("before") + F.col("after") > 0).alias("part"))
+    one = placed.filter("not part").select(*SPLIT, "position", "value")
+    # A record that goes on from the split before has begun in the last split that began one.
+    parts = materialize(placed.filter("part"))
+    begun = placed.groupBy(*SPLIT).agg(F.max("record").alias("begun"))
+    carried = begun.select(*SPLIT, F.last("begun", ignorenulls=True).over(
+        along.rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    joined = parts.join(materialize(carried), SPLIT).withColumn("record", F.coalesce("record", "carried"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "id", "value"))), lambda x: x["value"]), "\n")
+    several = joined.groupBy("file", "record").agg(text.alias("value")).select(
+        "file", "record.start", "record.position", "value")
+    return one.unionByName(several)
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """row_idx (over all files), file_no, file_row (position in its file), cells; files in path order.
+
+    Quotes are lazy: one inside a cell that does not start with a quote is text. A file is cut into
+    as many tasks as its size asks for, whatever is quoted in it.
+    """
+    lines = _lines(spark, path)
+    any_open, any_empty = lines.agg(F.max("from_out") == 1, F.bool_or(F.col("value") == "")).first()
+    if any_open or any_empty:
+        records = materialize(_records_of(lines))
+    else:
+        first = materialize(lines.groupBy(*SPLIT).agg(F.min("id").alias("first")))
+        records = lines.join(first, SPLIT).select(*SPLIT, (F.col("id") - F.col("first")).alias("position"), "value")
+    before = W.orderBy(*SPLIT).rowsBetween(W.unboundedPreceding, -1)  # one row per split
+    in_file = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = materialize(records.groupBy(*SPLIT).agg(F.count("*").alias("n")).select(
+        *SPLIT, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+        F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("file_offset"),
+        F.dense_rank().over(W.orderBy("file")).alias("file_no")))
+    cells = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(CELLS), F.lit(1)), _unquoted)
+    return materialize(records.join(offsets, SPLIT).select(
+        (F.col("offset") + F.col("position")).alias("row_idx"), F.col("file_no").cast("long"),
+        (F.col("file_offset") + F.col("position")).alias("file_row"), cells.alias("cells")))
+
+
+def _unquoted(cell: Column) -> Column:
+    closed = cell.rlike(rf'\A"{INSIDE}"\z')
+    inner = F.substring(cell, F.lit(2), F.length(cell) - F.when(closed, 2).otherwise(1))
+    return F.when(F.startswith(cell, F.lit('"')), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(cell)
+
+
+def widest(records: DataFrame) -> int:
+    return records.agg(F.max(F.size("cells"))).first()[0] or 0
+
+
+def read_records(spark: SparkSession, path: str, max_width: int | None = None) -> DataFrame:
+    """row_idx plus c0..; ragged rows are padded with nulls, to the widest record unless a width is given."""
+    records = csv_records(spark, path)
+    width = max(widest(records), 1) if max_width is None else max_width
+    return records.select("row_idx", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(width)])
+
+
+def csv_metadata(spark: SparkSession, path: str) -> DataFrame:
     """sheet, row_count (header included), col_count; more than 100,001 records is an error flag."""
-    records = read_records(spark, path, max_width, multiline)
-    cells = [c for c in records.columns if c != "row_idx"]
-    width = F.greatest(
-        F.lit(0), *[F.when(F.col(c).isNotNull(), i + 1).otherwise(0) for i, c in enumerate(cells)]
-    )
-    return records.agg(
+    return csv_records(spark, path).agg(
         F.lit("Sheet1").alias("sheet"), F.count("*").alias("row_count"),
-        F.coalesce(F.max(width), F.lit(0)).alias("col_count"),
+        F.coalesce(F.max(F.size("cells")), F.lit(0)).alias("col_count"),
         (F.count("*") > MAX_ROWS + 1).alias("too_many_rows"),
     )
 
 
-def read_csv_sheet(
-    spark: SparkSession, path: str, sheet_id: str, max_width: int | None = None,
-    multiline: bool = True,
-) -> Sheets:
-    """Record 0 is the header, the rest is data; trailing blank rows are kept.
-
-    A file without records is a sheet without columns.
-    """
-    records = read_records(spark, path, max_width, multiline)
-    width = record_width(records)
-    cells = [f"c{i}" for i in range(width)]
-    head = records.filter("row_idx = 0").select(*cells).first() if width else None
-    names = [(head[c] or "") if head else "" for c in cells]
+def _sheet_of(records: DataFrame, rows: DataFrame, sheet_id: str, max_width: int | None) -> Sheets:
+    """A sheet whose header is the first of ``records`` and whose data are ``rows`` (row_idx, cells)."""
+    spark = records.sparkSession
+    width = widest(records) if max_width is None else min(widest(records), max_width)
+    head = records.filter("row_idx = 0").select("cells").first()
+    names = ([c or "" for c in head.cells] + [""] * width)[:width] if head else []
     if names:
         names[0] = names[0].removeprefix(BOM)
     headers = header_table(spark, {sheet_id: names})
-    rows = records.filter("row_idx > 0").select(
-        F.lit(sheet_id).alias("sheet_id"), (F.col("row_idx") - 1).alias("row_idx"),
-        *[F.coalesce(c, F.lit("")).alias(c) for c in cells],
+    rows = rows.select(
+        F.lit(sheet_id).alias("sheet_id"), "row_idx",
+        *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(width)],
     )
     if not width:
         return Sheets(
@@ -106,17 +169,21 @@ def read_csv_sheet(
     return Sheets(rows, headers, width)
 
 
+def read_csv_sheet(spark: SparkSession, path: str, sheet_id: str, max_width: int | None = None) -> Sheets:
+    """Record 0 is the header, the rest is data; trailing blank rows are kept.
+
+    A file without records is a sheet without columns; a folder is one sheet cut into files.
+    """
+    records = csv_records(spark, path)
+    rows = records.filter("row_idx > 0").select((F.col("row_idx") - 1).alias("row_idx"), "cells")
+    return _sheet_of(records, rows, sheet_id, max_width)
+
+
 def read_csv_parts(spark: SparkSession, path: str, sheet_id: str) -> Sheets:
     """Read back what ``write_refined_csv`` wrote: part files in order, each with a header."""
-    options = dict(multiLine=True, quote='"', escape='"', emptyValue="", nullValue="\0")
-    # Column names come from the first record of the first part only.
-    head = spark.read.csv(path, header=False, **options).limit(1).first()
-    names = [h or "" for h in head]
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = number_rows(spark.read.schema(schema).csv(path, header=True, enforceSchema=True, **options))
-    headers = header_table(spark, {sheet_id: names})
-    cells = [F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") for i in range(len(names))]
-    return Sheets(rows.select(F.lit(sheet_id).alias("sheet_id"), "row_idx", *cells), headers, len(names))
+    records = csv_records(spark, path)
+    rows = records.filter("file_row > 0").select((F.col("row_idx") - F.col("file_no")).alias("row_idx"), "cells")
+    return _sheet_of(records, rows, sheet_id, None)
 
 
 @dataclass(frozen=True)

@@ -1071,24 +1071,31 @@ def csv_round_trip(spark, d):
 WIDE_COLUMNS = 300
 
 
+def _written_lines(spark, lines, header: str) -> str:
+    """A folder of text files that hold (k, line) in the order of k after a header line; one CSV sheet cut into files."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/tidegrid/csv-{uuid.uuid4().hex}"
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit(header).alias("line"))
+    head.unionByName(lines.select("k", "line")).orderBy("k").select("line").write.text(path)
+    return path
+
+
 @register(
-    f"SELECT n_nationkey::BIGINT AS row_idx, i::INT AS col_idx, CASE WHEN i % 7 = 0 THEN n_name || ', \"' || i || '\"' || chr(10) || 'x' ELSE n_name || i END AS raw "
-    f"FROM nation, range({WIDE_COLUMNS}) r(i)"
+    f"SELECT (row_number() OVER (PARTITION BY i ORDER BY c_custkey) - 1)::BIGINT AS row_idx, i::INT AS col_idx, CASE i % 7 "
+    f"WHEN 0 THEN c_name || ', \"' || i || '\"' || chr(10) || 'x' WHEN 1 THEN c_name || '\"' || i || '\"' "
+    f"WHEN 2 THEN 'a\"b' || c_phone ELSE c_name || i END AS raw FROM customer, range({WIDE_COLUMNS}) r(i)"
 )
 def csv_wide(spark, d):
-    """A file of 300 columns with quoted separators, quotes and line breaks keeps all of them."""
-    import uuid
-
+    """300 columns with quoted separators, quotes and line breaks, and stray quotes, keep all of them; many tasks."""
     def cell(i: int) -> Column:
-        quoted = F.concat("n_name", F.lit(f', "{i}"\nx'))
-        return (quoted if i % 7 == 0 else F.concat("n_name", F.lit(str(i)))).alias(f"c{i}")
+        return (F.concat(F.lit('"'), "c_name", F.lit(f', ""{i}""\nx"')), F.concat("c_name", F.lit(f'"{i}"')),
+                F.concat(F.lit('"a"b'), "c_phone", F.lit('"')))[i % 7] if i % 7 < 3 else F.concat("c_name", F.lit(str(i)))
 
-    t = load(spark, d, "nation")
-    rows = t.select(F.lit("wide").alias("sheet_id"), F.col("n_nationkey").cast("long").alias("row_idx"),
-                    *[cell(i) for i in range(WIDE_COLUMNS)])
-    headers = header_table(spark, {"wide": [f"h{i}" for i in range(WIDE_COLUMNS)]})
-    path = f"{shared_folder(spark)}/tidegrid/csv-{uuid.uuid4().hex}"
-    csvio.write_refined_csv(Sheets(rows.coalesce(1), headers, WIDE_COLUMNS), path)
+    t = load(spark, d, "customer")
+    line = F.concat_ws(",", *[cell(i) for i in range(WIDE_COLUMNS)])
+    path = _written_lines(spark, t.select(F.col("c_custkey").cast("long").alias("k"), line.alias("line")),
+                          ",".join(f"h{i}" for i in range(WIDE_COLUMNS)))
     return csvio.read_csv_sheet(spark, path, "wide").cells().select("row_idx", "col_idx", "raw")
 
 
@@ -1169,14 +1176,15 @@ def upload_violations(spark, d):
     return csvio.validate_files(files)
 
 
-@register("SELECT 'Sheet1' AS sheet, count(*) + 1 AS row_count, 4::INT AS col_count, count(*) > 100000 AS too_many_rows FROM customer")
+@register("SELECT 'Sheet1' AS sheet, count(*) + 1 AS row_count, 5::INT AS col_count, count(*) > 100000 AS too_many_rows FROM orders")
 def csv_metadata(spark, d):
-    import uuid
-
-    path = f"{shared_folder(spark)}/tidegrid/csv-{uuid.uuid4().hex}"
-    t = load(spark, d, "customer").select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(
-        ("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))], F.lit("u").alias("sheet_id"), F.col("c_custkey").alias("row_idx"))
-    csvio.write_refined_csv(Sheets(t.coalesce(1), header_table(spark, {"u": ["key", "name, full", "balance", "segment"]}), 4), path)
+    """Ragged records, empty lines, line breaks in quotes and stray quotes."""
+    k = F.col("o_orderkey").cast("long")
+    line = F.concat(
+        F.when(k % 5 == 0, F.lit('\n\n')).otherwise(F.lit("")), k.cast("string"), F.lit(',"'), "o_clerk", F.lit('\n\n,""'),
+        "o_orderpriority", F.lit('"",",'), F.when(k % 3 == 0, F.lit('p"q')).otherwise(F.lit("")),
+        F.when(k % 2 == 0, F.lit(',"r"s",')).otherwise(F.lit("")))
+    path = _written_lines(spark, load(spark, d, "orders").select(k.alias("k"), line.alias("line")), "key,clerk")
     return csvio.csv_metadata(spark, path)
 
 
