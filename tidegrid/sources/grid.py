@@ -18,6 +18,7 @@ from tidegrid.sheet import Sheets
 HEADER_SCAN_ROWS = 10
 RAW_ROWS_KEPT = 5
 STRIKE_SCAN_ROWS = 100
+LARGE_ROWS, SMALL_ROWS = 65_536, 256
 
 
 def _cell_names(grid: DataFrame) -> list[str]:
@@ -69,31 +70,54 @@ def detect_header(scores: DataFrame) -> DataFrame:
     )
 
 
+def _buckets(start: Column, end: Column) -> tuple[Column, Column]:
+    """Numbers of the large row buckets inside a range, and of the small ones at its two ends.
+
+    A range of any height has at most ``2 * LARGE_ROWS / SMALL_ROWS`` small buckets.
+    """
+    def numbers(first, last):
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    per = LARGE_ROWS // SMALL_ROWS
+    first, last = F.ceil(start / LARGE_ROWS), F.floor((end + 1) / LARGE_ROWS) - 1
+    low, high = F.floor(start / SMALL_ROWS), F.floor(end / SMALL_ROWS)
+    ends = F.when(first <= last, F.concat(numbers(low, first * per - 1), numbers((last + 1) * per, high)))
+    return numbers(first, last), ends.otherwise(numbers(low, high))
+
+
 def fill_merged(grid: DataFrame, merged: DataFrame) -> DataFrame:
     """Blank cells inside a merged range take the range's top-left value.
 
-    Only rows inside ranges are touched. Ranges are matched by row through a
-    row list per range, an equi-join; a range that overlaps an earlier one sees
-    its fill because earlier ranges come first in the coalesce.
+    An interval join by row buckets: whole large buckets inside a range are named by number, its ends by
+    small buckets; a row looks only at the ranges of its two buckets and checks them. Of the ranges that
+    cover a cell and have a value, the one with the smallest number fills it.
     """
     cells = _cell_names(grid)
     numbered = merged if "range_no" in merged.columns else merged.withColumn("range_no", F.lit(0))
-    corner = grid.select("sheet_id", (F.col("row_no") + 1).alias("start_row"), F.array(*cells).alias("__cells"))
-    valued = numbered.join(corner, ["sheet_id", "start_row"]).withColumn(
-        "value", F.get("__cells", F.col("start_col") - 1)
-    ).filter(F.coalesce("value", F.lit("")) != "").drop("__cells")
-    by_row = valued.withColumn("row_no", F.explode(F.sequence("start_row", "end_row"))).withColumn(
-        "row_no", F.col("row_no") - 1
-    )
-    ranges = by_row.groupBy("sheet_id", "row_no").agg(
-        F.array_sort(F.collect_list(F.struct("range_no", "start_col", "end_col", "value"))).alias("__ranges")
-    )
-    rows = grid.join(materialize(ranges), ["sheet_id", "row_no"], "left")
+    corner = grid.select("sheet_id", (F.col("row_no") + 1).alias("start_row"), F.array(*cells).alias("corner_cells"))
+    large, small = _buckets(F.col("start_row").cast("long") - 1, F.col("end_row").cast("long") - 1)
+    valued = materialize(numbered.join(corner, ["sheet_id", "start_row"]).withColumn(
+        "value", F.get("corner_cells", F.col("start_col") - 1)
+    ).filter(F.coalesce("value", F.lit("")) != "").select(
+        "sheet_id", F.struct("range_no", "start_row", "start_col", "end_row", "end_col", "value").alias("range"),
+        large.alias("large"), small.alias("small")))
+    rows = grid
+    for name, size in (("large", LARGE_ROWS), ("small", SMALL_ROWS)):
+        lists = valued.select("sheet_id", F.explode(name).alias(f"{name}_no"), "range").groupBy(
+            "sheet_id", f"{name}_no").agg(F.collect_list("range").alias(f"{name}_ranges"))
+        rows = rows.withColumn(f"{name}_no", F.floor(F.col("row_no") / size)).join(
+            materialize(lists), ["sheet_id", f"{name}_no"], "left")
+    none = F.array().cast(rows.schema["small_ranges"].dataType)
+    row = F.col("row_no") + 1
+    covering = F.array_sort(F.filter(
+        F.concat(F.coalesce("large_ranges", none), F.coalesce("small_ranges", none)),
+        lambda r: (r["start_row"] <= row) & (r["end_row"] >= row)))
+    rows = rows.select("sheet_id", "row_no", *cells, covering.alias("ranges_of_row"))
 
     def filled(i: int, name: str) -> Column:
-        covering = F.filter("__ranges", lambda r: (r["start_col"] <= i + 1) & (r["end_col"] >= i + 1))
+        own = F.filter("ranges_of_row", lambda r: (r["start_col"] <= i + 1) & (r["end_col"] >= i + 1))
         return F.coalesce(
-            F.nullif(F.col(name), F.lit("")), F.get(covering, F.lit(0))["value"], F.col(name)
+            F.nullif(F.col(name), F.lit("")), F.get(own, F.lit(0))["value"], F.col(name)
         ).alias(name)
 
     return rows.select("sheet_id", "row_no", *[filled(i, c) for i, c in enumerate(cells)])

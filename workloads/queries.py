@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1021,6 +1023,41 @@ def merged_fill(spark, d):
     return gr.fill_merged(grid, merged)
 
 
+TALL_GRID_SQL = (
+    "SELECT o_orderpriority AS sheet_id, o_orderkey - 1 AS row_no, "
+    "o_orderkey::VARCHAR AS c0, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus WHEN o_orderkey % 2 = 0 THEN '' END AS c1, "
+    "CASE WHEN o_orderkey % 5 = 0 THEN 'v' || o_orderkey END AS c2, CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus || o_custkey ELSE '' END AS c3 "
+    "FROM orders")
+#: Ranges that begin at every row whose number divides by the first value, and reach down to the second and across to the columns.
+TALL_RANGES = [(1000, 700, 2, 4), (97, 5000, 2, 2), (13, 5, 3, 4), (11, 1, 3, 4), (500_000, 10_000_000, 4, 4)]
+
+
+@register(
+    f"WITH grid AS ({TALL_GRID_SQL}), ranges AS (" + " UNION ALL ".join(
+        f"SELECT sheet_id, row_no * 8 + {k} AS range_no, row_no AS first, row_no + {down} AS last, {a} AS a, {b} AS b, c{a - 1} AS value "
+        f"FROM grid WHERE row_no % {step} = 0 AND coalesce(c{a - 1}, '') <> ''" for k, (step, down, a, b) in enumerate(TALL_RANGES))
+    + "), cells AS (SELECT sheet_id, row_no, unnest([0, 1, 2, 3]) AS i, unnest([c0, c1, c2, c3]) AS v FROM grid), filled AS ("
+    "SELECT c.sheet_id, c.row_no, c.i, arg_min(r.value, r.range_no) AS value FROM cells c JOIN ranges r ON c.sheet_id = r.sheet_id "
+    "AND c.row_no BETWEEN r.first AND r.last AND c.i + 1 BETWEEN r.a AND r.b WHERE coalesce(c.v, '') = '' GROUP BY 1, 2, 3) "
+    "SELECT sheet_id, row_no::BIGINT AS row_no, i::INT AS col_idx, coalesce(f.value, v) AS value FROM cells LEFT JOIN filled f USING (sheet_id, row_no, i)"
+)
+def merged_tall(spark, d):
+    """Ranges over most of a sheet, ranges inside and across them, and short ones."""
+    t = load(spark, d, "orders")
+    k = F.col("o_orderkey")
+    grid = materialize(t.select(
+        F.col("o_orderpriority").alias("sheet_id"), (k - 1).cast("long").alias("row_no"),
+        k.cast("string").alias("c0"), F.when(k % 7 == 0, F.col("o_orderstatus")).when(k % 2 == 0, "").alias("c1"),
+        F.when(k % 5 == 0, F.concat(F.lit("v"), k.cast("string"))).alias("c2"),
+        F.when(F.col("o_custkey") % 3 == 0, F.concat("o_orderstatus", F.col("o_custkey").cast("string"))).otherwise("").alias("c3")))
+    at = F.col("row_no")
+    ranges = [grid.filter(at % step == 0).select(
+        "sheet_id", (at * 8 + n).alias("range_no"), (at + 1).alias("start_row"), F.lit(a).alias("start_col"),
+        (at + 1 + down).alias("end_row"), F.lit(b).alias("end_col")) for n, (step, down, a, b) in enumerate(TALL_RANGES)]
+    filled = gr.fill_merged(grid, reduce(DataFrame.unionByName, ranges))
+    return filled.select("sheet_id", "row_no", F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("col_idx", "value"))
+
+
 @register(
     f"{HEADER_SQL}, h AS (SELECT sheet_id, min(row_no) AS hr, substr(sheet_id, 6)::BIGINT % 5 = 0 AS hid FROM grid WHERE c0 = 'Order' GROUP BY 1) "
     "SELECT sheet_id, (row_no - hr - 1)::BIGINT AS row_idx, c0, CASE WHEN hid THEN c2 ELSE c1 END AS c1, CASE WHEN hid THEN c3 ELSE c2 END AS c2, "
@@ -1084,13 +1121,13 @@ def _written_lines(spark, lines, header: str) -> str:
 @register(
     f"SELECT (row_number() OVER (PARTITION BY i ORDER BY c_custkey) - 1)::BIGINT AS row_idx, i::INT AS col_idx, CASE i % 7 "
     f"WHEN 0 THEN c_name || ', \"' || i || '\"' || chr(10) || 'x' WHEN 1 THEN c_name || '\"' || i || '\"' "
-    f"WHEN 2 THEN 'a\"b' || c_phone ELSE c_name || i END AS raw FROM customer, range({WIDE_COLUMNS}) r(i)"
+    f"WHEN 2 THEN 'a\"b' || c_mktsegment ELSE c_name || i END AS raw FROM customer, range({WIDE_COLUMNS}) r(i)"
 )
 def csv_wide(spark, d):
     """300 columns with quoted separators, quotes and line breaks, and stray quotes, keep all of them; many tasks."""
     def cell(i: int) -> Column:
         return (F.concat(F.lit('"'), "c_name", F.lit(f', ""{i}""\nx"')), F.concat("c_name", F.lit(f'"{i}"')),
-                F.concat(F.lit('"a"b'), "c_phone", F.lit('"')))[i % 7] if i % 7 < 3 else F.concat("c_name", F.lit(str(i)))
+                F.concat(F.lit('"a"b'), "c_mktsegment", F.lit('"')))[i % 7] if i % 7 < 3 else F.concat("c_name", F.lit(str(i)))
 
     t = load(spark, d, "customer")
     line = F.concat_ws(",", *[cell(i) for i in range(WIDE_COLUMNS)])
@@ -1181,8 +1218,8 @@ def csv_metadata(spark, d):
     """Ragged records, empty lines, line breaks in quotes and stray quotes."""
     k = F.col("o_orderkey").cast("long")
     line = F.concat(
-        F.when(k % 5 == 0, F.lit('\n\n')).otherwise(F.lit("")), k.cast("string"), F.lit(',"'), "o_clerk", F.lit('\n\n,""'),
-        "o_orderpriority", F.lit('"",",'), F.when(k % 3 == 0, F.lit('p"q')).otherwise(F.lit("")),
+        F.when(k % 5 == 0, F.lit('\n\n')).otherwise(F.lit("")), k.cast("string"), F.lit(',"'), "o_orderstatus", F.lit('\n\n,""'),
+        F.col("o_totalprice").cast("string"), F.lit('"",",'), F.when(k % 3 == 0, F.lit('p"q')).otherwise(F.lit("")),
         F.when(k % 2 == 0, F.lit(',"r"s",')).otherwise(F.lit("")))
     path = _written_lines(spark, load(spark, d, "orders").select(k.alias("k"), line.alias("line")), "key,clerk")
     return csvio.csv_metadata(spark, path)
