@@ -220,3 +220,56 @@ def test_blank_grid_is_a_sheet_without_columns(spark):
                                  "sheet_id string, row_no int, c0 string, c1 string")
     rows = {r.sheet_id: r for r in assess(sheets_from_grid(grid)).scores.collect()}
     assert set(rows) == {"blank", "g"} and rows["blank"].n_cols == 0 and rows["g"].n_rows == 1
+
+
+def test_bitmap_ranks_and_runs_against_plain_lists(spark):
+    import random
+
+    rnd = random.Random(6)
+    held = sorted(rnd.sample(range(120_000), 70_000))
+    df = spark.createDataFrame([("s", i) for i in held] + [("t", 5), ("t", 40_000)], "sheet_id string, row_idx long").repartition(5)
+    got = {(r.sheet_id, r.row_idx) for r in po.reindex(df).collect()}
+    assert got == {("s", i) for i in range(70_000)} | {("t", 0), ("t", 1)}
+    ranks = po.alive_ranks(df)
+    some = spark.createDataFrame([("s", i) for i in held[::5000]] + [("s", None)], "sheet_id string, row_idx long")
+    assert sorted((r.row_idx for r in po.ranked(some, ranks).collect()), key=str) == sorted([*range(0, 70_000, 5000), None], key=str)
+    positions = sorted({*range(0, 30), *range(35, 40), 45, 49, 50, *range(60, 70), *range(95, 131), 200})
+    df = spark.createDataFrame([("k", None, i) for i in positions] + [("k", 1, 3), ("k", 1, None)], "a string, item int, row_idx long")
+    got = {(r.item, r.first, r.last) for r in po.runs(df, ["a", "item"], bucket_rows=10).collect()}
+    assert got == {(None, 0, 29), (None, 35, 39), (None, 45, 45), (None, 49, 50), (None, 60, 69), (None, 95, 130), (None, 200, 200), (1, 3, 3)}
+
+
+def test_rules_number_rows_once_and_log_the_rows_they_find(spark, make_sheet, monkeypatch):
+    from tidegrid.plans import clean as plan
+
+    calls = []
+    real = plan.reindex
+    monkeypatch.setattr(plan, "reindex", lambda rows: (calls.append(1), real(rows))[1])
+    s = make_sheet(["a", "b"], [("x", "1"), ("小計", "2"), ("", " "), ("x", "1"), ("y\nz", "3"), ("合計", "9"), ("x", "1"), ("w", "4")])
+    done = plan.clean(s, ["subtotal_remove", "empty_row_remove", "dedup", "newline_remove"])
+    assert rows_of(done.sheets) == [("x", "1"), ("y z", "3"), ("w", "4")]
+    assert [r.row_idx for r in done.sheets.rows.orderBy("row_idx").collect()] == [0, 1, 2] and len(calls) == 1
+    found = {}
+    for r in done.log.collect():
+        found.setdefault(r.operation_type, set()).add(r.row_idx)
+    assert found == {"subtotal_remove": {1, 5}, "empty_row_remove": {1}, "dedup": {1, 3}, "newline_remove": {1}}
+
+
+def test_a_session_reports_rows_scores_time_and_operator(make_sheet):
+    from tidegrid.plans.assess import assess
+    from tidegrid.plans.session import cleaning_session
+
+    s = make_sheet(["a", "b"], [("x", "1"), ("小計", "2"), ("小計", "3"), ("y", "4\n5")])
+    done = cleaning_session(s, ["subtotal_remove", "newline_remove"], "someone", "2024-05-06 07:08:09")
+    row = done.sessions.first()
+    assert (row.rows_before, row.rows_after, row.rules_applied) == (4, 2, ["subtotal_remove", "newline_remove"])
+    assert row.score_before == assess(s).scores.first().total_score
+    assert row.score_after == assess(done.cleaned.sheets, with_issues=False).scores.first().total_score
+    got = {(r.operation_type, r.first, r.last, r.n_rows, r.operator_id, str(r.timestamp)) for r in done.entries.collect()}
+    assert got == {("subtotal_remove", 1, 2, 2, "someone", "2024-05-06 07:08:09"), ("newline_remove", 1, 1, 1, "someone", "2024-05-06 07:08:09")}
+
+
+def test_a_sheet_that_loses_all_columns_keeps_its_rows(make_sheet):
+    s = make_sheet(["a", "b"], [("", " "), (None, "")])
+    done, log = cl.empty_col_remove(s)
+    assert done.rows.count() == 2 and log.count() == 1

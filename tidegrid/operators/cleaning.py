@@ -19,7 +19,7 @@ from tidegrid.functions import cells as fx
 from tidegrid.functions.dates import normalize_date
 from tidegrid.operators import entities as en
 from tidegrid.operators import structure as st
-from tidegrid.operators.positions import reindex
+from tidegrid.operators.positions import reindex, runs
 from tidegrid.session import materialize
 from tidegrid.sheet import Sheets
 
@@ -105,7 +105,12 @@ def row_key(sheets: Sheets) -> Column:
     ]), 256)
 
 
-def dedup(sheets: Sheets) -> Result:
+def _after_removal(sheets: Sheets, kept: DataFrame, dense: bool) -> Sheets:
+    """With ``dense`` off rows keep their positions, for plans that number them once at the end."""
+    return sheets.with_rows(reindex(kept) if dense else kept)
+
+
+def dedup(sheets: Sheets, dense: bool = True) -> Result:
     """Keep the first of equal rows.
 
     Groups are reduced to their smallest position with map-side combine; the
@@ -121,7 +126,7 @@ def dedup(sheets: Sheets) -> Result:
         keyed.join(repeated, ["sheet_id", "key"]).filter("row_idx > first").select(*position)
     )
     kept = sheets.rows.join(removed, position, "left_anti")
-    return sheets.with_rows(reindex(kept)), audit(removed, "dedup", "移除 %d 筆完全重複的資料列")
+    return _after_removal(sheets, kept, dense), audit(removed, "dedup", "移除 %d 筆完全重複的資料列")
 
 
 def name_normalize(sheets: Sheets) -> Result:
@@ -150,10 +155,10 @@ def name_normalize(sheets: Sheets) -> Result:
     )
 
 
-def _remove_rows(sheets: Sheets, condition: Column, operation: str, template: str) -> Result:
+def _remove_rows(sheets: Sheets, condition: Column, operation: str, template: str, dense: bool) -> Result:
     kept = sheets.rows.filter(~condition)
     removed = sheets.rows.filter(condition)
-    return sheets.with_rows(reindex(kept)), audit(removed, operation, template)
+    return _after_removal(sheets, kept, dense), audit(removed, operation, template)
 
 
 def is_subtotal_row(cells: list[Column], whole_word: bool = False) -> Column:
@@ -162,10 +167,10 @@ def is_subtotal_row(cells: list[Column], whole_word: bool = False) -> Column:
     ])
 
 
-def subtotal_remove(sheets: Sheets, whole_word: bool = False) -> Result:
+def subtotal_remove(sheets: Sheets, whole_word: bool = False, dense: bool = True) -> Result:
     return _remove_rows(
         sheets, is_subtotal_row(sheets.cell_columns, whole_word),
-        "subtotal_remove", "移除 %d 筆小計/合計列",
+        "subtotal_remove", "移除 %d 筆小計/合計列", dense,
     )
 
 
@@ -173,9 +178,9 @@ def is_row_empty(cells: list[Column]) -> Column:
     return fx.all_of([fx.is_empty(c) for c in cells])
 
 
-def empty_row_remove(sheets: Sheets) -> Result:
+def empty_row_remove(sheets: Sheets, dense: bool = True) -> Result:
     return _remove_rows(
-        sheets, is_row_empty(sheets.cell_columns), "empty_row_remove", "移除 %d 筆全空資料列"
+        sheets, is_row_empty(sheets.cell_columns), "empty_row_remove", "移除 %d 筆全空資料列", dense
     )
 
 
@@ -272,7 +277,8 @@ def drop_columns(sheets: Sheets, removed: DataFrame, template: str) -> Result:
         .alias("__pick")
     )
     cells = F.array(*sheets.cell_columns)
-    rows = sheets.rows.join(pick, "sheet_id").select(
+    # A sheet that loses all its columns keeps its rows, without cells.
+    rows = sheets.rows.join(pick, "sheet_id", "left").select(
         "sheet_id", "row_idx",
         *[F.get(cells, F.get("__pick", F.lit(i))).alias(f"c{i}") for i in range(width)],
     )
@@ -317,7 +323,7 @@ def fill_na(sheets: Sheets, row_ops: DataFrame) -> Result:
     return sheets.with_rows(filled.select(*sheets.rows.columns)), log
 
 
-def delete_rows(sheets: Sheets, row_ops: DataFrame) -> Result:
+def delete_rows(sheets: Sheets, row_ops: DataFrame, dense: bool = True) -> Result:
     """Remove rows by position; positions outside the table are ignored."""
     chosen = row_ops.select("sheet_id", "row_idx").distinct()
     position = ["sheet_id", "row_idx"]
@@ -325,7 +331,21 @@ def delete_rows(sheets: Sheets, row_ops: DataFrame) -> Result:
     gone = sheets.rows.select(*position).join(chosen, position, "left_semi")
     index = F.col("row_idx")
     log = audit(gone, "delete_row", F.format_string("刪除第 %d 列", index), index)
-    return sheets.with_rows(reindex(kept)), log
+    return _after_removal(sheets, kept, dense), log
+
+
+def stored_entries(log: DataFrame, operator_id: str, at: str | Column) -> DataFrame:
+    """seq, sheet_id, operation_type, item, n_rows, details, first, last, timestamp, operator_id.
+
+    One row per run of consecutive touched rows, so an entry over any stretch of rows is one row;
+    ``first`` and ``last`` are null for an entry that names no rows.
+    """
+    keys = ["seq", "sheet_id", "operation_type", "item"]
+    stretches = runs(log, keys).select(*[F.col(k).alias(f"of_{k}") for k in keys], "first", "last")
+    entries = audit_entries(log)
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+    return entries.join(stretches, same, "left").select(
+        *entries.columns, "first", "last", F.lit(at).cast("timestamp").alias("timestamp"), F.lit(operator_id).alias("operator_id"))
 
 
 def audit_entries(log: DataFrame) -> DataFrame:

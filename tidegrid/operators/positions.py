@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tidegrid.session import materialize
 
 BUCKET_ROWS = 65_536
+#: Positions of one bitmap, as Spark's bitmap functions make them.
+BITMAP_ROWS = 32_768
 
 
 def _rows_before(sizes: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,17 +73,53 @@ def _offsets(per_bucket: DataFrame, value: str) -> DataFrame:
     )
 
 
-def reindex(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Make ``row_idx`` dense again, keeping the order."""
-    bucketed = _bucketed(rows, "row_idx", bucket_rows)
-    counts = bucketed.groupBy("sheet_id", "__bucket").agg(F.count("*").alias("__n"))
-    inside = W.partitionBy("sheet_id", "__bucket").orderBy("row_idx")
-    return (
-        bucketed.withColumn("__pos", F.row_number().over(inside) - 1)
-        .join(_offsets(counts, "__n"), ["sheet_id", "__bucket"])
-        .withColumn("row_idx", F.col("__offset") + F.col("__pos"))
-        .select(*rows.columns)
-    )
+def alive_ranks(rows: DataFrame, bucket_rows: int = BITMAP_ROWS) -> DataFrame:
+    """sheet_id, __bucket, __bitmap, __offset: which positions of a bucket have a row, and the rows before it.
+
+    A bucket of 32,768 positions is one bitmap of 4 KB, built with map-side combine.
+    """
+    bits = _bucketed(rows.select("sheet_id", "row_idx"), "row_idx", bucket_rows)
+    maps = materialize(bits.groupBy("sheet_id", "__bucket").agg(
+        F.bitmap_construct_agg((F.col("row_idx") % bucket_rows).cast("long")).alias("__bitmap"),
+        F.count("*").alias("__n")))
+    return maps.drop("__n").join(_offsets(maps, "__n"), ["sheet_id", "__bucket"])
+
+
+def ranked(df: DataFrame, ranks: DataFrame, bucket_rows: int = BITMAP_ROWS) -> DataFrame:
+    """``row_idx`` replaced by its rank among the rows of ``ranks``; a null stays null."""
+    at = F.col("row_idx") % bucket_rows
+    whole = F.bitmap_count(F.substring("__bitmap", F.lit(1), F.floor(at / 8).cast("int")))
+    byte = F.conv(F.hex(F.substring("__bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    below = F.call_function("shiftleft", F.lit(1), (at % 8).cast("int")) - 1
+    rest = F.bit_count(byte.bitwiseAND(below))
+    rank = (F.col("__offset") + whole + rest).cast("long")
+    return _bucketed(df, "row_idx", bucket_rows).join(ranks, ["sheet_id", "__bucket"], "left").withColumn(
+        "row_idx", F.when(F.col("row_idx").isNotNull(), rank)).select(*df.columns)
+
+
+def reindex(rows: DataFrame, bucket_rows: int = BITMAP_ROWS) -> DataFrame:
+    """Make ``row_idx`` dense again, keeping the order; no rows are sorted."""
+    return ranked(rows, alive_ranks(rows, bucket_rows), bucket_rows)
+
+
+def runs(df: DataFrame, keys: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """keys, first, last: the runs of consecutive ``row_idx`` of a key, each position once.
+
+    Runs are found inside buckets; those that touch a border of their bucket, at most two a bucket, are
+    then stitched together.
+    """
+    bucketed = _bucketed(df.filter(F.col("row_idx").isNotNull()).select(*keys, "row_idx"), "row_idx", bucket_rows)
+    inside = W.partitionBy(*keys, "__bucket").orderBy("row_idx")
+    found = bucketed.withColumn("__island", F.col("row_idx") - F.dense_rank().over(inside)).groupBy(
+        *keys, "__bucket", "__island").agg(F.min("row_idx").alias("first"), F.max("row_idx").alias("last"))
+    found = materialize(found.drop("__island"))
+    edge = (F.col("first") % bucket_rows == 0) | (F.col("last") % bucket_rows == bucket_rows - 1)
+    along = W.partitionBy(*keys).orderBy("first")
+    starts = F.coalesce(F.col("first") != F.lag("last").over(along) + 1, F.lit(True))
+    border = found.filter(edge).withColumn("__starts", F.when(starts, 1).otherwise(0)).withColumn(
+        "__no", F.sum("__starts").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    stitched = border.groupBy(*keys, "__no").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return found.filter(~edge).select(*keys, "first", "last").unionByName(stitched.drop("__no"))
 
 
 def prefix_sum(

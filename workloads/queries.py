@@ -25,6 +25,7 @@ from tidegrid.operators import structure as st
 from tidegrid.operators import usage as us
 from tidegrid.plans.assess import assess
 from tidegrid.plans.clean import clean
+from tidegrid.plans.session import cleaning_session as run_session
 from tidegrid.session import materialize, shared_folder
 from tidegrid.sheet import Sheets, header_table, union_sheets
 from tidegrid.sources import csv as csvio
@@ -461,6 +462,9 @@ PIPELINE_SQL = (
 )
 
 
+SESSION_TIME = "2024-01-01 08:00:00"
+
+
 def cleaned_orders(spark, d):
     ops = row_ops(spark, d, 1, "fill_na").unionByName(row_ops(spark, d, 2, "delete"))
     return clean(sheets(spark, d, "orders"), PIPELINE, row_ops=ops)
@@ -720,11 +724,40 @@ def _unpivot(sql: str, table: str, name: str) -> str:
 )
 def compare_before_after(spark, d):
     s = sheets(spark, d, "orders")
-    after = clean(s, ["subtotal_remove", "newline_remove"]).sheets
+    after = clean(s, ["subtotal_remove", "newline_remove"]).refined()
     t = cp.compare(assess(s).scores, assess(after, with_issues=False).scores)
     return t.select("sheet_id", "measure", r6("before"), r6("after"))
 
 
+@register(
+    f"SELECT 'orders' AS sheet_id, 'subtotal_remove,newline_remove' AS rules, rows_before, rows_after, s.score_before, s.score_after, "
+    "'op-1' AS user_id, '2024-01-01 08:00:00' AS created_at FROM (SELECT round(b.before, 6) AS score_before, round(a.after, 6) AS score_after "
+    f"FROM ({_unpivot(scored_sql('orders'), 'scored', 'before')}) b JOIN ({_unpivot(after_scored_sql(), 'adjusted', 'after')}) a USING (measure) "
+    f"WHERE measure = 'total_score') s, ({o.sheets_cte('orders')} SELECT count(*) AS rows_before, count(*) FILTER (WHERE NOT ({_subtotal})) AS rows_after FROM sheet) n"
+)
+def cleaning_session(spark, d):
+    """Rows, rules and scores of a cleaning run."""
+    done = run_session(sheets(spark, d, "orders"), ["subtotal_remove", "newline_remove"], "op-1", SESSION_TIME)
+    return done.sessions.select(
+        "sheet_id", F.array_join("rules_applied", ",").alias("rules"), "rows_before", "rows_after", r6("score_before"),
+        r6("score_after"), "user_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@register(
+    f"{o.sheets_cte('orders')}, s1 AS (SELECT *, ({_subtotal}) AS gone FROM sheet), "
+    "kept AS (SELECT * REPLACE (row_number() OVER (ORDER BY row_idx) - 1 AS row_idx) FROM s1 WHERE NOT gone), "
+    "hits AS (SELECT 0 AS seq, 'subtotal_remove' AS operation_type, row_idx FROM s1 WHERE gone "
+    "UNION ALL SELECT 1, 'newline_remove', row_idx FROM kept WHERE contains(c6, chr(10))), "
+    "islands AS (SELECT *, row_idx - row_number() OVER (PARTITION BY seq ORDER BY row_idx) AS island FROM hits) "
+    "SELECT seq::INT AS seq, operation_type, min(row_idx)::BIGINT AS first, max(row_idx)::BIGINT AS last, 'op-1' AS operator_id, "
+    "any_value(n)::BIGINT AS n_rows FROM islands JOIN (SELECT seq, count(*) AS n FROM hits GROUP BY 1) USING (seq) GROUP BY seq, operation_type, island"
+)
+def stored_log_runs(spark, d):
+    """The stored log: positions as a rule finds them, as runs of consecutive rows, with the operator."""
+    done = clean(sheets(spark, d, "orders"), ["subtotal_remove", "newline_remove"])
+    return done.stored_entries("op-1", SESSION_TIME).select("seq", "operation_type", "first", "last", "operator_id", "n_rows")
+
+
 @register()
 def resolved_issues(spark, d):
     s = sheets(spark, d, "orders")
