@@ -19,6 +19,7 @@ from tidegrid.operators import fingerprint as fp
 from tidegrid.operators import gate
 from tidegrid.operators import indicators as ind
 from tidegrid.operators import issues as iss
+from tidegrid.operators import lookup as lk
 from tidegrid.operators import profile as pf
 from tidegrid.operators import reports as rp
 from tidegrid.operators import structure as st
@@ -901,6 +902,13 @@ def assessment_page(spark, d):
     return us.paginate(t, [F.desc("o_orderdate"), F.asc("o_orderkey")], page=3)
 
 
+@register("SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 5980")
+def deep_page(spark, d):
+    """Page 300 by the rank directory: only the range that holds it is read."""
+    t = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return lk.rank_directory(t, ["-o_orderdate", "o_orderkey"], range_rows=2000).page(300)
+
+
 def as_uploads(spark, d):
     """Orders stand in for assessments, customers for uploads, nations for users."""
     made = load(spark, d, "orders").select(
@@ -952,6 +960,22 @@ def translation_search(spark, d):
     return us.search_translations(translations(spark, d), "en", "WIDGET")
 
 
+@register(f"{TRANSLATIONS_SQL} SELECT * FROM t WHERE key ILIKE '%WIDGET%' OR value ILIKE '%WIDGET%'")
+def translation_search_indexed(spark, d):
+    """The search by trigram posting lists over all names."""
+    return lk.search_text(lk.trigram_index(translations(spark, d), ["key", "value"]), "WIDGET")
+
+
+@register(
+    f"{TRANSLATIONS_SQL}, u AS (SELECT locale, key, arg_max(value, updated_at) AS value FROM t GROUP BY 1, 2) "
+    "SELECT locale, key, value FROM u WHERE locale = 'en'")
+def locale_texts(spark, d):
+    """The map of a locale's texts, entry by entry."""
+    t = translations(spark, d)
+    latest = us.upsert(t, t.limit(0), ["locale", "key"], "updated_at")
+    return us.locale_map(latest, "en").select("locale", F.explode("texts").alias("key", "value"))
+
+
 @register(
     f"{TRANSLATIONS_SQL} SELECT locale, key, arg_max(value, updated_at) AS value, max(updated_at) AS updated_at FROM "
     "(SELECT * FROM t UNION ALL SELECT locale, key, upper(value), updated_at + 1000000 FROM t WHERE updated_at % 3 = 0) GROUP BY 1, 2"
