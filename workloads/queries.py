@@ -24,6 +24,7 @@ from tidegrid.operators import profile as pf
 from tidegrid.operators import reports as rp
 from tidegrid.operators import structure as st
 from tidegrid.operators import usage as us
+from tidegrid.operators.keyed_table import keyed_table
 from tidegrid.plans.assess import assess
 from tidegrid.plans.clean import clean
 from tidegrid.plans.session import cleaning_session as run_session
@@ -988,6 +989,24 @@ def settings_upsert(spark, d):
     return us.upsert(t, changes, ["locale", "key"], "updated_at")
 
 
+@register(
+    f"{TRANSLATIONS_SQL} SELECT locale, key, arg_max(value, updated_at) AS value, max(updated_at) AS updated_at FROM "
+    "(SELECT * FROM t UNION ALL SELECT locale, key, upper(value), updated_at + 1000000 FROM t WHERE updated_at % 3 = 0) GROUP BY 1, 2"
+)
+def keyed_upsert(spark, d):
+    """The upsert on a bucketed table, its batch tried twice."""
+    import uuid
+
+    t = translations(spark, d).select("locale", "key", "value", "updated_at")
+    first = us.upsert(t, t.limit(0), ["locale", "key"], "updated_at")
+    table = keyed_table(first, f"{shared_folder(spark)}/tidegrid/keyed-{uuid.uuid4().hex}", ["locale", "key"], 16)
+    changes = t.filter(F.col("updated_at") % 3 == 0).withColumns(
+        {"value": F.upper("value"), "updated_at": F.col("updated_at") + 1000000})
+    table.upsert(changes, "updated_at")
+    table.upsert(changes, "updated_at")
+    return table.rows()
+
+
 # Anonymisation ------------------------------------------------------------
 
 CLIENT_POOL = [f"Client {i}" for i in range(1, 18)]
