@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.session import materialize
 from tidegrid.sheet import Sheets
 
 
@@ -62,3 +63,51 @@ def verify(recomputed: DataFrame, recorded: DataFrame) -> DataFrame:
     return recomputed.join(known, "sheet_id", "full").select(
         "sheet_id", F.coalesce(F.col("fingerprint") == F.col("recorded"), F.lit(False)).alias("is_valid")
     )
+
+
+#: Rows under a leaf of the hash tree, and children of an inner node.
+LEAF_ROWS, FAN_OUT = 1024, 64
+
+
+def hash_tree(digests: DataFrame, leaf_rows: int = LEAF_ROWS, fan_out: int = FAN_OUT) -> DataFrame:
+    """sheet_id, level, node, digest: a Merkle tree over the row digests of every sheet.
+
+    Level 0 hashes stretches of ``leaf_rows`` positions (the header is position 0), each further level
+    ``fan_out`` nodes, up to one root (node 0 of the highest level) for the largest sheet. Only the
+    leaves read the rows; a level is a ``fan_out``-th of the one below.
+    """
+    position = F.col("row_idx") + 1
+
+    def joined(order: str, digest: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.struct(order, digest)))
+        return F.sha2(F.array_join(F.transform(listed, lambda x: F.concat(x[order].cast("string"), F.lit(":"), x[digest])), ","), 256)
+
+    level = materialize(digests.groupBy("sheet_id", F.floor(position / leaf_rows).alias("node")).agg(
+        joined("row_idx", "digest").alias("digest")))
+    tree, height = level.withColumn("level", F.lit(0)), 0
+    while (level.agg(F.max("node")).first()[0] or 0) > 0:
+        height += 1
+        level = materialize(level.groupBy("sheet_id", F.floor(F.col("node") / fan_out).alias("parent")).agg(
+            joined("node", "digest").alias("digest")).withColumnRenamed("parent", "node"))
+        tree = tree.unionByName(level.withColumn("level", F.lit(height)))
+    return tree.select("sheet_id", "level", "node", "digest")
+
+
+def changed_stretches(before: DataFrame, after: DataFrame, leaf_rows: int = LEAF_ROWS, fan_out: int = FAN_OUT) -> DataFrame:
+    """sheet_id, first_row, last_row of the leaves that differ between two trees, found by descending.
+
+    Equal subtrees are not looked into. Row -1 is the header; a stretch that one tree lacks differs.
+    """
+    heights = [t.agg(F.max("level")).first()[0] or 0 for t in (before, after)]
+    suspects = None
+    for level in range(min(heights), -1, -1):
+        b, a = (t.filter(F.col("level") == level).select("sheet_id", "node", F.col("digest").alias(n))
+                for t, n in ((before, "b"), (after, "a")))
+        if suspects is not None:
+            # Joins under a shared parent: what is not below a suspect is equal on both sides.
+            b, a = (t.withColumn("parent", F.floor(F.col("node") / fan_out)).join(
+                suspects, ["sheet_id", "parent"], "left_semi").drop("parent") for t in (b, a))
+        differing = b.join(a, ["sheet_id", "node"], "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+        suspects = materialize(differing.select("sheet_id", F.col("node").alias("parent")))
+    first = F.col("parent") * leaf_rows - 1
+    return suspects.select("sheet_id", first.alias("first_row"), (first + leaf_rows - 1).alias("last_row"))

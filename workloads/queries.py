@@ -828,6 +828,28 @@ def fingerprint(spark, d):
     return fp.dataset_fingerprint(fp.row_digests(sheets(spark, d, "orders", "customers")))
 
 
+@register(
+    f"{o.sheets_cte('orders')} SELECT DISTINCT sheet_id, ((row_idx + 1) // 1024 * 1024 - 1)::BIGINT AS first_row, "
+    "((row_idx + 1) // 1024 * 1024 + 1022)::BIGINT AS last_row FROM sheet WHERE row_idx % 5000 = 7")
+def changed_stretches(spark, d):
+    """Stretches of rows that differ between a sheet and a copy with a few changed cells, by their hash trees."""
+    s = sheets(spark, d, "orders")
+    edited = s.with_rows(s.rows.withColumn("c1", F.when(F.col("row_idx") % 5000 == 7, "edited").otherwise(F.col("c1"))))
+    return fp.changed_stretches(fp.hash_tree(fp.row_digests(s)), fp.hash_tree(fp.row_digests(edited)))
+
+
+@register(
+    f"{o.sheets_cte('orders', 'customers')} SELECT DISTINCT sheet_id, sheet_id = 'customers' AS is_valid, "
+    "sha256('raw:' || sheet_id) AS fallback FROM sheet")
+def fingerprint_verify(spark, d):
+    """Recorded against recomputed fingerprints, one sheet changed since; the stand-in for lost artifacts."""
+    s = sheets(spark, d, "orders", "customers")
+    hit = (F.col("sheet_id") == "orders") & (F.col("row_idx") == 3)
+    edited = s.with_rows(s.rows.withColumn("c0", F.when(hit, "edited").otherwise(F.col("c0"))))
+    recorded, now = (fp.dataset_fingerprint(fp.row_digests(x)) for x in (s, edited))
+    return fp.verify(now, recorded).withColumn("fallback", fp.fallback_fingerprint(F.col("sheet_id")))
+
+
 # Usage --------------------------------------------------------------------
 
 def wall_clock(df: DataFrame, name: str) -> DataFrame:
