@@ -63,7 +63,7 @@ def _checked(edits: DataFrame, sheets: Sheets) -> DataFrame:
     )
 
 
-def _patch(sheets: Sheets, patches: DataFrame) -> Sheets:
+def patch_cells(sheets: Sheets, patches: DataFrame) -> Sheets:
     """Set cells from ``(sheet_id, row_idx, col_idx, value)``, one patch per cell.
 
     Patches of a row are one map of at most ``width`` entries; rows join by
@@ -105,7 +105,7 @@ def _replace(sheets: Sheets, edits: DataFrame) -> tuple[Sheets, DataFrame]:
         '儲存格 [%d,%d] 值由 "%s" 修改為 "%s"', "row_idx", "col_idx",
         F.coalesce("old", F.lit("")), "value",
     )
-    return _patch(sheets, last), cl.audit(seen, "cell_edit", details, F.col("edit_no"))
+    return patch_cells(sheets, last), cl.audit(seen, "cell_edit", details, F.col("edit_no"))
 
 
 def _add_remark_column(sheets: Sheets, targets: DataFrame) -> tuple[Sheets, DataFrame]:
@@ -174,7 +174,7 @@ def _remark_split(sheets: Sheets, edits: DataFrame) -> tuple[Sheets, DataFrame,
         "row_idx", "col_idx", "old", "before", "remark",
     )
     log = cl.audit(done, "remark_split", details, F.col("edit_no"))
-    return _patch(sheets, texts.unionByName(notes)), log, warned
+    return patch_cells(sheets, texts.unionByName(notes)), log, warned
 
 
 def _header_rename(sheets: Sheets, edits: DataFrame) -> tuple[Sheets, DataFrame]:

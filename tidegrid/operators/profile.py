@@ -75,11 +75,11 @@ def has(fact: str, mask: Column | None = None) -> Column:
     return m.bitwiseAND(_BIT[fact]) != 0
 
 
-def value_counts(sheets: Sheets) -> DataFrame:
-    """sheet_id, col_idx, value, is_long, n, first_row, n_first100, mask, n_chars."""
+def value_cells(sheets: Sheets) -> DataFrame:
+    """Cells as they are counted: long values as digests, with the facts of their whole texts."""
     raw = F.col("raw")
     is_long = F.octet_length(raw) > LONG_VALUE_BYTES
-    keyed = sheets.cells().select(
+    return sheets.cells().select(
         "sheet_id", "row_idx", "col_idx",
         F.when(is_long, F.sha2(raw, 256)).otherwise(raw).alias("value"),
         # A one-element transform: evaluated for long values only and kept out
@@ -87,19 +87,31 @@ def value_counts(sheets: Sheets) -> DataFrame:
         F.when(is_long, F.get(F.transform(F.array(raw), fact_mask), F.lit(0))).alias("long_mask"),
         F.when(is_long, F.length(raw)).alias("long_chars"),
     )
-    counted = keyed.groupBy("sheet_id", "col_idx", "value", "long_mask", "long_chars").agg(
-        F.count("*").alias("n"),
-        F.min("row_idx").alias("first_row"),
-        F.count_if(F.col("row_idx") < TIME_SAMPLE_ROWS).alias("n_first100"),
-    )
+
+
+VALUE_CELL_KEYS = ["sheet_id", "col_idx", "value", "long_mask", "long_chars"]
+
+
+def value_facts(counted: DataFrame, *measures: str) -> DataFrame:
+    """Facts of each value of a grouping by ``VALUE_CELL_KEYS``."""
     short = F.col("long_mask").isNull()
     return counted.select(
-        "sheet_id", "col_idx", "value", (~short).alias("is_long"), "n", "first_row", "n_first100",
+        "sheet_id", "col_idx", "value", (~short).alias("is_long"), *measures,
         F.when(short, fact_mask(F.col("value"))).otherwise(F.col("long_mask")).alias("mask"),
         F.when(short, F.length("value")).otherwise(F.col("long_chars")).alias("n_chars"),
     )
 
 
+def value_counts(sheets: Sheets) -> DataFrame:
+    """sheet_id, col_idx, value, is_long, n, first_row, n_first100, mask, n_chars."""
+    counted = value_cells(sheets).groupBy(*VALUE_CELL_KEYS).agg(
+        F.count("*").alias("n"),
+        F.min("row_idx").alias("first_row"),
+        F.count_if(F.col("row_idx") < TIME_SAMPLE_ROWS).alias("n_first100"),
+    )
+    return value_facts(counted, "n", "first_row", "n_first100")
+
+
 def first_seen_values(sheets: Sheets, values: DataFrame) -> DataFrame:
     """Distinct values with their first row; order by ``first_row`` for first-seen order.
 
@@ -234,12 +246,21 @@ def row_summary(facts: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
     zero counts. Rows are pre-grouped by digest with map-side combine, so a row copied a
     billion times is one record per task.
     """
-    blank = F.col("n_filled") == 0
-    fill = F.col("n_filled") / F.col("n_cols")
-    key = F.when(~blank, F.col("row_key"))
-    groups = facts.groupBy("sheet_id", key.alias("row_key"), "n_cols", "n_filled").agg(
+    return summary_of_groups(row_groups(facts), shapes)
+
+
+def row_groups(facts: DataFrame) -> DataFrame:
+    """Equal rows counted: sheet_id, row_key (null for blank rows), n_cols, n_filled, n, lo, hi."""
+    key = F.when(F.col("n_filled") > 0, F.col("row_key"))
+    return facts.groupBy("sheet_id", key.alias("row_key"), "n_cols", "n_filled").agg(
         F.count("*").alias("n"), F.min("row_idx").alias("lo"), F.max("row_idx").alias("hi")
     )
+
+
+def summary_of_groups(groups: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """``row_summary`` from the counts of equal rows."""
+    blank = F.col("n_filled") == 0
+    fill = F.col("n_filled") / F.col("n_cols")
     n = F.col("n")
     found = groups.groupBy("sheet_id").agg(
         F.max("n_cols").alias("n_cols"),

@@ -71,6 +71,21 @@ def assess(
     values = materialize(pf.value_counts(sheets))
     summary = materialize(pf.row_summary(pf.row_facts(sheets), sheets.shapes()))
     sparse = materialize(st.sparse_rows(sheets))
+    return score_tables(sheets, values, summary, sparse, weights, with_issues, mode, near_columns, near_values)
+
+
+def score_tables(
+    sheets: Sheets,
+    values: DataFrame,
+    summary: DataFrame,
+    sparse: DataFrame,
+    weights: dict[str, float] | None = None,
+    with_issues: bool = True,
+    mode: str = "readiness",
+    near_columns: int = du.NEAR_COLUMNS,
+    near_values: int = du.NEAR_VALUES,
+) -> Assessment:
+    """The assessment from its written tables of values, row counts and sparse rows."""
     columns = materialize(pf.column_flags(pf.column_profile(sheets, values, summary)))
     chosen = du.near_values(sheets, values, du.near_candidates(columns, near_columns), near_values)
     near = materialize(du.near_pairs(chosen))
