@@ -3,7 +3,8 @@
 A change is ``patches`` (sheet_id, row_idx, col_idx, value; one per cell, null empties it) and
 ``removed`` (sheet_id, row_idx, once each). Positions are those of the sheet before the change and
 dense from 0. Only the changed rows of the sheet are read, except for what sums cannot tell: the
-first row of a value whose first holder went, and the first rows of the sheet after removals.
+first row of a value whose first holder went, the first rows of the sheet, and after removals the
+positions of all rows.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def value_counts_after(change: Change, counts: DataFrame) -> DataFrame:
     holder_went = (F.col("went") == first) & (F.col("came").isNull() | (F.col("came") > first))
     merged = materialize(both.withColumn("n", _count(F.col("held.n"), F.col("dn"))).filter("n > 0").withColumn(
         "first_row", F.when(~F.coalesce(holder_went, F.lit(False)), F.least(first, "came"))
-    ).select(*VALUE, "n", "first_row", "mask", "n_chars"))
+    ).select(*VALUE, "n", "first_row", "came", "mask", "n_chars"))
     lost = materialize(merged.filter(F.col("first_row").isNull()).select(*VALUE))
     if not lost.isEmpty():
         merged = _with_first_rows(change, merged, lost)
@@ -151,15 +152,20 @@ def value_counts_after(change: Change, counts: DataFrame) -> DataFrame:
 
 
 def _with_first_rows(change: Change, merged: DataFrame, lost: DataFrame) -> DataFrame:
-    """First rows of values whose first holder went, from the columns that hold such values."""
-    columns = [r.col_idx for r in lost.select("col_idx").distinct().collect()]
-    live = change.live()
-    narrow = live.with_rows(live.rows.select(
-        *ROW, *[F.col(c) if i in columns else F.lit(None).cast("string").alias(c)
-                for i, c in enumerate(live.cell_names)]))
-    cells = pf.value_cells(narrow).withColumn("is_long", F.col("long_mask").isNotNull())
+    """First rows of values whose first holder went: the changed rows are known, the others are searched.
+
+    Lost values are looked up as they stand, so no cell needs to be tested for being blank.
+    """
+    columns = sorted(r.col_idx for r in lost.select("col_idx").distinct().collect())
+    others = change.sheets.rows.join(change.touched.select(*ROW), ROW, "left_anti")
+    raw = F.col("raw")
+    is_long = F.octet_length(raw) > pf.LONG_VALUE_BYTES
+    cells = others.unpivot(ROW, [f"c{i}" for i in columns], "name", "raw").filter(raw.isNotNull()).select(
+        *ROW, F.substr(F.col("name"), F.lit(2)).cast("int").alias("col_idx"),
+        F.when(is_long, F.sha2(raw, 256)).otherwise(raw).alias("value"), is_long.alias("is_long"))
     found = cells.join(lost, VALUE, "left_semi").groupBy(*VALUE).agg(F.min("row_idx").alias("found"))
-    return merged.join(materialize(found), VALUE, "left").withColumn("first_row", F.coalesce("first_row", "found"))
+    return merged.join(materialize(found), VALUE, "left").withColumn(
+        "first_row", F.coalesce("first_row", F.least("came", "found")))
 
 
 def row_groups_after(change: Change, groups: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +26,10 @@ from tidegrid.operators import reports as rp
 from tidegrid.operators import structure as st
 from tidegrid.operators import usage as us
 from tidegrid.operators.keyed_table import keyed_table
+from tidegrid.operators.sketches import ERROR_BOUND, SketchStore
 from tidegrid.plans.assess import assess
 from tidegrid.plans.clean import clean
+from tidegrid.plans.rescore import rescore, score_state
 from tidegrid.plans.session import cleaning_session as run_session
 from tidegrid.session import materialize, shared_folder
 from tidegrid.sheet import Sheets, header_table, union_sheets
@@ -617,6 +620,49 @@ def assessment_plain(spark, d):
     return score_columns(assess(sheets(spark, d, "orders", "customers", "events"), with_issues=False, mode="plain").scores)
 
 
+_EDITED_ROWS = (
+    "sheet AS (SELECT * REPLACE (row_number() OVER (PARTITION BY sheet_id ORDER BY row_idx) - 1 AS row_idx, "
+    "CASE WHEN sheet_id = 'orders' AND row_idx % 97 = 3 THEN 'EDIT-' || row_idx ELSE c2 END AS c2, "
+    "CASE WHEN sheet_id = 'orders' AND row_idx % 89 = 5 THEN NULL ELSE c4 END AS c4) FROM uploaded "
+    "WHERE NOT (sheet_id = 'orders' AND (row_idx < 2 OR row_idx % 500 = 9)))"
+)
+RESCORED_SQL = scored_sql("orders", "customers").replace("WITH sheet AS", "WITH uploaded AS", 1).replace(
+    "headers(", f"{_EDITED_ROWS}, headers(", 1)
+
+
+@register(
+    f"{RESCORED_SQL} SELECT sheet_id, n_rows, high::BIGINT AS high, medium::BIGINT AS medium, low::BIGINT AS low, "
+    f"{SCORES_OUT}, total_score, {STATUS_SQL} FROM scored"
+)
+def rescored_edits(spark, d):
+    """Scores after cells were edited and rows removed, from the tables of the first assessment and the changed rows."""
+    s = sheets(spark, d, "orders", "customers")
+    row = F.col("row_idx")
+    orders = s.rows.filter("sheet_id = 'orders'").select("sheet_id", "row_idx")
+    edited = orders.filter(row % 97 == 3).select(
+        "*", F.lit(2).alias("col_idx"), F.concat(F.lit("EDIT-"), row.cast("string")).alias("value"))
+    emptied = orders.filter(row % 89 == 5).select(
+        "*", F.lit(4).alias("col_idx"), F.lit(None).cast("string").alias("value"))
+    removed = orders.filter((row < 2) | (row % 500 == 9))
+    return score_columns(rescore(score_state(s), edited.unionByName(emptied), removed).assessment.scores)
+
+
+@register(
+    f"{profile_sql('orders', 'customers', 'parts')} SELECT sheet_id, col_idx::INT AS col_idx, n_nonempty, true AS within_bound "
+    "FROM flags WHERE n_nonempty > 0"
+)
+def distinct_sketches(spark, d):
+    """Distinct counts from the sketches of four ingest parts, held against the exact counts."""
+    s = sheets(spark, d, "orders", "customers", "parts")
+    store = SketchStore(spark, f"{shared_folder(spark)}/tidegrid/sketches-{uuid.uuid4().hex}")
+    for part in range(4):
+        store.add(f"part{part}", s.with_rows(s.rows.filter(F.col("row_idx") % 4 == part)))
+    exact = pf.value_counts(s).groupBy("sheet_id", "col_idx").agg(F.count("*").alias("exact"))
+    off = F.abs(F.col("n_distinct") - F.col("exact"))
+    return store.distinct_counts().join(exact, ["sheet_id", "col_idx"]).select(
+        "sheet_id", "col_idx", "n_nonempty", (off <= F.col("exact") * ERROR_BOUND).alias("within_bound"))
+
+
 ISSUES_SQL = f"""{scored_sql('orders', 'customers', 'events')},
 rowflags AS (SELECT f.sheet_id, f.row_idx, bool_or(fmt = 'TEXT') AS has_text, bool_or(f.is_placeholder) AS ph,
   bool_or(p.is_mostly_numeric AND NOT f.is_numcur) AS mm FROM facts f JOIN flags p USING (sheet_id, col_idx) GROUP BY ALL),
@@ -1017,7 +1063,6 @@ def settings_upsert(spark, d):
 )
 def keyed_upsert(spark, d):
     """The upsert on a bucketed table, its batch tried twice."""
-    import uuid
 
     t = translations(spark, d).select("locale", "key", "value", "updated_at")
     first = us.upsert(t, t.limit(0), ["locale", "key"], "updated_at")
@@ -1196,7 +1241,6 @@ def assessment_many_sheets(spark, d):
 
 @register(f"{o.sheets_cte('customers')} SELECT row_idx, c0, c1, c2, coalesce(c3, '') AS c3 FROM sheet")
 def csv_round_trip(spark, d):
-    import uuid
 
     path = f"{shared_folder(spark)}/tidegrid/csv-{uuid.uuid4().hex}"
     csvio.write_refined_csv(sheets(spark, d, "customers"), path)
@@ -1208,7 +1252,6 @@ WIDE_COLUMNS = 300
 
 def _written_lines(spark, lines, header: str) -> str:
     """A folder of text files that hold (k, line) in the order of k after a header line; one CSV sheet cut into files."""
-    import uuid
 
     path = f"{shared_folder(spark)}/tidegrid/csv-{uuid.uuid4().hex}"
     head = spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit(header).alias("line"))
