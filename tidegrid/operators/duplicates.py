@@ -198,7 +198,7 @@ def near_neighbours(values: DataFrame, pairs: DataFrame) -> DataFrame:
         "sheet_id", "col_idx", "value", "first_row", "n_near", "first_near")
 
 
-def exact_duplicate_examples(sheets: Sheets, facts: DataFrame, max_rows: int = 5) -> DataFrame:
+def exact_duplicate_examples(facts: DataFrame, max_rows: int = 5) -> DataFrame:
     """First two rows of each duplicate group in first-seen order: sheet_id, row_idx.
 
     Mostly empty rows (over 70 % blank) are left out. The two smallest positions

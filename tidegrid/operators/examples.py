@@ -116,7 +116,7 @@ def used_positions(problems: DataFrame) -> dict[str, list[int]]:
 
 
 def flagged_arrays(sheets: Sheets, positions: dict[str, list[int]]) -> dict[str, Column]:
-    """Per row and kind, the positions that show the problem.
+    """Per row and kind, the positions that show the problem; for the few rows that are shown.
 
     Expects the per-sheet arrays of ``problem_columns`` and ``n_cols`` on the
     row. Only positions that are a problem somewhere get an expression.
@@ -125,88 +125,32 @@ def flagged_arrays(sheets: Sheets, positions: dict[str, list[int]]) -> dict[str,
 
     def hits(kind: str, predicate) -> Column:
         found = [
-            F.when(F.array_contains(kind, i) & predicate(cells[i], i), F.lit(i))
-            for i in positions[kind]
+            F.when(F.array_contains(kind, i) & predicate(cells[i]), F.lit(i)) for i in positions[kind]
         ]
         return F.array_compact(F.array(*found)) if found else F.array().cast("array<int>")
 
     def filled(predicate):
-        return lambda c, i: ~fx.is_empty(c) & predicate(c)
+        return lambda c: ~fx.is_empty(c) & predicate(c)
 
     empty = [
         F.when((F.col("n_cols") > i) & fx.is_empty(c), F.lit(i)) for i, c in enumerate(cells)
     ]
     return {
         "empty": F.array_compact(F.array(*empty)),
-        "lowfill": hits("lowfill", lambda c, i: fx.is_empty(c)),
+        "lowfill": hits("lowfill", fx.is_empty),
         "placeholder": hits("placeholder", filled(fx.is_placeholder)),
         "mismatch": hits("mismatch", filled(lambda c: ~fx.is_numeric_currency(c))),
-        "remark": hits("remark", filled(fx.has_inline_remark)),
         "newline": hits("newline", filled(fx.contains_newline)),
+        "subtotal": subtotal_positions(sheets),
     }
 
 
 def subtotal_positions(sheets: Sheets) -> Column:
-    words = [w for w in lx.SUBTOTAL_EXAMPLE_WORDS if w != "subtotal"]
     found = [
-        F.when(~fx.is_empty(c) & fx.has_word(c, words), F.lit(i))
-        for i, c in enumerate(sheets.cell_columns)
+        F.when(~fx.is_empty(c) & has_subtotal_word(c), F.lit(i)) for i, c in enumerate(sheets.cell_columns)
     ]
     return F.array_compact(F.array(*found))
 
 
-def affected_rows(rows: DataFrame, flags: dict[str, Column], text_cells: Column) -> DataFrame:
-    """Rows per sheet showing each problem, in one pass."""
-    return rows.groupBy("sheet_id").agg(
-        *[F.count_if(F.size(a) > 0).alias(f"rows_{k}") for k, a in flags.items()],
-        F.count_if(text_cells).alias("rows_text"),
-    )
-
-
-def example_rows(
-    sheets: Sheets, rows: DataFrame, flags: dict[str, Column], positions: dict[str, list[int]],
-    subtotal: bool,
-) -> DataFrame:
-    """First rows per sheet and kind: sheet_id, kind, item, rank, row_idx, cells, flagged, formats.
-
-    All kinds share one scan; each task keeps only its first rows per kind
-    before the shuffle.
-    """
-
-    def entry(kind: str, flagged: Column, item: Column | None = None, dominant: Column | None = None) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            (F.lit(-1) if item is None else item).alias("item"),
-            flagged.alias("flagged"),
-            (F.lit(False) if dominant is None else dominant).alias("dominant"),
-        )
-
-    entries = [
-        F.when(F.size(flags[k]) > 0, entry(k, flags[k]))
-        for k in ("empty", "lowfill", "placeholder", "mismatch", "newline")
-    ]
-    entries += [
-        F.when(F.array_contains(flags["remark"], i), entry("remark", F.array(F.lit(i)), F.lit(i)))
-        for i in positions["remark"]
-    ]
-    for i in positions["mixed"]:
-        c = F.col(f"c{i}")
-        same = fx.format_type(c) == F.element_at("dominant", F.lit(i))
-        entries.append(F.when(
-            F.array_contains("mixed", i) & ~fx.is_empty(c),
-            entry("format", F.array(F.lit(i)), F.lit(i), same),
-        ))
-    if subtotal:
-        words = subtotal_positions(sheets)
-        entries.append(F.when(F.size(words) > 0, entry("subtotal", words)))
-    hits = rows.select(
-        "sheet_id", "row_idx", F.array(*sheets.cell_columns).alias("cells"),
-        F.explode(F.array_compact(F.array(*entries))).alias("e"),
-    ).select("sheet_id", "row_idx", "cells", "e.*")
-    # Remark examples go column by column; format examples are budgeted per column and side.
-    group = F.when(F.col("kind") == "format", F.col("item")).otherwise(-1)
-    order = F.when(F.col("kind") == "remark", F.col("item")).otherwise(-1)
-    keyed = hits.withColumns({"grp": group, "ord": order})
-    return first_rows(
-        keyed, ["sheet_id", "kind", "grp", "dominant"], ["ord", "row_idx"], MAX_STRUCTURE_EXAMPLES
-    )
+def has_subtotal_word(c: Column) -> Column:
+    return fx.has_word(c, [w for w in lx.SUBTOTAL_EXAMPLE_WORDS if w != "subtotal"])

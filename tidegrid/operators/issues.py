@@ -13,6 +13,7 @@ from tidegrid.functions import cells as fx
 from tidegrid.operators import duplicates as du
 from tidegrid.operators import entities as en
 from tidegrid.operators import examples as ex
+from tidegrid.operators import hits as hx
 from tidegrid.operators import profile as pf
 from tidegrid.operators import structure as st
 from tidegrid.operators.positions import BUCKET_ROWS, first_rows
@@ -78,21 +79,28 @@ class IssueTables:
                 "orphans": "n_orphans > 0",
             }.items()
         ]).first()
-        rows = self.sheets.rows.join(self.layout.select("sheet_id", "n_cols"), "sheet_id").join(
-            self.problems, "sheet_id"
-        )
-        flags = ex.flagged_arrays(self.sheets, self.positions)
-        text = F.lit(False)
-        if self.any.mixed:
-            text = fx.any_of([
-                ~fx.is_empty(c) & (fx.format_type(c) == "TEXT") for c in self.sheets.cell_columns
-            ])
-        self.affected = materialize(ex.affected_rows(rows, flags, text))
-        self.rows = materialize(
-            ex.example_rows(self.sheets, rows, flags, self.positions, self.any.subtotal)
-        )
+        self.find_hits()
         self.wanted: list[DataFrame] = []
+        self.needed: list[DataFrame] = [self.first]
         self.variants: DataFrame | None = None
+        self.merged: DataFrame | None = None
+
+    def find_hits(self) -> None:
+        """Masks of all row problems from one scan, with the keys of the rows where equal rows are shown."""
+        low = self.scores.withColumn("wants_keys", F.col("duplicate_similar") < 80)
+        rows = pf.row_facts(self.sheets, keep_cells=True) if self.any.duplicates else self.sheets.rows.join(
+            self.layout.select("sheet_id", "n_cols"), "sheet_id")
+        rows = rows.join(self.problems.join(low.select("sheet_id", "wants_keys"), "sheet_id"), "sheet_id")
+        mixed = bool(self.any.mixed)
+        bits = hx.problem_bits(self.sheets, self.positions, mixed, bool(self.any.subtotal))
+        also, keep = [], None
+        if self.any.duplicates:
+            also = [F.when(F.col("wants_keys"), F.col("row_key")).alias("row_key"), F.col("n_cols"), F.col("n_filled")]
+            keep = F.col("row_key").isNotNull()
+        self.hits = materialize(hx.hit_rows(self.sheets, rows, bits, mixed, also, keep))
+        counts = materialize(hx.hit_counts(self.hits, bits))
+        self.affected = hx.affected_rows(counts, bits)
+        self.first = materialize(hx.first_hits(self.hits, counts, bits, ex.MAX_STRUCTURE_EXAMPLES))
 
     def shown(self, kind: str, problem: Column, limit: int, label: Column | None = None) -> DataFrame:
         """Examples of one kind with display columns chosen around ``problem``."""
@@ -113,16 +121,8 @@ class IssueTables:
         return self.layout.join(self.problems, "sheet_id")
 
     def with_examples(self, examples: DataFrame) -> DataFrame:
-        return self.scores.join(examples, "sheet_id", "left").join(self.affected, "sheet_id", "left")
-
-    def rows_at(self, wanted: DataFrame) -> DataFrame:
-        """Cells of a few wanted positions (sheet_id, row_idx, ..)."""
-        cells = self.sheets.rows.select(
-            "sheet_id", "row_idx", F.array(*self.sheets.cell_columns).alias("cells")
-        )
-        return materialize(wanted).join(cells, ["sheet_id", "row_idx"]).join(
-            self.scores_layout(), "sheet_id"
-        )
+        counted = [c for c in self.affected.columns if c != "sheet_id"]
+        return self.scores.join(examples, "sheet_id", "left").join(self.affected, "sheet_id", "left").na.fill(0, counted)
 
     def want(self, rows: DataFrame, kind: str, order: list, display: Column, flagged: Column,
              label: str = "") -> None:
@@ -135,13 +135,20 @@ class IssueTables:
         ))
 
     def fetch(self) -> None:
-        if not self.wanted:
-            self.fetched = None
+        """The cells of all rows to show, by position and in one pass."""
+        wanted = materialize(reduce(DataFrame.unionByName, self.wanted)) if self.wanted else None
+        needed = self.needed if wanted is None else [*self.needed, wanted]
+        positions = materialize(reduce(
+            DataFrame.unionByName, [n.select("sheet_id", "row_idx") for n in needed]).distinct())
+        self.at = materialize(self.sheets.rows.select(
+            "sheet_id", "row_idx", *self.sheets.cell_names).join(positions, ["sheet_id", "row_idx"], "left_semi"))
+        self.rows = materialize(hx.shown_rows(
+            self.sheets, self.first, self.at, self.problems.join(
+                self.layout.select("sheet_id", "n_cols"), "sheet_id"), self.positions))
+        self.fetched = None
+        if wanted is None:
             return
-        wanted = materialize(reduce(DataFrame.unionByName, self.wanted))
-        cells = self.sheets.rows.select(
-            "sheet_id", "row_idx", F.array(*self.sheets.cell_columns).alias("cells")
-        )
+        cells = self.at.select("sheet_id", "row_idx", F.array(*self.sheets.cell_columns).alias("cells"))
         rows = wanted.join(cells, ["sheet_id", "row_idx"]).join(self.layout, "sheet_id")
         built = ex.example(
             F.transform("display", lambda i: F.get("names", i)),
@@ -200,7 +207,7 @@ def column_completeness(t: IssueTables) -> DataFrame:
 
 def format_consistency(t: IssueTables) -> DataFrame:
     mixed = _names_where(t.columns, F.col("consistency") < 0.8)
-    rows = t.rows.filter(F.col("kind") == "format").drop("dominant_map").join(
+    rows = t.rows.filter(F.col("kind") == "format").join(
         t.layout, "sheet_id"
     ).join(mixed, "sheet_id")
     nth = F.array_position(F.transform("cols", lambda x: x["col_idx"]), F.col("item"))
@@ -241,9 +248,7 @@ def format_consistency(t: IssueTables) -> DataFrame:
 def duplicate_rows(t: IssueTables) -> None:
     if not t.any.duplicates:
         return
-    low = t.scores.filter("duplicate_similar < 80").select("sheet_id")
-    sheets = t.sheets.with_rows(t.sheets.rows.join(low, "sheet_id", "left_semi"))
-    exact = du.exact_duplicate_examples(sheets, pf.row_facts(sheets), ex.MAX_EXAMPLES)
+    exact = du.exact_duplicate_examples(t.hits.filter(F.col("row_key").isNotNull()), ex.MAX_EXAMPLES)
     every = ex.first_columns(F.col("n_cols"))
     t.want(exact, "exact", ["pos", "row_idx"], every, every)
     pairs = first_rows(t.a.near, ["sheet_id"], ["col_idx", "rank1", "rank2"], ex.MAX_EXAMPLES)
@@ -307,19 +312,29 @@ def name_variants(t: IssueTables) -> DataFrame | None:
     )
 
 
-def _merged_examples(t: IssueTables) -> DataFrame | None:
+def merged_rows(t: IssueTables) -> None:
+    """The first data rows with cells merged over columns."""
     if t.sheets.merged is None:
-        return None
+        return
     c = F.col
     wide = t.sheets.merged.filter(c("end_col") > c("start_col")).join(t.layout, "sheet_id").select(
         "sheet_id", (c("start_row") - c("header_row_index") - 2).cast("long").alias("row_idx"),
         (c("start_col") - 1).alias("lo"), (c("end_col") - 1).alias("hi"),
     ).join(t.scores.select("sheet_id", "n_rows"), "sheet_id")
     inside_data = (c("row_idx") >= 0) & (c("row_idx") < c("n_rows"))
-    wide = first_rows(
+    t.merged = materialize(first_rows(
         wide.filter(inside_data), ["sheet_id"], ["row_idx", "lo"], ex.MAX_EXAMPLES
-    ).drop("rank", "n_rows")
-    rows = t.rows_at(wide).withColumn("display", ex.first_columns(c("n_cols")))
+    ).drop("rank", "n_rows"))
+    t.needed.append(t.merged)
+
+
+def _merged_examples(t: IssueTables) -> DataFrame | None:
+    if t.merged is None:
+        return None
+    c = F.col
+    cells = t.at.select("sheet_id", "row_idx", F.array(*t.sheets.cell_columns).alias("cells"))
+    rows = t.merged.join(cells, ["sheet_id", "row_idx"]).join(t.layout, "sheet_id").withColumn(
+        "display", ex.first_columns(c("n_cols")))
     inside = F.filter("display", lambda i: (i >= c("lo")) & (i <= c("hi")))
     span = F.size(inside)
     merges = F.when(span > 1, F.array(F.struct(F.get(inside, F.lit(0)).alias("start_col"), span.alias("span"))))
@@ -652,7 +667,7 @@ def translate(issues: DataFrame) -> DataFrame:
 def detect_issues(assessment, merge: bool = True) -> DataFrame:
     """All issues of all sheets in display order; ``pos`` counts from 1 per sheet."""
     tables = IssueTables(assessment)
-    for rows in (duplicate_rows, variant_rows, block_rows, strike_rows):
+    for rows in (duplicate_rows, variant_rows, block_rows, strike_rows, merged_rows):
         rows(tables)
     tables.fetch()
     found = [d(tables) for d in DETECTORS]

@@ -224,8 +224,8 @@ def _in_shape(sheets: Sheets) -> list[Column]:
     return [F.col("n_cols") > i for i in range(sheets.width)]
 
 
-def row_facts(sheets: Sheets) -> DataFrame:
-    """sheet_id, row_idx, n_cols, n_filled and a digest of the row's cells."""
+def row_facts(sheets: Sheets, keep_cells: bool = False) -> DataFrame:
+    """sheet_id, row_idx, n_cols, n_filled and a digest of the row's cells; with ``keep_cells`` the cells too."""
     cells = sheets.cell_columns
     shaped = sheets.rows.join(sheets.shapes().select("sheet_id", "n_cols"), "sheet_id")
     pieces = [
@@ -236,6 +236,7 @@ def row_facts(sheets: Sheets) -> DataFrame:
         "sheet_id", "row_idx", "n_cols",
         fx.count_true([~fx.is_empty(c) for c in cells]).alias("n_filled"),
         F.unhex(F.sha2(F.concat(*pieces), 256)).alias("row_key"),
+        *(sheets.cell_names if keep_cells else []),
     )
 
 

@@ -267,7 +267,7 @@ def residual_cjk(spark, d):
 )
 def exact_duplicate_examples(spark, d):
     s = sheets(spark, d, "orders")
-    return du.exact_duplicate_examples(s, pf.row_facts(s))
+    return du.exact_duplicate_examples(pf.row_facts(s))
 
 
 @register(
