@@ -1,10 +1,14 @@
 """Plan shape at scale and the registry contract."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
 from tidegrid.operators import cleaning as cl
+from tidegrid.operators import duplicates as du
 from tidegrid.operators import profile as pf
+from tidegrid.session import materialize
 from workloads.check import compare
 from workloads.dirty import dirty_sheet
 
@@ -46,3 +50,11 @@ def test_queries_match_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     status, _, detail = compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SMALL)
     assert status == "OK", detail
+
+
+def test_near_values_meet_without_a_broadcast(spark):
+    # Exploded keys are far more than the planner thinks; a broadcast would hold them in the driver.
+    rows = [("s", 0, f"Acme {i} Co.", i) for i in range(50)]
+    values = materialize(spark.createDataFrame(rows, "sheet_id string, col_idx int, value string, first_row long"))
+    text = physical(du.all_near_pairs(values))
+    assert re.search(r"SortMergeJoin \[key#\d+L, salt#", text) and not re.search(r"BroadcastHashJoin \[key#\d+L, salt#", text)
