@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from tidegrid.operators import cleaning as cl
 from tidegrid.operators import duplicates as du
 from tidegrid.operators import profile as pf
+from tidegrid.plans.clean import clean
 from tidegrid.session import materialize
 from workloads.check import compare
 from workloads.dirty import dirty_sheet
@@ -58,3 +59,11 @@ def test_near_values_meet_without_a_broadcast(spark):
     values = materialize(spark.createDataFrame(rows, "sheet_id string, col_idx int, value string, first_row long"))
     text = physical(du.all_near_pairs(values))
     assert re.search(r"SortMergeJoin \[key#\d+L, salt#", text) and not re.search(r"BroadcastHashJoin \[key#\d+L, salt#", text)
+
+
+def test_refined_rows_are_written_once(spark):
+    done = clean(dirty_sheet(spark, SMALL, "orders"), ["subtotal_remove", "newline_remove"])
+    refined = done.refined()
+    assert "bitmap_count" in physical(done.sheets.rows) and "bitmap_count" not in physical(refined.rows)
+    assert done.stored is done.stored
+    assert refined.rows.exceptAll(done.sheets.rows).isEmpty() and refined.rows.count() == done.sheets.rows.count()
