@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidegrid.functions import cells as fx
-from tidegrid.functions.dates import normalize_date
+from tidegrid.functions.dates import is_normal_date, normalize_date
 from tidegrid.operators import anonymize as an
 
 
@@ -57,6 +57,16 @@ def test_normalize_date(cells):
     assert cells(list(cases), normalize_date) == list(cases.values())
 
 
+def test_dates_are_found_without_formatting(cells):
+    cases = {
+        "0000-2-29": "0000/02/29", "1900-02-29": None, "2000/2/29": "2000/02/29", "99.2.29": None, "101.2.29": "2012/02/29",
+        "13/1/20": None, "1-2/49": "2049/01/02", " 2024/01/5\u3000": "2024/01/05", "2024-00-01": None, "": None, "2024-1-1 x": None,
+    }
+    assert cells(list(cases), normalize_date) == list(cases.values())
+    assert cells(list(cases), is_normal_date) == [v is not None for v in cases.values()]
+    assert cells(["", " \u3000\n", None, " a "], fx.is_empty) == [True, True, True, False]
+
+
 def test_suffix_strip(cells):
     values = ["台灣科技股份有限公司", "台灣科技有限公司", "台灣科技", "Acme Corp.", "Acme Co.", "Acme corp."]
     assert cells(values, fx.strip_suffix) == ["台灣科技"] * 3 + ["Acme", "Acme", "Acme corp."]
