@@ -61,6 +61,12 @@ def test_near_values_meet_without_a_broadcast(spark):
     assert re.search(r"SortMergeJoin \[key#\d+L, salt#", text) and not re.search(r"BroadcastHashJoin \[key#\d+L, salt#", text)
 
 
+def test_facts_of_values_stand_outside_of_branches(spark):
+    mask = pf.value_counts(dirty_sheet(spark, SMALL, "orders"))._jdf.queryExecution().analyzed().toString()
+    before = mask[:mask.index(" AS mask#")].rsplit("is_long#", 1)[1]
+    assert "(coalesce(long_mask#" in before
+
+
 def test_refined_rows_are_written_once(spark):
     done = clean(dirty_sheet(spark, SMALL, "orders"), ["subtotal_remove", "newline_remove"])
     refined = done.refined()
