@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tidegrid.sources import csv as csvio
 from tidegrid.sources.csv import csv_metadata, csv_records, read_csv_sheet
 
 
@@ -95,3 +96,35 @@ def test_one_file_is_many_tasks_and_long_cells_fit(spark, tmp_path):
         assert records.filter("row_idx = 5001").first().cells == ["4999", "plain"]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("lines_of_batch", [1, 3])
+def test_records_cross_batches_and_no_text_is_shuffled(spark, tmp_path, monkeypatch, lines_of_batch):
+    rnd = random.Random(lines_of_batch)
+    texts = ["\n".join(",".join(rnd.choice(["a", '"b,\n\nc"', '"\n\n,""1"",",', 'p"q', "", '"r"s"', "\n"]) for _ in range(4))
+                       for _ in range(25)) + end for end in ("", "\n\n", '\n"open\n,x\n\n')]
+    for k, text in enumerate(texts):
+        (tmp_path / f"f{k}.csv").write_text(text)
+    plans = []
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, *args)
+
+    written = csvio.materialize
+    monkeypatch.setattr(csvio, "materialize", seen)
+    size, split = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size), spark.conf.get(split)
+    spark.conf.set(size, str(lines_of_batch))
+    spark.conf.set(split, "200")
+    try:
+        got = csv_records(spark, str(tmp_path)).orderBy("row_idx").collect()
+    finally:
+        spark.conf.set(size, before[0])
+        spark.conf.set(split, before[1])
+    want = [(n, row, cells) for n, text in enumerate(texts, 1) for row, cells in enumerate(plain_records(text))]
+    assert [(r.file_no, r.file_row, r.cells) for r in got] == want
+    scans = [p for p in plans if "FileScan text" in p]
+    assert scans and not any("Exchange hashpartitioning" in p or "Window" in p for p in scans)
+    groups = [p for p in plans if "collect_list" in p]
+    assert len(groups) == 1 and "part#" in groups[0]

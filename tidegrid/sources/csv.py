@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.session import materialize
 from tidegrid.sheet import Sheets, header_table
+from tidegrid.sources.quotes import PIECES, SPLIT_EFFECTS, record_pieces, split_effects
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_ROWS = 100_000
@@ -24,22 +25,23 @@ CLOSED = rf"\A{CELL}(?:,{CELL})*+\z"
 RESUMED = rf'\A{INSIDE}"(?:,{CELL})*+\z'
 CELLS = rf',("{INSIDE}"(?=,|\z)|"{INSIDE}\z|(?!")[^,]*+)'
 SPLIT = ["file", "start"]
+RECORD = ["row_idx", "file_no", "file_row"]
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, start (of the file split), id (ascending in a split), value, from_out, from_in.
+    """file, start (of the file split), value, blank, from_out, from_in; lines in the order of the file.
 
     The last two are the line's transition of the quote automaton: whether a quoted cell is open
     behind it (1) when none or one was open before it.
     """
     value = F.regexp_replace("value", r"\r\z", "")
     scan = spark.read.text(path, lineSep="\n").select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("id"), value.alias("value"))
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), value.alias("value"))
     quoted = F.contains("value", F.lit('"'))
-    return materialize(scan.select(
-        "*", F.when(quoted & ~F.col("value").rlike(CLOSED), 1).otherwise(0).alias("from_out"),
-        F.when(quoted & F.col("value").rlike(RESUMED), 0).otherwise(1).alias("from_in")))
+    return scan.select(
+        "*", (F.col("value") == "").alias("blank"),
+        F.when(quoted & ~F.col("value").rlike(CLOSED), 1).otherwise(0).alias("from_out"),
+        F.when(quoted & F.col("value").rlike(RESUMED), 0).otherwise(1).alias("from_in"))
 
 
 def _running(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -62,64 +64,40 @@ def _state(before: Column) -> Column:
         (F.col("reset.state") + F.col("swaps") - F.col("reset.at")) % 2)
 
 
-def _records_of(lines: DataFrame) -> DataFrame:
-    """file, start, position (in the split), value: one row per record, lines of quoted breaks joined.
-
-    Splits are scanned on their own; what they do to the state is composed over one small row per
-    split, which tells each split its state at the start. Only lines of records that hold a break are
-    grouped. Empty lines outside of quotes are no records.
-    """
-    inside = W.partitionBy(*SPLIT).orderBy("id")
-    scanned = _running(lines, SPLIT, "id")
-    ends = scanned.groupBy(*SPLIT).agg(F.max_by(F.struct("swaps", "reset"), "id").alias("e")).select(*SPLIT, "e.*")
-    whole = ends.select(*SPLIT, _state(F.lit(0)).alias("from_out"), _state(F.lit(1)).alias("from_in"))
+def _places(effects: DataFrame) -> DataFrame:
+    """file, start, entry (state at the split's start), records before it (offset, file_offset), file_no; one row per split."""
     along = W.partitionBy("file").orderBy("start")
-    entry = _running(whole, ["file"], "start").select(
-        *SPLIT, F.lag(_state(F.lit(0)), 1, 0).over(along).alias("entry"))
-    placed = scanned.join(materialize(entry), SPLIT).withColumn("after", _state(F.col("entry")))
-    placed = placed.withColumn("before", F.coalesce(F.lag("after").over(inside), "entry"))
-    begins = (F.col("before") == 0) & (F.col("value") != "")
-    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = placed.withColumn("position", F.sum(F.when(begins, 1).otherwise(0)).over(upto) - 1).withColumn(
-        "record", F.last(F.when(begins, F.struct("start", "position")), ignorenulls=True).over(upto))
-    placed = placed.filter((F.col("before") == 1) | begins).select(
-        *SPLIT, "id", "value", "record", "position", (F.col("before") + F.col("after") > 0).alias("part"))
-    one = placed.filter("not part").select(*SPLIT, "position", "value")
-    # A record that goes on from the split before has begun in the last split that began one.
-    parts = materialize(placed.filter("part"))
-    begun = placed.groupBy(*SPLIT).agg(F.max("record").alias("begun"))
-    carried = begun.select(*SPLIT, F.last("begun", ignorenulls=True).over(
-        along.rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
-    joined = parts.join(materialize(carried), SPLIT).withColumn("record", F.coalesce("record", "carried"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "id", "value"))), lambda x: x["value"]), "\n")
-    several = joined.groupBy("file", "record").agg(text.alias("value")).select(
-        "file", "record.start", "record.position", "value")
-    return one.unionByName(several)
+    entered = _running(effects, ["file"], "start").select(
+        *SPLIT, "n_out", "n_in", F.lag(_state(F.lit(0)), 1, 0).over(along).alias("entry"))
+    counted = entered.withColumn("n", F.when(F.col("entry") == 0, F.col("n_out")).otherwise(F.col("n_in")))
+    counted = counted.withColumn("in_file", F.sum("n").over(W.partitionBy("file"))).filter("in_file > 0")
+    before = W.orderBy(*SPLIT).rowsBetween(W.unboundedPreceding, -1)
+    return counted.select(
+        *SPLIT, F.col("entry").cast("int"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+        F.coalesce(F.sum("n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("file_offset"),
+        F.dense_rank().over(W.orderBy("file")).cast("long").alias("file_no"))
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """row_idx (over all files), file_no, file_row (position in its file), cells; files in path order.
 
     Quotes are lazy: one inside a cell that does not start with a quote is text. A file is cut into
-    as many tasks as its size asks for, whatever is quoted in it.
+    as many tasks as its size asks for, whatever is quoted in it. Empty lines outside of quotes are no records.
+
+    Two scans, and no text is shuffled but that of records which cross the end of a split: the first finds what
+    each split does to the state, composed over one small row per split; the second knows its state at the start.
     """
     lines = _lines(spark, path)
-    any_open, any_empty = lines.agg(F.max("from_out") == 1, F.bool_or(F.col("value") == "")).first()
-    if any_open or any_empty:
-        records = materialize(_records_of(lines))
-    else:
-        first = materialize(lines.groupBy(*SPLIT).agg(F.min("id").alias("first")))
-        records = lines.join(first, SPLIT).select(*SPLIT, (F.col("id") - F.col("first")).alias("position"), "value")
-    before = W.orderBy(*SPLIT).rowsBetween(W.unboundedPreceding, -1)  # one row per split
-    in_file = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    offsets = materialize(records.groupBy(*SPLIT).agg(F.count("*").alias("n")).select(
-        *SPLIT, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
-        F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("file_offset"),
-        F.dense_rank().over(W.orderBy("file")).alias("file_no")))
+    effects = materialize(lines.drop("value").mapInArrow(split_effects, SPLIT_EFFECTS))
+    # By broadcast, as the lines must keep their order; the table has one row per split.
+    placed = lines.join(F.broadcast(materialize(_places(effects))), SPLIT)
     cells = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(CELLS), F.lit(1)), _unquoted)
-    return materialize(records.join(offsets, SPLIT).select(
-        (F.col("offset") + F.col("position")).alias("row_idx"), F.col("file_no").cast("long"),
-        (F.col("file_offset") + F.col("position")).alias("file_row"), cells.alias("cells")))
+    made = materialize(placed.mapInArrow(record_pieces, PIECES).select(
+        *RECORD, "start", "part", F.when(F.col("part"), F.col("value")).alias("value"),
+        F.when(~F.col("part"), cells).alias("cells")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), "\n")
+    crossing = made.filter("part").groupBy(*RECORD).agg(text.alias("value")).select(*RECORD, cells.alias("cells"))
+    return made.filter("not part").select(*RECORD, "cells").unionByName(materialize(crossing))
 
 
 def _unquoted(cell: Column) -> Column:
