@@ -1,5 +1,9 @@
 import random
+import re
 
+from pyspark.sql import functions as F
+
+from tidegrid.functions import cells as fx
 from tidegrid.sources import grid as gr
 
 
@@ -45,3 +49,28 @@ def test_a_tall_range_makes_few_bucket_numbers(spark):
         covered = sorted(covered)
         assert covered[0][0] <= r.a and covered[-1][1] > r.b
         assert all(x[1] == y[0] for x, y in zip(covered, covered[1:]))
+
+
+def test_header_scores_trim_a_cell_once(spark):
+    rnd = random.Random(5)
+    words = ["Name", " name", "Amount", "1,234", " 1e3 ", "1e400", "NaN", "12d", "2024/01/05", "113.1.5", "", None, "　", "x\ny", "y" * 51, "a" * 25, ","]
+    data = [(f"s{n % 3}", n // 3, *(rnd.choice(words) for _ in range(4))) for n in range(300)]
+    grid = spark.createDataFrame(data, "sheet_id string, row_no int, c0 string, c1 string, c2 string, c3 string")
+    scores = gr.header_scores(grid)
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
+    numbers = {r.v for r in spark.createDataFrame([(w,) for w in words if w], "v string").filter(fx.is_num(F.col("v"))).collect()}
+    assert numbers == {"1,234", " 1e3 ", "NaN"}
+
+    def plain(cells):
+        values = [(c or "").strip(" 　") for c in cells]
+        raw, values = [c or "" for c, v in zip(cells, values) if v], [v for v in values if v]
+        if not values:
+            return -1
+        mean = sum(map(len, values)) / len(values)
+        typed = any(r in numbers or re.fullmatch(r"\d{4}/\d\d/\d\d|\d{3}\.\d\.\d", v) for r, v in zip(raw, values))
+        return ((30 if len(values) >= 3.2 else 15 if len(values) >= 2 else 0) + (0 if typed else 20)
+                + (20 if len({v.lower() for v in values}) == len(values) else 0) + (15 if 2 <= mean <= 20 else 0)
+                + (0 if any(len(r) > 50 or "\n" in r for r in raw) else 10))
+
+    got = {(r.sheet_id, r.row_no): r.score for r in scores.collect()}
+    assert got == {(s, n): plain(cells) for s, n, *cells in data if n < 10}

@@ -28,22 +28,28 @@ def _cell_names(grid: DataFrame) -> list[str]:
 def header_score(cells: Column, n_cols: Column) -> Column:
     """How much a row looks like a header; -1 for a blank row."""
     raw = F.transform(cells, lambda c: F.coalesce(c, F.lit("")))
-    values = F.filter(F.transform(raw, fx.trim_ws), lambda v: v != "")
-    lowered = F.transform(values, F.lower)
-    filled = F.size(values)
-    fill = filled / n_cols
-    typed = F.exists(values, lambda v: fx.is_num(v) | fx.is_header_date(v))
-    chars = F.aggregate(values, F.lit(0), lambda acc, v: acc + F.length(v))
-    mean = chars / filled
-    long_cell = F.exists(raw, lambda c: (F.length(c) > 50) | fx.contains_newline(c))
-    score = (
-        F.when(fill >= 0.8, 30).when(fill >= 0.5, 15).otherwise(0)
-        + F.when(typed, 0).otherwise(20)
-        + F.when(F.size(F.array_distinct(lowered)) == filled, 20).otherwise(0)
-        + F.when((mean >= 2) & (mean <= 20), 15).otherwise(0)
-        + F.when(long_cell, 0).otherwise(10)
-    )
-    return F.when(filled == 0, -1).otherwise(score)
+    texts = F.filter(F.transform(raw, fx.trim_ws), lambda v: v != "")
+
+    def score(values: Column) -> Column:
+        lowered = F.transform(values, F.lower)
+        filled = F.size(values)
+        fill = filled / n_cols
+        bare = F.transform(values, lambda v: F.replace(v, F.lit(","), F.lit("")))
+        typed = F.exists(bare, fx.is_bare_num) | F.exists(values, fx.is_header_date)
+        chars = F.aggregate(values, F.lit(0), lambda acc, v: acc + F.length(v))
+        mean = chars / filled
+        long_cell = F.exists(raw, lambda c: (F.length(c) > 50) | fx.contains_newline(c))
+        points = (
+            F.when(fill >= 0.8, 30).when(fill >= 0.5, 15).otherwise(0)
+            + F.when(typed, 0).otherwise(20)
+            + F.when(F.size(F.array_distinct(lowered)) == filled, 20).otherwise(0)
+            + F.when((mean >= 2) & (mean <= 20), 15).otherwise(0)
+            + F.when(long_cell, 0).otherwise(10)
+        )
+        return F.when(filled == 0, -1).otherwise(points)
+
+    # An array of one, as the trimmed texts would be made anew at every place that names them.
+    return F.get(F.transform(F.array(texts), score), F.lit(0))
 
 
 def grid_shape(grid: DataFrame) -> DataFrame:
